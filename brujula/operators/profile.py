@@ -43,10 +43,13 @@ GENERIC = MaskSpec(((r"[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"(
 #: Identifiers: lower-case hex digits to h, everything else as it is.
 HEX_ID = MaskSpec(((r"[0-9a-f]", "h"),))
 
-#: Addresses: scheme, host with a dot, and a rest without white space each to one sign.
+#: The mask of a usable address: no letter or digit, so that later rewritings keep it.
+USABLE = "\u2713"
+
+#: Addresses: scheme, host with a dot and a rest without white space together to one sign.
 ADDRESS = MaskSpec(
     (
-        (r"^(?i:https?)://(?=[^/?#\s]*\.)[^/?#\s]+(?:[/?#][^\s\u00a0]*)?$", "S"),
+        (r"^(?i:https?)://(?=[^/?#\s]*\.)[^/?#\s]+(?:[/?#][^\s\u00a0]*)?$", USABLE),
         (r"\p{L}+", "a"),
         (r"[0-9]+", "9"),
         (r"(?U)\s+", " "),
