@@ -280,11 +280,27 @@ class Labeller:
         for i, row in enumerate(block.tolist()):
             edges = [0, *np.flatnonzero(change[i]).tolist(), int(sizes[row])] if change[i].any() else [0, int(sizes[row])]
             s = spans[row]
+            parts = []
             for a, b in zip(edges, edges[1:]):
                 lang = int(path[i, a])
-                conf = float(post[i, a:b, lang].mean()) if confidence else 1.0
+                parts.append((a, b, lang, float(post[i, a:b, lang].mean()) if confidence else 1.0))
+            if len(parts) > 1 and confidence:
+                parts = self._certain(parts, post[i])
+            for a, b, lang, conf in parts:
                 out[row].append((lang, s[a][0], s[b - 1][1], conf))
 
+    def _certain(self, parts, post) -> list:
+        """A stretch that is less likely than not joins the one beside it (names alone make no stretch)."""
+        sure = [q for q in parts if q[3] >= 0.5] or [max(parts, key=lambda q: (q[3], -q[0]))]
+        out = []
+        for a, b, lang, conf in sure:
+            if out and out[-1][2] == lang:
+                out[-1] = (out[-1][0], b, lang, 0.0)
+            else:
+                out.append((out[-1][1] if out else 0, b, lang, conf))
+        out[-1] = (out[-1][0], parts[-1][1], out[-1][2], out[-1][3])
+        return [(a, b, lang, float(post[a:b, lang].mean())) for a, b, lang, _ in out]
+
     def _posterior(self, e, cost, inside) -> np.ndarray:
         n, width, k = e.shape
         p = np.exp(e)

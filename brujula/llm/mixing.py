@@ -5,7 +5,8 @@ supply and the cap on repetitions allow. Every document of the source gets the w
 copies that all of them get with certainty; the rest of the target is drawn by Pareto
 order sampling: document i has inclusion probability p_i = min(1, lambda / copies of its
 text), so a text that the corpus holds several times isn't preferred, and documents are
-taken in ascending order of (U/(1-U)) / (p/(1-p)) until the rest of the target is reached.
+taken in ascending order of (U/(1-U)) / (p/(1-p)) as long as the rest of the target holds them;
+the gap that is left then gets the one document that comes closest to it.
 
 The order is cut without sorting a source in one task: documents are counted in fine
 classes of their rank variable (a bounded number), the class in which the target is
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brujula.session import cut
+
 CLASSES = 64  # classes of the rank variable per factor e
 EDGE = 40.0  # ranks beyond exp(+-EDGE) share the outermost classes
 
@@ -83,12 +86,23 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42) -> tuple[DataFrame,
     docs = docs.join(sums, ["mezcla_id", "source", "clase"], "left")
     inside = docs.filter((F.col("antes") < F.col("resto")) & (F.col("hasta") > F.col("resto")))
     order = Window.partitionBy("mezcla_id", "source").orderBy("rango", "doc_id")
-    # the document that crosses the target is taken if that comes closer to it
-    edge = inside.withColumn("suma", F.col("antes") + F.sum("tokens").over(order)).withColumn("una", (F.col("suma") - F.col("tokens") / 2 <= F.col("resto")).cast("int"))
+    edge = inside.withColumn("una", (F.col("antes") + F.sum("tokens").over(order) <= F.col("resto")).cast("int"))
     rest = docs.filter(F.col("antes").isNull() | (F.col("antes") >= F.col("resto")) | (F.col("hasta") <= F.col("resto")))
     rest = rest.withColumn("una", F.coalesce((F.col("hasta") <= F.col("resto")).cast("int"), F.lit(0)))
-    cols = ["mezcla_id", "source", "doc_id", "tokens", (F.col("enteras") + F.col("una")).cast("int").alias("copias")]
-    return rest.select(*cols).unionByName(edge.select(*cols)).filter("copias > 0"), goal
+    cols = ["mezcla_id", "source", "doc_id", "tokens", "enteras", "resto", "una"]
+    drawn = cut(rest.select(*cols).unionByName(edge.select(*cols)), "drawn")
+    # what is missing to the target is filled by the one document not drawn that comes closest to it
+    lack = F.col("resto") - F.col("suma")
+    sums = drawn.filter("resto > 0").groupBy("mezcla_id", "source").agg(F.sum(F.col("tokens") * F.col("una")).alias("suma"))
+    last = (
+        drawn.filter("una = 0 AND resto > 0").join(sums, ["mezcla_id", "source"])
+        .filter(F.abs(F.col("tokens") - lack) < lack)
+        .groupBy("mezcla_id", "source").agg(F.min(F.struct(F.abs(F.col("tokens") - lack).alias("d"), "doc_id")).alias("b"))
+        .select("mezcla_id", "source", F.col("b.doc_id").alias("cierre"))
+    )
+    rows = drawn.join(last, ["mezcla_id", "source"], "left")
+    copies = F.col("enteras") + F.col("una") + F.coalesce((F.col("doc_id") == F.col("cierre")).cast("int"), F.lit(0))
+    return rows.select("mezcla_id", "source", "doc_id", "tokens", copies.cast("int").alias("copias")).filter("copias > 0"), goal
 
 
 def report(rows: DataFrame, goal: DataFrame) -> DataFrame:

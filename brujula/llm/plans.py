@@ -2,13 +2,92 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brujula.llm import encoding, mixing, splitting
+from brujula.functions.dates import INVALID
+from brujula.functions.urls import page_keys
+from brujula.llm import encoding, languages, mixing, splitting, survivors
+from brujula.operators import timestamps
+from brujula.operators.profile import NEWS_SPECS, USABLE
 from brujula.session import cut, table
 
 
+def _language_model(spark: SparkSession, d: str):
+    path = encoding.tokenizer_path(spark, "piece_bpe_32k.model")
+    return languages.train(table(spark, d, "noticias"), "titulo", "idioma", path)
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    news = table(spark, d, "noticias")
+    return languages.segments(news, _language_model(spark, d), "fila", "titulo", "idioma")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_segments(spark, d).filter("caso").select(F.col("fila").cast("bigint").alias("fila"), "segmento", "idioma")
+
+
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "documents"), _language_model(spark, d), "doc_id", "text", "lang")
+
+
+#: Origins by trust; any other comes after them (fixed values).
+ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
+
+
+def _rank(origin):
+    out = F.lit(len(ORIGINS))
+    for i, name in enumerate(ORIGINS):
+        out = F.when(origin == name, i).otherwise(out)
+    return out
+
+
+def captures(spark: SparkSession, d: str) -> DataFrame:
+    """fila, pagina (digest of the page's normal form, null for unusable urls) and what the choice of a record needs."""
+    news, outlets = table(spark, d, "noticias"), table(spark, d, "medios")
+    tables = timestamps.outlet_zones(outlets)
+    good = NEWS_SPECS["url"].mask(F.col("url")) == USABLE
+    largo = F.when(NEWS_SPECS["descripcion"].mask(F.col("descripcion")) == "t", F.length("descripcion"))
+    rows = news.select("fila", "dominio", F.when(good, F.col("url")).alias("url"), _rank(F.col("origen")).cast("int").alias("rango"), largo.alias("largo"), "fecha_extraccion", F.when(F.col("origen") == "gdelt", F.col("fecha_deteccion")).alias("fecha_deteccion"))
+    rows = timestamps.with_outlet_zone(rows, outlets, [c for c in rows.columns if c != "dominio"])
+
+    def run(batches):
+        for b in batches:
+            times = []
+            for name in ("fecha_extraccion", "fecha_deteccion"):
+                m = timestamps.field_micros(b, name, False, tables)
+                times.append(pa.array(m, mask=m == INVALID))
+            yield pa.RecordBatch.from_arrays([b.column("fila"), page_keys(b.column("url")), b.column("rango"), b.column("largo"), *times], names=["fila", "url", "rango", "largo", "extraccion", "deteccion"])
+
+    out = rows.mapInArrow(run, "fila bigint, url string, rango int, largo int, extraccion bigint, deteccion bigint")
+    return out.select("fila", F.unhex(F.md5("url")).alias("pagina"), "rango", "largo", "extraccion", "deteccion")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    policies = {
+        "origen": survivors.Order(F.lit(True), (F.col("rango"), F.coalesce(-F.col("extraccion"), F.lit(2**62)))),
+        "descripcion": survivors.Order(F.col("largo").isNotNull(), (-F.col("largo"),)),
+        "fecha_deteccion": survivors.Order(F.col("deteccion").isNotNull(), (F.col("deteccion"),)),
+    }
+    return survivors.ordered_fields(captures(spark, d), "pagina", "fila", policies)
+
+
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Elected title of each page that was captured twice or more."""
+    news = table(spark, d, "noticias").select("fila", "titulo", "url", _rank(F.col("origen")).alias("rango"))
+    good = NEWS_SPECS["url"].mask(F.col("url")) == USABLE
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("fila"), b.column("titulo"), page_keys(b.column("url")), b.column("rango")], names=["fila", "titulo", "url", "rango"])
+
+    rows = news.withColumn("url", F.when(good, F.col("url"))).mapInArrow(run, "fila bigint, titulo string, url string, rango int")
+    rows = rows.select("fila", "titulo", F.unhex(F.md5("url")).alias("pagina"), "rango")
+    out = survivors.voted_field(rows, "pagina", "fila", "titulo", 4.0 - F.col("rango"))
+    return out.select("fila", "valor", "distancia", "valores")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), encoding.tokenizer_path(spark))
 
@@ -37,5 +116,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieza = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
