@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brujula.functions.dates import INVALID
 from brujula.functions.urls import page_keys
-from brujula.llm import encoding, languages, mixing, splitting, survivors
+from brujula.llm import encoding, languages, mixing, neardup, splitting, survivors
 from brujula.operators import timestamps
 from brujula.operators.profile import NEWS_SPECS, USABLE
 from brujula.session import cut, table
@@ -32,6 +32,21 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(table(spark, d, "documents"), _language_model(spark, d), "doc_id", "text", "lang")
 
 
+NEWS_TEXTS = [neardup.Field("titulo"), neardup.Field("descripcion", least=8)]
+NEAR = 0.75
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = neardup.similar_classes(table(spark, d, "noticias"), "fila", NEWS_TEXTS, NEAR)
+    return neardup.row_links(members, links, "fila").select(F.col("a").cast("bigint").alias("fila_a"), F.col("b").cast("bigint").alias("fila_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    news = table(spark, d, "noticias")
+    members, links = neardup.similar_classes(news, "fila", NEWS_TEXTS, NEAR)
+    return neardup.groups(news, members, links, "fila")
+
+
 #: Origins by trust; any other comes after them (fixed values).
 ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
 
@@ -116,5 +131,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieza = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p4_found, p4_groups, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
