@@ -328,15 +328,18 @@ def train(df: DataFrame, text: str, label: str, path: str, per_language: int = 3
     """Piece probabilities from per_language rows of each language, taken by hash of the text.
 
     The label is only a hint here: it may be wrong for some rows, which the sample's
-    majority outweighs. The window's row limit is applied before the shuffle as well.
+    majority outweighs. The rows are ranked in parts of each language, so that the limit per
+    part is small enough for Spark to apply it before the shuffle: only the sample moves.
     """
     names = [(name, code) for name, code in _NAMES.items()]
     own = F.create_map(*[F.lit(x) for pair in names for x in pair])
     primary = F.regexp_extract(F.translate(F.lower(F.trim(label)), "áéíóúñçãêä", "aeiouncaea"), r"^([a-z]+)", 1)
     rows = df.select(F.col(text).alias("t"), own[primary].alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull())
     h = F.xxhash64("t")
-    w = Window.partitionBy("l").orderBy(h, "t")
-    sample = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("l", "t").toPandas()
+    parts = max(1, -(-per_language // 500))
+    w = Window.partitionBy("l", "part").orderBy(h, "t")
+    ranked = rows.withColumn("part", F.pmod(h, F.lit(parts))).withColumn("r", F.row_number().over(w))
+    sample = ranked.filter(F.col("r") <= -(-per_language // parts)).select("l", "t").toPandas()
     counts: dict[str, np.ndarray] = {}
     for code, t in zip(sample["l"], sample["t"]):
         k = LANGUAGES.index(code)
