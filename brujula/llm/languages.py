@@ -325,7 +325,12 @@ class Labeller:
 
 
 def train(df: DataFrame, text: str, label: str, path: str, per_language: int = 3000) -> tuple[Pieces, np.ndarray]:
-    """Piece probabilities from per_language rows of each language, taken by hash of the text.
+    """Piece probabilities from a bounded sample."""
+    return fit_sample(sample(df, text, label, per_language), path)
+
+
+def sample(df: DataFrame, text: str, label: str, per_language: int = 3000):
+    """l, t (pandas) of about per_language rows of each language, taken by hash of the text.
 
     The label is only a hint here: it may be wrong for some rows, which the sample's
     majority outweighs. The rows are ranked in parts of each language, so that the limit per
@@ -339,9 +344,13 @@ def train(df: DataFrame, text: str, label: str, path: str, per_language: int = 3
     parts = max(1, -(-per_language // 500))
     w = Window.partitionBy("l", "part").orderBy(h, "t")
     ranked = rows.withColumn("part", F.pmod(h, F.lit(parts))).withColumn("r", F.row_number().over(w))
-    sample = ranked.filter(F.col("r") <= -(-per_language // parts)).select("l", "t").toPandas()
+    return ranked.filter(F.col("r") <= -(-per_language // parts)).select("l", "t").toPandas()
+
+
+def fit_sample(rows, path: str) -> tuple[Pieces, np.ndarray]:
+    """Pieces and their probabilities from a sample of labelled texts."""
     counts: dict[str, np.ndarray] = {}
-    for code, t in zip(sample["l"], sample["t"]):
+    for code, t in zip(rows["l"], rows["t"]):
         k = LANGUAGES.index(code)
         for word in WORD.findall(t.lower()):
             counts.setdefault(word, np.zeros(len(LANGUAGES)))[k] += 1

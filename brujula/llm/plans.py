@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brujula.functions.dates import INVALID
 from brujula.functions.urls import page_keys
-from brujula.llm import encoding, languages, mixing, neardup, splitting, survivors
+from brujula.llm import encoding, events, languages, mixing, neardup, splitting, survivors
 from brujula.operators import timestamps
 from brujula.operators.profile import NEWS_SPECS, USABLE
 from brujula.session import cut, table
@@ -47,6 +47,33 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(news, members, links, "fila")
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    news = table(spark, d, "noticias")
+    rows = languages.sample(news, "titulo", "idioma")
+    model = languages.fit_sample(rows, encoding.tokenizer_path(spark, "piece_bpe_32k.model"))
+    described = events.described(news, table(spark, d, "medios"), model, events.common_words(sorted(rows["t"])))
+    return events.clustered(cut(described, "described"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    links = events.event_links(cut(_events(spark, d), "clustered"))
+    return links.select(F.col("a").cast("bigint").alias("fila_a"), F.col("b").cast("bigint").alias("fila_b"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """fila, cluster_id of every row; rows that can't be placed in time are clusters of their own."""
+    placed = events.event_clusters(_events(spark, d)).select("fila", F.concat(F.lit("K-"), F.lower(F.hex("cluster"))).alias("cluster_id"))
+    alone = F.concat(F.lit("K-"), F.lower(F.hex(F.xxhash64("fila", F.lit("sola")))))
+    return table(spark, d, "noticias").select("fila").join(placed, "fila", "left").select("fila", F.coalesce("cluster_id", alone).alias("cluster_id"))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """cluster_id, tamano and the most typical titulo and descripcion of each cluster of two rows or more."""
+    typical = events.typical_members(cut(events.event_clusters(_events(spark, d)), "members")).filter("tamano > 1")
+    news = table(spark, d, "noticias").select("fila", "titulo", "descripcion")
+    return typical.join(news, "fila").select(F.concat(F.lit("K-"), F.lower(F.hex("cluster"))).alias("cluster_id"), "tamano", "fila", "titulo", "descripcion")
+
+
 #: Origins by trust; any other comes after them (fixed values).
 ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
 
@@ -131,5 +158,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieza = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p4_found, p4_groups, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p4_found, p4_groups, p5_found, p5_members, p5_clusters, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
