@@ -1,6 +1,6 @@
 """The core's query modules, in the order in which they are registered."""
 
-from brujula.plans import quality
+from brujula.plans import quality, tables
 
-MODULES = [quality]
-FLAGSHIP = "p2_found"
+MODULES = [quality, tables]
+FLAGSHIP = "inbox"
