@@ -1,6 +1,6 @@
 """The core's query modules, in the order in which they are registered."""
 
-from brujula.plans import quality, tables
+from brujula.plans import quality, scores, tables, texts
 
-MODULES = [quality, tables]
+MODULES = [quality, tables, texts, scores]
 FLAGSHIP = "inbox"

@@ -84,8 +84,8 @@ def null_counts(spark, d):
 
 
 def iso_dates(spark, d):
-    """Dates in ISO form only, as UTC seconds; everything else is null."""
-    s = lambda c: F.unix_seconds(validation.iso_timestamp(F.col(c))).alias(c)
+    """Dates in ISO form only, in UTC to the second; everything else is null."""
+    s = lambda c: F.date_format(validation.iso_timestamp(F.col(c)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
     return _news(spark, d).select("fila", *[s(c) for c in DATES])
 
 
@@ -296,8 +296,9 @@ _ISO = r"'^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d
 
 
 def _iso(c: str) -> str:
-    short = rf"CASE WHEN regexp_matches({c}, '[T ]\d{{2}}:\d{{2}}(Z|[+-]|$)') THEN left({c}, 16) || ':00' || substring({c}, 17) ELSE {c} END"
-    return f"CASE WHEN regexp_matches({c}, {_ISO}) THEN try_cast(replace({short}, 'T', ' ') AS TIMESTAMP) END"
+    base = rf"regexp_replace({c}, '(Z|[+-]\d{{2}}:\d{{2}})$', '')"
+    minutes = rf"coalesce(try_cast(regexp_extract({c}, '([+-]\d{{2}}):\d{{2}}$', 1) AS INTEGER) * 60 + try_cast(regexp_extract({c}, '([+-])\d{{2}}:(\d{{2}})$', 1) || regexp_extract({c}, '[+-]\d{{2}}:(\d{{2}})$', 1) AS INTEGER), 0)"
+    return f"CASE WHEN regexp_matches({c}, {_ISO}) THEN try_cast(replace(CASE WHEN length({base}) = 16 THEN {base} || ':00' ELSE {base} END, 'T', ' ') AS TIMESTAMP) - to_minutes({minutes}) END"
 
 
 _STATES = ", ".join(f"'{s}'" for s in STATES)
@@ -326,8 +327,8 @@ SQL = {
     "validation_issues": _ISSUES,
     "issues_by_problem": f"SELECT campo, problema, count(DISTINCT fila) AS filas FROM ({_ISSUES}) GROUP BY 1, 2",
     "validation_totals": f"SELECT count(*) FILTER (b.fila IS NULL) AS validas, count(b.fila) AS rechazadas, count(*) AS leidas FROM noticias n LEFT JOIN (SELECT DISTINCT fila FROM ({_ISSUES})) b USING (fila)",
-    "null_counts": "SELECT columna, sum(x) AS nulos FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS columna, CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS x FROM noticias" for c in ("fila id_noticia titulo descripcion url medio dominio idioma fecha_publicacion fecha_deteccion fecha_extraccion origen alcance_texto procedencia_id tema tema_confianza cluster_id sintetico recirculada carga").split()) + ") GROUP BY 1",
-    "iso_dates": "SELECT fila, " + ", ".join(f"CAST(floor(epoch({_iso(c)})) AS BIGINT) AS {c}" for c in DATES) + " FROM noticias",
+    "null_counts": "SELECT columna, CAST(sum(x) AS BIGINT) AS nulos FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS columna, CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS x FROM noticias" for c in ("fila id_noticia titulo descripcion url medio dominio idioma fecha_publicacion fecha_deteccion fecha_extraccion origen alcance_texto procedencia_id tema tema_confianza cluster_id sintetico recirculada carga").split()) + ") GROUP BY 1",
+    "iso_dates": "SELECT fila, " + ", ".join(f"strftime({_iso(c)}, '%Y-%m-%dT%H:%M:%SZ') AS {c}" for c in DATES) + " FROM noticias",
     "recirculated": f"SELECT fila, coalesce(({_iso('fecha_deteccion')}) - ({_iso('fecha_publicacion')}) >= INTERVAL 7 DAY, false) AS tardia FROM noticias",
     "outlet_rollup": "SELECT n.*, m.v AS medio_comun FROM (SELECT origen, dominio, count(*) AS n, min(carga) AS primera, max(carga) AS ultima FROM noticias WHERE origen IS NOT NULL AND dominio IS NOT NULL GROUP BY 1, 2) n JOIN (" + _MAJ.format(k="origen, dominio", v="medio") + ") m USING (origen, dominio)",
     "origin_counts": "SELECT origen, count(*) AS n FROM noticias GROUP BY 1",
