@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brujula.functions.text import folded, trimmed
+from brujula.session import cut
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def violations(df: DataFrame, specs: dict[str, MaskSpec], key: str, min_share: f
     The list of dominant masks has at most 1/min_share rows per column, so it is small at
     any size of the table and Spark may broadcast it by its own threshold.
     """
-    dominant = dominant_masks(mask_counts(df, specs), min_share)
+    dominant = dominant_masks(cut(mask_counts(df, specs), "masks"), min_share)
     return cells(df, specs, [key]).join(dominant, ["columna", "mascara"], "left_anti").select(key, "columna", "valor", "mascara")
 
 
