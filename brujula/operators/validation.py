@@ -13,7 +13,8 @@ URL_PATTERN = r"^https?://[^/?#]*\.[^/?#]*"
 
 def iso_timestamp(col: Column) -> Column:
     """UTC timestamp of an ISO 8601 text, null for anything else; a bare cast would also read '10:00' as today."""
-    return F.when(col.rlike(ISO_DATE), F.try_to_timestamp(col))
+    full = F.regexp_replace(col, r"([T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")  # the cast wants seconds before an offset
+    return F.when(col.rlike(ISO_DATE), F.try_to_timestamp(full))
 
 
 def blank_to_null(col: Column) -> Column:
