@@ -3,12 +3,17 @@
 1. Every text becomes its set of distinct folded words; equal sets are one class.
 2. Every class gets a SuperMinHash signature of its rarer words. The words that many
    classes hold (a list of bounded length) are left out of it: a word that half of the
-   corpus shares can't tell texts apart, while texts that share 3/4 of their words share
-   rare ones, too. Bands are of one slot; equal winners of different slots share a bucket.
-   Texts with fewer than two rarer words also get bands of five slots of signatures over
-   all their words (a pair at the threshold is missed once in 50,000 times).
-3. Buckets bring candidate classes together; each pair is verified on the exact word sets.
-   A bucket of more than HOT classes is first split by the same bands over all words.
+   corpus shares can't tell texts apart. Bands are of one slot; equal winners of different
+   slots share a bucket. A set with no more elements than slots is its own signature.
+3. What remains are pairs that share no rarer word. If they reach the threshold, their
+   rarer words number together at most a third of the frequent words of either (at 3/4),
+   and the three rarest words that they share are among the first few of both in the order
+   of rarity. Classes for which that is possible also get the triples of those first words
+   as buckets, or, where they have many frequent words, bands of five slots of signatures
+   over all words. In triple buckets only pairs within that bound are made.
+   Buckets bring candidate classes together; each pair is verified on the exact word sets.
+   A bucket of more than HOT classes is first split by the bands over all words (a pair at
+   the threshold is missed once in 50,000 times).
 4. Verified links are grouped by connected components; links between rows come from the
    links of their classes and from classes of several rows.
 
@@ -20,7 +25,9 @@ not read; texts of any length enter whole.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +39,11 @@ from brujula.llm.sketches import frequent_words, mixed, super_min_hash, word_has
 from brujula.operators.components import components
 from brujula.session import cut
 
-SLOTS = 16
+SLOTS, OWN = 64, 16  # slots of a signature; sets of up to OWN rarer words are their own
+TRIPLES, BANDS = 60, 45  # frequent words up to which triples are taken, and from which bands are
 SIGNATURES, ALL_SLOTS, BAND = 4, 50, 5  # 40 bands of 5 slots
 HOT = 512
+TRIPLE = np.uint64(1 << 63)  # marks the buckets of triples
 
 
 @dataclass(frozen=True)
@@ -87,41 +96,66 @@ def _bands(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def band_keys(classes: DataFrame, common: list[str]) -> DataFrame:
-    """k (bucket), c (class), w (its word hashes, sorted, 4 bytes each)."""
+def _triples(frequent: list[str], n: int, rare: int, rank: dict[str, int], threshold: float) -> list[tuple[str, ...]]:
+    """Triples of the words, in order of rarity, among which the three rarest shared words of a similar text are."""
+    first = n - math.ceil(threshold * n - 1e-9) + 3 - rare
+    return list(combinations(sorted(frequent, key=rank.__getitem__, reverse=True)[: max(0, first)], 3))
+
+
+def band_keys(classes: DataFrame, common: list[str], threshold: float) -> DataFrame:
+    """k (bucket), c (class), r (its rarer words), w (its word hashes, sorted, 4 bytes each)."""
+    part = threshold / (1 - threshold)  # shared frequent words per word that isn't shared
 
     def run(batches):
-        frequent = frozenset(common)
+        rank = {w: i for i, w in enumerate(common)}
         for b in batches:
             sets = [s.split(" ") for s in b.column("palabras").to_pylist()]
-            campo = b.column("campo").to_numpy(zero_copy_only=False).astype(np.uint64)
-            rare, offsets = _ragged(sets, frequent)
-            signature = super_min_hash(rare, offsets, SLOTS)
-            some = np.flatnonzero(np.diff(offsets) > 0)
-            row, winner = _unique_rows(signature[some] & np.uint64(0xFFFFFFFF))
-            row = some[row]
-            key = (campo[row] << np.uint64(33)) | winner
-            none = np.flatnonzero(np.diff(offsets) < 2)
-            if len(none):
-                bands = _bands(*_ragged([sets[i] for i in none]))
-                row2 = np.repeat(none, bands.shape[1])
-                row, key = np.append(row, row2), np.append(key, (bands.ravel() | np.uint64(1 << 34)) ^ (campo[row2] << np.uint64(33)))
+            campo = b.column("campo").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(33)
+            rare, offsets = _ragged(sets, rank)
+            n_rare = np.diff(offsets)
+            n_frequent = np.array([len(s) for s in sets], dtype=np.int64) - n_rare
+            few = np.flatnonzero((n_rare > 0) & (n_rare <= OWN))
+            many = np.flatnonzero(n_rare > OWN)
+            row = np.repeat(few, n_rare[few])
+            key = campo[row] | rare[np.repeat(n_rare <= OWN, n_rare)]
+            if len(many):
+                own = super_min_hash(*_ragged([sets[i] for i in many], rank), SLOTS)
+                at, winner = _unique_rows(own & np.uint64(0xFFFFFFFF))
+                row, key = np.append(row, many[at]), np.append(key, campo[many[at]] | winner)
+            apart = n_rare * part <= n_frequent  # may reach the threshold without a common rarer word
+            at, triples = [], []
+            for i in np.flatnonzero(apart & (n_frequent <= TRIPLES)).tolist():
+                t = _triples([w for w in sets[i] if w in rank], len(sets[i]), int(n_rare[i]), rank, threshold)
+                at += [i] * len(t)
+                triples += t
+            if at:
+                t = np.array([[rank[w] for w in x] for x in triples], dtype=np.uint64)
+                at = np.array(at)
+                row = np.append(row, at)
+                key = np.append(key, mixed(mixed(t[:, 0] | (t[:, 1] << np.uint64(20)) | (t[:, 2] << np.uint64(40))) ^ campo[at]) | TRIPLE)
+            long = np.flatnonzero(apart & (n_frequent >= BANDS))
+            if len(long):
+                bands = _bands(*_ragged([sets[i] for i in long]))
+                at = np.repeat(long, bands.shape[1])
+                row, key = np.append(row, at), np.append(key, mixed(bands.ravel() ^ campo[at]) & ~TRIPLE)
             full, fo = _ragged(sets)
             packed = [np.sort(full[fo[i] : fo[i + 1]]).astype("<u4").tobytes() for i in range(len(sets))]
+            take = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64) if key.dtype == np.uint64 else key.astype(np.int64)), b.column("c").take(pa.array(row)), pa.array(packed, type=pa.binary()).take(pa.array(row))],
-                names=["k", "c", "w"],
+                [pa.array(key.astype(np.uint64).view(np.int64)), b.column("c").take(take), pa.array(n_rare[row.astype(np.int64)], type=pa.int32()), pa.array(packed, type=pa.binary()).take(take)],
+                names=["k", "c", "r", "w"],
             )
 
-    return classes.select("c", "campo", "palabras").mapInArrow(run, "k bigint, c bigint, w binary")
+    return classes.select("c", "campo", "palabras").mapInArrow(run, "k bigint, c bigint, r int, w binary")
 
 
-def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i before j, inside consecutive groups of the given sizes."""
+def _pairs_within(sizes: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i before j, inside consecutive groups of the given sizes; i among a group's first rows only, if given."""
     starts = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
-    group_end = np.repeat(starts + sizes, sizes)
-    later = group_end - np.arange(n) - 1
+    later = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
+    if firsts is not None:
+        later = np.where(np.arange(n) - np.repeat(starts, sizes) < np.repeat(firsts, sizes), later, 0)
     i = np.repeat(np.arange(n), later)
     ends = np.cumsum(later)
     j = np.arange(int(ends[-1]) if n else 0) - np.repeat(ends - later, later) + i + 1
@@ -148,40 +182,57 @@ def shared_counts(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def _verified(c: np.ndarray, flat: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, threshold: float):
-    """Verified pairs (c1 < c2) of the groups; the pairs are made and tested in blocks."""
+def _verified(c, flat, offsets, sizes, threshold: float, firsts=None, rare=None):
+    """Verified pairs (c1 < c2) of the groups; the pairs are made and tested in blocks.
+
+    With rare (the rarer words of each row), only pairs that can reach the threshold without a common one.
+    """
     n_words = np.diff(offsets)
-    block_ends = np.flatnonzero(np.diff(np.cumsum(sizes * (sizes - 1) // 2) // 2_000_000)) + 1
+    firsts = sizes if firsts is None else firsts
+    pairs = firsts * (2 * sizes - firsts - 1) // 2
+    block_ends = np.flatnonzero(np.diff(np.cumsum(pairs) // 2_000_000)) + 1
     start = np.append(0, np.cumsum(sizes))
     for g in np.split(np.arange(len(sizes)), block_ends):
-        i, j = _pairs_within(sizes[g])
+        i, j = _pairs_within(sizes[g], firsts[g])
         i, j = i + start[g[0]], j + start[g[0]]
-        keep = (c[i] != c[j]) & (np.minimum(n_words[i], n_words[j]) >= threshold * np.maximum(n_words[i], n_words[j]))
+        keep = (c[i] != c[j]) & (np.minimum(n_words[i], n_words[j]) >= threshold * np.maximum(n_words[i], n_words[j]) - 1e-9)
+        if rare is not None:
+            keep &= (rare[i] + rare[j]) * threshold / (1 - threshold) <= np.minimum(n_words[i] - rare[i], n_words[j] - rare[j]) + 1e-9
         i, j = i[keep], j[keep]
         if not len(i):
             continue
         both = shared_counts(flat, offsets, i, j)
-        hit = both >= threshold * (n_words[i] + n_words[j] - both)
+        hit = both >= threshold * (n_words[i] + n_words[j] - both) - 1e-9
         yield np.minimum(c[i[hit]], c[j[hit]]), np.maximum(c[i[hit]], c[j[hit]])
 
 
-def _group_links(k: np.ndarray, c: np.ndarray, w: list[bytes], threshold: float):
+def _group_links(k: np.ndarray, c: np.ndarray, r: np.ndarray, w: list[bytes], threshold: float):
+    """Verified pairs of the buckets k (consecutive)."""
+    n = np.array([len(x) // 4 for x in w], dtype=np.int64)
+    triple = (k.view(np.uint64) & TRIPLE) != 0
+    # of a pair without a common rarer word one has at most half of what the bound allows both
+    low = ~triple | (r * 2 * threshold / (1 - threshold) <= n - r + 1e-9)
+    order = np.lexsort((~low, k))
+    k, c, r, w, low, triple = k[order], c[order], r[order], [w[i] for i in order.tolist()], low[order], triple[order]
     flat = np.frombuffer(b"".join(w), dtype="<u4")
-    offsets = np.append(0, np.cumsum([len(x) // 4 for x in w]))
+    offsets = np.append(0, np.cumsum(n[order]))
     cuts = np.flatnonzero(np.diff(k)) + 1
-    sizes = np.diff(np.concatenate([[0], cuts, [len(k)]]))
-    starts = np.append(0, np.cumsum(sizes))[:-1]
-    hot = sizes > HOT
-    cold_rows = np.flatnonzero(np.repeat(~hot, sizes))
-    if len(cold_rows):
-        yield from _verified(*_take(c, flat, offsets, cold_rows), sizes[~hot], threshold)
-    for a, n in zip(starts[hot], sizes[hot]):
-        rows = np.arange(a, a + n)
-        cc, ff, oo = _take(c, flat, offsets, rows)
+    starts = np.concatenate([[0], cuts]).astype(np.int64)
+    sizes = np.diff(np.append(starts, len(k)))
+    firsts = np.add.reduceat(low.astype(np.int64), starts)
+    kind = triple[starts]
+    hot = firsts * sizes > HOT * HOT
+    for triples in (False, True):
+        own = ~hot & (kind == triples) & (sizes > 1) & (firsts > 0)
+        rows = np.flatnonzero(np.repeat(own, sizes))
+        if len(rows):
+            yield from _verified(*_take(c, flat, offsets, rows), sizes[own], threshold, firsts[own], r[rows] if triples else None)
+    for a, m in zip(starts[hot], sizes[hot]):
+        cc, ff, oo = _take(c, flat, offsets, np.arange(a, a + m))
         bands = _bands(ff, oo)
         for b in range(bands.shape[1]):
             order = np.argsort(bands[:, b], kind="stable")
-            own = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(bands[order, b])) + 1, [n]]))
+            own = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(bands[order, b])) + 1, [m]]))
             inside = np.repeat(own > 1, own)
             if inside.any():
                 yield from _verified(*_take(cc, ff, oo, order[inside]), own[own > 1], threshold)
@@ -218,12 +269,12 @@ def class_links(classes: DataFrame, common: list[str], threshold: float) -> Data
         some = np.flatnonzero(~alone)
         if not len(some):
             return
-        found = list(_group_links(k[some], c[some], [w[i] for i in some], threshold))
+        found = list(_group_links(k[some], c[some], t.column("r").to_numpy()[some], [w[i] for i in some.tolist()], threshold))
         if found:
             pairs = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c1", "c2"])
 
-    keys = band_keys(classes, common)
+    keys = band_keys(classes, common, threshold)
     return keys.repartition("k").sortWithinPartitions("k").mapInArrow(run, "c1 bigint, c2 bigint").distinct()
 
 
