@@ -84,26 +84,64 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("sim")).filter(F.col("sim") >= threshold - 1e-9)
 
 
-def ranked_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5) -> DataFrame:
-    """consulta, pasaje, puntaje, puesto: the k best passages of each query that pass the gates.
-
-    queries: consulta, texto; passages: pasaje, texto, reciente. Score: cosine of sublinear
-    TF-IDF vectors fitted on the passages; a passage must reach `least` and hold `coverage` of
-    the query's distinct stems, numbers included. Ties go to the more recent, then smaller key.
-    """
+def _scored(queries: DataFrame, passages: DataFrame, boost: float) -> DataFrame:
+    """consulta, pasaje, reciente, s, ps: cosine of sublinear TF-IDF vectors fitted on the passages, plus a
+    boost where the passage holds a year that the query names; only pairs that share a term."""
     p_terms = term_counts(passages, "pasaje", content_stems(F.col("texto")))
     weights = idf(p_terms, "pasaje")
     p = unit_vectors(p_terms, "pasaje", weights, sublinear=True)
     q = unit_vectors(term_counts(queries, "consulta", content_stems(F.col("texto"))), "consulta", weights, sublinear=True)
     score = q.join(p.withColumnRenamed("x", "y"), "w").groupBy("consulta", "pasaje").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    asked = queries.select("consulta", F.array_distinct(stems(F.col("texto"))).alias("qs"))
+    asked = queries.select("consulta", years(F.col("texto")).alias("qy"))
     held = passages.select("pasaje", "reciente", F.array_distinct(stems(F.col("texto"))).alias("ps"))
-    good = score.filter(F.col("s") >= least).join(asked, "consulta").join(held, "pasaje")
-    good = good.filter(F.size(F.array_intersect("qs", "ps")) >= coverage * F.size("qs"))
+    both = score.join(asked, "consulta").join(held, "pasaje")
+    return both.withColumn("s", F.col("s") + F.when(F.arrays_overlap("qy", "ps"), boost).otherwise(0.0)).drop("qy")
+
+
+def years(col: Column) -> Column:
+    """Four-digit years of 1900 to 2099 that a text names."""
+    return F.filter(stems(col), lambda w: w.rlike("^(19|20)[0-9]{2}$"))
+
+
+def _best(good: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("consulta").orderBy(F.desc(F.round("s", 6)), F.desc_nulls_last("reciente"), "pasaje")
     return good.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= k).select("consulta", "pasaje", F.round("s", 4).alias("puntaje"), "puesto")
 
 
+def ranked_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5, boost: float = 0.15) -> DataFrame:
+    """consulta, pasaje, puntaje, puesto: the k best passages of each query that pass the gates.
+
+    queries: consulta, texto; passages: pasaje, texto, reciente. A passage must reach `least`
+    and hold `coverage` of the query's distinct stems, numbers included. Ties go to the more
+    recent, then smaller key.
+    """
+    asked = queries.select("consulta", F.array_distinct(stems(F.col("texto"))).alias("qs"))
+    good = _scored(queries, passages, boost).filter(F.col("s") >= least).join(asked, "consulta")
+    return _best(good.filter(F.size(F.array_intersect("qs", "ps")) >= coverage * F.size("qs")), k)
+
+
+def retried_search(queries: DataFrame, passages: DataFrame, names: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5) -> DataFrame:
+    """Like ranked_search; queries without a result are tried again with short and full names of what they name.
+
+    names: corto, largo (a short list). In the second try the text gets the other form of each
+    name, a name counts as one concept that either form covers, and all names must be covered.
+    """
+    first = ranked_search(queries, passages, k, least, coverage)
+    rest = queries.join(first.select("consulta").distinct(), "consulta", "left_anti").withColumn("qs", F.array_distinct(stems(F.col("texto"))))
+    forms = names.select("corto", "largo", F.array_distinct(stems(F.col("corto"))).alias("fc"), F.array_distinct(stems(F.col("largo"))).alias("fl"))
+    inside = lambda a, b: F.size(F.array_except(a, b)) == 0
+    named = rest.crossJoin(forms).filter(inside(F.col("fc"), F.col("qs")) | inside(F.col("fl"), F.col("qs")))  # names is a short list
+    wider = named.groupBy("consulta").agg(
+        F.first("texto").alias("texto"), F.first("qs").alias("qs"), F.collect_list(F.struct("fc", "fl")).alias("conceptos"),
+        F.concat_ws(" ", F.collect_list(F.when(inside(F.col("fc"), F.col("qs")), F.col("largo")).otherwise(F.col("corto")))).alias("mas"),
+    ).withColumn("texto", F.concat_ws(" ", "texto", "mas"))
+    good = _scored(wider.select("consulta", "texto"), passages, 0.0).filter(F.col("s") >= least).join(wider.select("consulta", "qs", "conceptos"), "consulta")
+    covered = F.filter("conceptos", lambda c: inside(c.fc, F.col("ps")) | inside(c.fl, F.col("ps")))
+    own = F.array_except("qs", F.flatten(F.transform("conceptos", lambda c: F.concat(c.fc, c.fl))))
+    share = F.size(covered) + F.size(F.array_intersect(own, "ps")) >= coverage * (F.size("conceptos") + F.size(own))
+    return first.unionByName(_best(good.filter((F.size(covered) == F.size("conceptos")) & share), k))
+
+
 def novelty(items: DataFrame, days: int = 7) -> DataFrame:
     """id, novedad = 1 - greatest cosine with items first seen before and within `days`; 1 without any.
 

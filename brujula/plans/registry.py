@@ -1,6 +1,6 @@
 """The core's query modules, in the order in which they are registered."""
 
-from brujula.plans import quality, scores, tables, texts
+from brujula.plans import quality, reports, scores, tables, texts
 
-MODULES = [quality, tables, texts, scores]
+MODULES = [quality, tables, texts, scores, reports]
 FLAGSHIP = "inbox"
