@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brujula.operators.rollups import global_rank
+
 
 def ratio(num: Column, den: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(num.cast("double"), den), digits)
@@ -48,10 +50,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def half_split(df: DataFrame, key: str) -> DataFrame:
     """key, mitad (1 for the rows whose sha1 is among the lower half): a fixed split of a label table."""
-    from pyspark.sql import Window
-
-    total = df.agg(F.count("*").alias("n"))
-    ranked = df.select(key).withColumn("r", F.row_number().over(Window.orderBy(F.sha1(F.col(key)), key)))
+    total = df.agg(F.count("*").alias("n"))  # one row
+    ranked = global_rank(df.select(key), [F.sha1(F.col(key)), F.col(key)], "r")
     return ranked.crossJoin(total).select(key, F.when(F.col("r") <= F.floor(F.col("n") / 2), 1).otherwise(2).alias("mitad"))
 
 

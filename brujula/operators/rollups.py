@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brujula.session import cut
+
 
 def majority(df: DataFrame, keys: list[str], value: str, name: str, default: str | None = None) -> DataFrame:
     """The commonest value of each group, ties alphabetically; counts are combined before the shuffle."""
@@ -36,6 +38,18 @@ def latest_with_value(df: DataFrame, keys: list[str], order: str, value: str) ->
     return df.groupBy(*keys).agg(best.alias("b")).filter("b IS NOT NULL").select(*keys, f"b.{order}", f"b.{value}")
 
 
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with its place (from 1) in the given total order, without gathering the rows in one task.
+
+    The rows are sorted by ranges and kept as a table with their place inside their range; the
+    ranges' sizes, as many as tasks, give what is to be added.
+    """
+    kept = cut(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    sizes = kept.groupBy("_p").agg(F.min("_i").alias("_m"), F.count("*").alias("_n"))
+    before = sizes.select("_p", "_m", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
+    return kept.join(before, "_p").withColumn(name, F.col("_i") - F.col("_m") + F.col("_s") + 1).drop("_p", "_i", "_m", "_s")
+
+
 def months_between(first: Column, last: Column) -> Column:
     """First days of all months that [first, last] touches."""
     return F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))

@@ -24,14 +24,21 @@ def unit(col: Column) -> Column:
     return F.transform(col, lambda x: x.cast("double") / norm)
 
 
-def best_class(df: DataFrame, key: str, vector: str, classes: DataFrame, threshold: float, other: str) -> DataFrame:
-    """key, clase, parecido: the class with the greatest cosine; `other` below the threshold.
+def best_class(df: DataFrame, key: str, vector: str, classes: DataFrame, threshold: float, other: str, most: int = 1000) -> DataFrame:
+    """key, clase, parecido: the class with the greatest cosine (ties: the greater name); `other` below the threshold.
 
-    classes: clase, v (unit vectors; a short list, joined without a hint).
+    classes: clase, v (unit vectors). The list is a vocabulary of at most `most` classes, which is
+    checked; it enters the expression as a literal, so the rows are neither joined nor moved.
     """
-    scores = df.select(key, unit(F.col(vector)).alias("u")).crossJoin(classes).select(key, "clase", dot(F.col("u"), F.col("v")).alias("s"))
-    best = scores.groupBy(key).agg(F.max_by("clase", F.struct("s", "clase")).alias("clase"), F.max("s").alias("s"))
-    return best.select(key, F.when(F.col("s") >= threshold, F.col("clase")).otherwise(other).alias("clase"), F.round("s", 4).alias("parecido"))
+    known = classes.limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} classes")
+    if not known:
+        return df.select(key, F.lit(other).alias("clase"), F.lit(None).cast("double").alias("parecido"))
+    table = F.array(*[F.struct(F.lit(r["clase"]).alias("clase"), F.lit(list(map(float, r["v"]))).alias("v")) for r in known])
+    best = F.array_max(F.transform(table, lambda c: F.struct(dot(F.col("u"), c.v).alias("s"), c.clase.alias("clase"))))
+    scored = df.select(key, unit(F.col(vector)).alias("u")).select(key, best.alias("b"))
+    return scored.select(key, F.when(F.col("b.s") >= threshold, F.col("b.clase")).otherwise(other).alias("clase"), F.round("b.s", 4).alias("parecido"))
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

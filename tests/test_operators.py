@@ -185,3 +185,21 @@ def test_claims(spark):
     ]
     got = {r["claim"]: r["veredicto"] for r in claims.check(spark.createDataFrame(rows, "claim string, texto string, id string, campo string, pasaje string"), ev).collect()}
     assert got == {"bien": "vale", "redondeo": "vale", "cifra": "cifra sin apoyo: 47", "nada": "sin cita", "otro": "registro desconocido", "campo": "campo ausente", "ordenes": "fuente con órdenes", "pasaje": "pasaje ausente", "dos": "vale"}
+
+
+def test_global_rank(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, x int").repartition(7)
+    got = {r["i"]: r["r"] for r in rollups.global_rank(df, [F.col("x"), F.col("i")], "r").collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    assert rollups.global_rank(df.limit(0), [F.col("x")], "r").count() == 0
+
+
+def test_best_class(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])], "k int, v array<double>")
+    classes = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "clase string, v array<double>")
+    assert {r["k"]: r["clase"] for r in vectors.best_class(df, "k", "v", classes, 0.45, "otro").collect()} == {1: "a", 2: "b", 3: "otro"}
+    assert {r["clase"] for r in vectors.best_class(df, "k", "v", classes.limit(0), 0.45, "otro").collect()} == {"otro"}
+    with pytest.raises(ValueError):
+        vectors.best_class(df, "k", "v", classes, 0.45, "otro", most=1)
