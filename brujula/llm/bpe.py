@@ -168,6 +168,12 @@ class Encoder:
         codes = np.fromiter((code[w] for ws in split for w in ws), dtype=np.int64)
         return codes, np.array([len(ws) for ws in split], dtype=np.int64), split
 
+    def codes(self, words: list[str]) -> np.ndarray:
+        """Codes of one text's words (which `words` has given)."""
+        if not all(w in self.code for w in words):  # the cache was emptied since
+            return self.words(["".join(words)])[0]
+        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the offsets of each text (one more than texts)."""
         codes, per_text, _ = self.words(texts)

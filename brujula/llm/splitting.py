@@ -30,26 +30,44 @@ _START = re.compile(r"\s*[\"'«“‘(¿¡—–-]*\s*[\dA-ZÀ-ÖØ-Þ]")
 _SHORT = re.compile(r"(?:\b[A-ZÀ-Ö]|\b(?:[Ss]ra?|[Dd]ra?|[Ii]ng|[Ll]ic|[Aa]rq|[Pp]rof|[Nn]úm|[Nn]o|[Aa]rt|[Vv]ol|[Mm]r|[Mm]rs|[Ee]tc|[Pp]ág|[aAp]|B/))\.$")
 
 
+_BREAKS = frozenset("\n\r")
+_STOPS = frozenset(".!?…\"'»”’)]")
+_CLAUSES = frozenset(";:—|")
+_MARKS = _BREAKS | _STOPS | _CLAUSES
+
+
 def strengths(words: list[str]) -> np.ndarray:
-    """Strength of the boundary before each word (0 before the first)."""
-    out = np.full(len(words), WORD, dtype=np.int8)
-    before = ""
-    for i, w in enumerate(words):
-        if i == 0:
-            out[i] = 0
-        elif w.isspace() and "\n" not in w and "\r" not in w:
-            pass
-        elif before.count("\n") + before.count("\r") - before.count("\r\n") > 1:
-            head = "".join(words[i : i + 6]).lstrip()
-            out[i] = SECTION if _HEADING.match(head) else PARAGRAPH
-        elif "\n" in before or "\r" in before:
-            head = "".join(words[i : i + 6]).lstrip()
-            out[i] = SECTION if _HEADING.match(head) else LINE
-        elif before.strip() and _END.search(before) and _START.match("".join(words[i : i + 2])) and not _SHORT.search("".join(words[max(0, i - 3) : i])):
-            out[i] = SENTENCE
-        elif before.strip() and before.strip()[-1:] in ";:—|":
+    """Strength of the boundary before each word (0 before the first).
+
+    Only the words after a mark (line break or sign of punctuation) are looked at more closely.
+    """
+    n = len(words)
+    out = np.full(n, WORD, dtype=np.int8)
+    if n:
+        out[0] = 0
+    for k in [k for k, w in enumerate(words) if w[-1] in _MARKS or (w[0] in _BREAKS)]:
+        w = words[k]
+        i = k + 1
+        if i >= n:
+            continue
+        if w.isspace():
+            if k and words[k - 1].isspace():
+                continue  # the run's first word stands for it
+            run = w
+            while i < n and words[i].isspace():
+                run += words[i]
+                i += 1
+            breaks = run.count("\n") + run.count("\r") - run.count("\r\n")
+            if i < n and breaks:
+                head = _HEADING.match("".join(words[i : i + 6]).lstrip())
+                out[i] = SECTION if head else PARAGRAPH if breaks > 1 else LINE
+        elif words[i].isspace() and not _BREAKS.isdisjoint(words[i]):
+            continue  # the boundary is after the break
+        elif _END.search(w):
+            if _START.match("".join(words[i : i + 2])) and not _SHORT.search("".join(words[max(0, i - 3) : i])):
+                out[i] = SENTENCE
+        elif w[-1] in _CLAUSES:
             out[i] = CLAUSE
-        before = before + w if w.isspace() and before.isspace() else w
     return out
 
 
@@ -75,9 +93,11 @@ def pack(tokens: np.ndarray, strength: np.ndarray, cap: int) -> list[tuple[int,
     return node(0, len(tokens)) if len(tokens) else []
 
 
-def split_text(text: str, encoder: Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+def split_text(text: str, encoder: Encoder, limit: int, overlap: int, words: list[str] | None = None) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, overlap tokens, boundary) of each piece; start counts the overlap in characters of the text."""
-    codes, _, (words,) = encoder.words([text])
+    if words is None:
+        (words,) = encoder.words([text])[2]
+    codes = encoder.codes(words)
     tokens = encoder.lengths[codes]
     if int(tokens.sum()) <= limit:
         return []
@@ -89,6 +109,7 @@ def split_text(text: str, encoder: Encoder, limit: int, overlap: int) -> list[tu
     begins = np.append((data & 0xC0) != 0x80, True)
     chars = np.append(0, np.cumsum(begins[:-1]))  # characters before each byte
     word_token = np.append(0, np.cumsum(tokens))
+    word_char = np.append(0, np.cumsum([len(w) for w in words]))
     names = {SECTION: "seccion", PARAGRAPH: "parrafo", LINE: "linea", SENTENCE: "oracion", CLAUSE: "frase", WORD: "palabra", 0: "inicio"}
 
     def back(t: int) -> int:
@@ -96,6 +117,24 @@ def split_text(text: str, encoder: Encoder, limit: int, overlap: int) -> list[tu
             t -= 1
         return t
 
+    def count(s: int, e: int) -> int:
+        """Tokens of text[s:e] encoded anew: its words are those of the text but for a cut word at the
+        start, with what it might draw in, and for white space at the end, which is drawn together there."""
+        a, b = int(np.searchsorted(word_char, s)), int(np.searchsorted(word_char, e, side="right")) - 1
+        if word_char[b] != e or b - a < 8:
+            return int(encoder.counts([text[s:e]])[0])
+        end = b
+        while end > a + 3 and words[end - 1].isspace():
+            end -= 1
+        tail = int(encoder.counts([text[word_char[end] : e]])[0]) if end < b else 0
+        if word_char[a] == s:
+            return int(word_token[end] - word_token[a]) + tail
+        (head,) = encoder.words([text[s : word_char[a + 3]]])[2]  # the rest of the cut word and three words more
+        edges = s + np.cumsum([len(w) for w in head])
+        if words[a + 2].isspace() or not set(edges[:-1].tolist()) & set(word_char[a : a + 3].tolist()):
+            return int(encoder.counts([text[s:e]])[0])
+        return int(encoder.lengths[encoder.codes(head)].sum() + word_token[end] - word_token[a + 3]) + tail
+
     for slack in range(0, limit // 2, 8):
         cap = limit - overlap - slack
         spans: list[tuple[int, int, str]] = []
@@ -112,8 +151,8 @@ def split_text(text: str, encoder: Encoder, limit: int, overlap: int) -> list[tu
         for t, end, kind in spans:
             s = back(max(0, t - overlap)) if t else 0
             pieces.append((int(chars[starts[s]]), int(chars[starts[end]]), t - s, kind))
-        counts = encoder.counts([text[s:e] for s, e, _, _ in pieces])
-        if counts.max() <= limit:
+        counts = [count(s, e) for s, e, _, _ in pieces]
+        if max(counts) <= limit:
             break
     return [(s, e, int(n), o, kind) for (s, e, o, kind), n in zip(pieces, counts)]
 
@@ -128,9 +167,11 @@ def split_long(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         for b in batches:
             texts = b.column(text).to_pylist()
             keys = b.column(key).to_pylist()
-            for i in np.flatnonzero(encoder.counts(texts) > limit).tolist():
+            codes, per_text, words = encoder.words(texts)
+            ends = np.append(0, np.cumsum(encoder.lengths[codes]))[np.append(0, np.cumsum(per_text))]
+            for i in np.flatnonzero(np.diff(ends) > limit).tolist():
                 t = texts[i]
-                rows = split_text(t, encoder, limit, overlap)
+                rows = split_text(t, encoder, limit, overlap, words[i])
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
