@@ -275,7 +275,8 @@ def class_links(classes: DataFrame, common: list[str], threshold: float) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c1", "c2"])
 
     keys = band_keys(classes, common, threshold)
-    return keys.repartition("k").sortWithinPartitions("k").mapInArrow(run, "c1 bigint, c2 bigint").distinct()
+    tasks = 2 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a class comes in several buckets
+    return keys.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(run, "c1 bigint, c2 bigint").distinct()
 
 
 def similar_classes(df: DataFrame, key: str, fields: list[Field], threshold: float) -> tuple[DataFrame, DataFrame]:
