@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brujula.functions.text import folded, trimmed
-from brujula.session import cut
+from brujula.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,8 @@ def cells(df: DataFrame, specs: dict[str, MaskSpec], keep: list[str], masks: boo
     for name, spec in specs.items():
         value = F.col(name).cast("string")
         parts.append(F.struct(F.lit(name).alias("columna"), value.alias("valor"), *([spec.mask(value).alias("mascara")] if masks else [])))
-    return df.select(*keep, F.explode(F.array(*parts)).alias("c")).select(*keep, "c.*").filter(F.col("valor").isNotNull())
+    rows = df.select(*dict.fromkeys([*keep, *specs]))
+    return spread(rows, (keep or list(specs))[0]).select(*keep, F.explode(F.array(*parts)).alias("c")).select(*keep, "c.*").filter(F.col("valor").isNotNull())
 
 
 def mask_counts(df: DataFrame, specs: dict[str, MaskSpec], by: list[str] | None = None) -> DataFrame:

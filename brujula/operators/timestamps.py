@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brujula.session import spread
 from brujula.functions.dates import INVALID, iso_micros, to_utc_micros, zone_tables
 
 NEWS_FIELDS = ("fecha_publicacion", "fecha_deteccion", "fecha_extraccion")
@@ -27,7 +28,7 @@ def with_outlet_zone(news: DataFrame, outlets: DataFrame, columns: list[str]) ->
     the session's threshold, else it shuffles.
     """
     o = outlets.select(F.col("dominio").alias("_dominio"), F.col("zona_horaria").alias("zona"), (F.col("orden_fecha") == "MDY").alias("mes_primero")).dropDuplicates(["_dominio"])
-    return news.select(*columns, "dominio").join(o, F.col("dominio") == F.col("_dominio"), "left").select(*columns, "zona", "mes_primero")
+    return spread(news.select(*dict.fromkeys([*columns, "dominio"])), columns[0]).join(o, F.col("dominio") == F.col("_dominio"), "left").select(*columns, "zona", "mes_primero")
 
 
 def outlet_zones(outlets: DataFrame, limit: int = 1000) -> dict:

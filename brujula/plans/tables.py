@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brujula.functions.text import folded
 from brujula.operators import merge, rollups, validation
-from brujula.session import table
+from brujula.session import spread, table
 
 ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
 SCOPES = ("titular/metadatos", "descripcion_rss", "descripcion_web")
@@ -182,18 +182,14 @@ def indicator_context(spark, d):
     news = _news(spark, d)
     topic = rollups.majority(news, ["cluster_id"], "tema", "tema", "otro")
     allowed = F.create_map(*[x for t, ids in TOPIC_INDICATORS.items() for x in (F.lit(t), F.array(*[F.lit(i) for i in ids]))])
-    text = F.concat(F.lit(" "), folded(F.concat_ws(" ", "titulo", "descripcion")))
-    pattern = F.create_map(*[x for i, ws in INDICATOR_WORDS.items() for x in (F.lit(i), F.lit("[^a-z0-9_](" + "|".join(ws) + ")"))])
-    hits = news.select("cluster_id", text.alias("x")).crossJoin(_indicator_list(spark)).filter(F.rlike(F.col("x"), pattern[F.col("indicador_id")])).select("cluster_id", "indicador_id").distinct()
+    text = F.concat(F.lit(" "), F.regexp_replace(folded(F.concat_ws(" ", "titulo", "descripcion")), r"\W+", " "))
+    found = F.transform(F.array(text), lambda x: F.array_compact(F.array(*[F.when(x.rlike(" (?:" + "|".join(ws) + ")"), F.lit(i)) for i, ws in INDICATOR_WORDS.items()])))
+    hits = spread(news.select("cluster_id", "fila", "titulo", "descripcion"), "fila").select("cluster_id", F.explode(F.flatten(found)).alias("indicador_id")).distinct()
     links = topic.select("cluster_id", F.explode(allowed[F.col("tema")]).alias("indicador_id")).join(hits, ["cluster_id", "indicador_id"])
     years = latest_indicator(spark, d).filter("pais_iso3 = 'PAN'").select("indicador_id", "anio")
     return links.join(years, "indicador_id").select("cluster_id", F.concat_ws("-", F.lit("WB-PAN"), "indicador_id", F.col("anio").cast("string")).alias("id_evidencia"))
 
 
-def _indicator_list(spark):
-    return spark.createDataFrame([(i,) for i in INDICATOR_WORDS], "indicador_id string")
-
-
 def _quake_spans(spark, d):
     t = F.try_to_timestamp("time")
     return table(spark, d, "sismos").select("id", (t - F.expr("interval 72 hour")).alias("desde"), (t + F.expr("interval 72 hour")).alias("hasta"))
@@ -302,7 +298,7 @@ def _iso(c: str) -> str:
 
 
 _STATES = ", ".join(f"'{s}'" for s in STATES)
-_FOLDED = "' ' || strip_accents(lower(concat_ws(' ', titulo, descripcion)))"
+_FOLDED = "' ' || regexp_replace(strip_accents(lower(concat_ws(' ', titulo, descripcion))), '[^a-z0-9_]+', ' ', 'g')"
 _ISSUES = f"""
     SELECT fila, c AS campo, 'vacío' AS problema FROM (SELECT fila, unnest(['id_noticia','titulo','url','medio','dominio']) AS c, unnest([id_noticia,titulo,url,medio,dominio]) AS v FROM noticias) WHERE nullif(trim(v), '') IS NULL
     UNION ALL SELECT fila, c, 'fecha inválida' FROM (SELECT fila, unnest(['fecha_publicacion','fecha_deteccion','fecha_extraccion']) AS c, unnest([fecha_publicacion,fecha_deteccion,fecha_extraccion]) AS v FROM noticias) WHERE v IS NOT NULL AND ({_iso("v")}) IS NULL
@@ -342,7 +338,7 @@ SQL = {
     "month_quota": f"SELECT mes, fila, puesto FROM (SELECT mes, fila, row_number() OVER (PARTITION BY mes ORDER BY h, fila) AS puesto FROM (SELECT *, row_number() OVER (PARTITION BY mes ORDER BY h, fila) AS r FROM (SELECT fila, {_MONTH} AS mes, sha1(url) AS h, procedencia_id FROM noticias WHERE url IS NOT NULL) WHERE mes IS NOT NULL) WHERE r <= 200 AND procedencia_id IS NOT NULL) WHERE puesto <= 100",
     "grid_complete": "WITH i AS (SELECT * FROM indicadores WHERE valor IS NOT NULL) SELECT p.pais_iso3, q.indicador_id, y.anio, i.valor FROM (SELECT DISTINCT pais_iso3 FROM i) p CROSS JOIN (SELECT DISTINCT indicador_id FROM i) q CROSS JOIN (SELECT DISTINCT anio FROM i) y LEFT JOIN i ON i.pais_iso3 = p.pais_iso3 AND i.indicador_id = q.indicador_id AND i.anio = y.anio",
     "latest_indicator": _LATEST_WB,
-    "indicator_context": "WITH t AS (SELECT c.cluster_id, coalesce(m.v, 'otro') AS tema FROM (SELECT DISTINCT cluster_id FROM noticias) c LEFT JOIN (" + _MAJ.format(k="cluster_id", v="tema") + ") m USING (cluster_id)), w(i, p) AS (VALUES " + ", ".join(f"('{i}', '[^a-z0-9_]({'|'.join(ws)})')" for i, ws in INDICATOR_WORDS.items()) + "), a(tema, i) AS (VALUES " + ", ".join(f"('{t}', '{i}')" for t, ids in TOPIC_INDICATORS.items() for i in ids) + f"), h AS (SELECT DISTINCT n.cluster_id, w.i FROM noticias n JOIN w ON regexp_matches({_FOLDED}, w.p)) SELECT t.cluster_id, 'WB-PAN-' || a.i || '-' || y.anio AS id_evidencia FROM t JOIN a USING (tema) JOIN h ON h.cluster_id = t.cluster_id AND h.i = a.i JOIN ({_LATEST_WB}) y ON y.indicador_id = a.i AND y.pais_iso3 = 'PAN'",
+    "indicator_context": "WITH t AS (SELECT c.cluster_id, coalesce(m.v, 'otro') AS tema FROM (SELECT DISTINCT cluster_id FROM noticias) c LEFT JOIN (" + _MAJ.format(k="cluster_id", v="tema") + ") m USING (cluster_id)), w(i, p) AS (VALUES " + ", ".join(f"('{i}', ' ({'|'.join(ws)})')" for i, ws in INDICATOR_WORDS.items()) + "), a(tema, i) AS (VALUES " + ", ".join(f"('{t}', '{i}')" for t, ids in TOPIC_INDICATORS.items() for i in ids) + f"), h AS (SELECT DISTINCT n.cluster_id, w.i FROM noticias n JOIN w ON regexp_matches({_FOLDED}, w.p)) SELECT t.cluster_id, 'WB-PAN-' || a.i || '-' || y.anio AS id_evidencia FROM t JOIN a USING (tema) JOIN h ON h.cluster_id = t.cluster_id AND h.i = a.i JOIN ({_LATEST_WB}) y ON y.indicador_id = a.i AND y.pais_iso3 = 'PAN'",
     "quake_news": f"SELECT n.fila, s.id FROM (SELECT fila, {_iso('fecha_publicacion')} AS t FROM noticias WHERE tema = 'eventos naturales') n JOIN (SELECT id, try_cast(replace(replace(time, 'T', ' '), 'Z', '') AS TIMESTAMP) AS q FROM sismos) s ON n.t BETWEEN s.q - INTERVAL 72 HOUR AND s.q + INTERVAL 72 HOUR",
     "quakes_sorted": "SELECT id, time, round(magnitude, 2) AS magnitude, row_number() OVER (ORDER BY coalesce(time, ''), id) AS puesto FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC) AS r FROM sismos WHERE updated IS NOT NULL) WHERE r = 1",
     "context_kinds": _KINDS,

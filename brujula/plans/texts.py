@@ -9,7 +9,7 @@ from brujula.functions import normal
 from brujula.functions.text import folded
 from brujula.operators import figures, lexical, validation
 from brujula.operators.components import components
-from brujula.session import cut, table
+from brujula.session import cut, spread, table
 
 #: Keywords of the topics, folded; those of four letters or fewer are whole words (fixed values).
 TOPIC_WORDS = {
@@ -61,14 +61,16 @@ def content_words(spark, d):
 
 
 def _pattern(words) -> str:
-    return r"[^a-z0-9_](?:" + "|".join(w + ("(?=[^a-z0-9_])" if len(w) <= 4 else "") for w in words) + ")"
+    """Keywords at a word's start in a text whose words are apart by two spaces; short ones are whole words."""
+    return " (?:" + "|".join(w.replace(" ", "  ") + (" " if len(w) <= 4 else "") for w in words) + ")"
 
 
 def topic_keywords(spark, d):
     """Topic with the most keyword hits in title and description, and its share of all hits."""
-    text = F.concat(F.lit("  "), F.regexp_replace(folded(F.concat_ws(". ", "titulo", "descripcion")), r"\s", "  "), F.lit("  "))
-    hits = [F.regexp_count(F.col("x"), F.lit(_pattern(ws))).alias(t) for t, ws in TOPIC_WORDS.items()]
-    n = _news(spark, d).select("fila", text.alias("x")).select("fila", *hits)
+    text = F.concat(F.lit("  "), F.regexp_replace(folded(F.concat_ws(". ", "titulo", "descripcion")), r"\W+", "  "), F.lit("  "))
+    # inside the lambda the text is evaluated once, not once per topic
+    hits = F.transform(F.array(text), lambda x: F.struct(*[F.regexp_count(x, F.lit(_pattern(ws))).alias(t) for t, ws in TOPIC_WORDS.items()]))
+    n = spread(_news(spark, d).select("fila", "titulo", "descripcion"), "fila").select("fila", F.explode(hits).alias("h")).select("fila", "h.*")
     names = list(TOPIC_WORDS)
     most, total = F.greatest(*[F.col(f"`{t}`") for t in names]), sum((F.col(f"`{t}`") for t in names), F.lit(0))
     best = F.coalesce(*[F.when(F.col(f"`{t}`") == most, t) for t in names])
@@ -167,8 +169,8 @@ _STEMS = rf"list_transform(list_filter(regexp_extract_all(strip_accents(lower(ti
 _PLAIN = "regexp_replace(descripcion, '<[^>]+>', ' ', 'g')"
 for _e, _s in normal.ENTITIES:
     _PLAIN = f"replace({_PLAIN}, '{_e}', '{_s.replace(chr(39), chr(39) * 2)}')"
-_HITS = ", ".join("len(regexp_extract_all(x, '" + _pattern(ws).replace("(?=[^a-z0-9_])", "[^a-z0-9_]") + f"')) AS h{i}" for i, ws in enumerate(TOPIC_WORDS.values()))
-_TEXT = r"'  ' || regexp_replace(strip_accents(lower(concat_ws('. ', titulo, descripcion))), '\s', '  ', 'g') || '  '"
+_HITS = ", ".join("len(regexp_extract_all(x, '" + _pattern(ws) + f"')) AS h{i}" for i, ws in enumerate(TOPIC_WORDS.values()))
+_TEXT = r"'  ' || regexp_replace(strip_accents(lower(concat_ws('. ', titulo, descripcion))), '[^a-z0-9_]+', '  ', 'g') || '  '"
 _AG = "coalesce(titulo, '') || ' ' || chr(10) || ' ' || coalesce(descripcion, '') || ' ' || chr(10) || ' ' || coalesce(medio, '')"
 _TFIDF = r"""
     t AS (SELECT {key} AS k, unnest(regexp_extract_all(strip_accents(lower({text})), '{tok}')) AS w FROM {src}),

@@ -75,5 +75,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, of a scan, over as many tasks as there are cores where its files make fewer.
+
+    A single small file is one task however much work its rows are; large inputs have far
+    more splits than cores and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
