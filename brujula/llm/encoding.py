@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from brujula.llm.bpe import Encoder
+from brujula.session import spread
 
 
 def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
@@ -29,7 +30,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(key), ids], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -42,4 +43,4 @@ def token_counts(df: DataFrame, path: str, keep: list[str], text: str = "text")
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(n, type=pa.int64())], names=[*keep, "tokens"])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(*keep, *([text] if text not in keep else [])).mapInArrow(run, f"{kinds}, tokens bigint")
+    return spread(df.select(*keep, *([text] if text not in keep else [])), keep[0]).mapInArrow(run, f"{kinds}, tokens bigint")

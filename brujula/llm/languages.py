@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brujula.session import spread
+
 LANGUAGES = ("es", "en", "pt", "fr", "de", "it")
 
 #: Names and codes of the languages in their usual spellings, folded (fixed values).
@@ -395,4 +397,4 @@ def segments(df: DataFrame, model: tuple[Pieces, np.ndarray], key: str, text: st
 
     kind = df.schema[key].dataType.simpleString()
     cols = list(dict.fromkeys([key, text, *([label] if label else [])]))
-    return df.select(*cols).mapInArrow(run, f"`{key}` {kind}, segmento int, idioma string, confianza double, inicio int, fin int, caso boolean")
+    return spread(df.select(*cols), key).mapInArrow(run, f"`{key}` {kind}, segmento int, idioma string, confianza double, inicio int, fin int, caso boolean")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from brujula.functions.text import words
 from brujula.llm.sketches import frequent_words, mixed, super_min_hash, word_hash
 from brujula.operators.components import components
-from brujula.session import cut
+from brujula.session import cut, spread
 
 SLOTS, OWN = 64, 16  # slots of a signature; sets of up to OWN rarer words are their own
 TRIPLES, BANDS = 60, 45  # frequent words up to which triples are taken, and from which bands are
@@ -66,7 +66,7 @@ def word_sets(df: DataFrame, key: str, fields: list[Field]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own, pa.array([i] * len(own), type=pa.int8()), text], names=[key, "campo", "palabras"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *[f.name for f in fields]).mapInArrow(run, f"`{key}` {kind}, campo tinyint, palabras string")
+    return spread(df.select(key, *[f.name for f in fields]), key).mapInArrow(run, f"`{key}` {kind}, campo tinyint, palabras string")
 
 
 def _ragged(sets: list[list[str]], keep=None) -> tuple[np.ndarray, np.ndarray]:

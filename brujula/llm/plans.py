@@ -11,7 +11,7 @@ from brujula.functions.urls import page_keys
 from brujula.llm import encoding, events, languages, mixing, neardup, splitting, survivors
 from brujula.operators import timestamps
 from brujula.operators.profile import NEWS_SPECS, USABLE
-from brujula.session import cut, table
+from brujula.session import cut, spread, table
 
 
 def _language_model(spark: SparkSession, d: str):
@@ -117,7 +117,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Elected title of each page that was captured twice or more."""
-    news = table(spark, d, "noticias").select("fila", "titulo", "url", _rank(F.col("origen")).alias("rango"))
+    news = spread(table(spark, d, "noticias").select("fila", "titulo", "url", "origen"), "fila").select("fila", "titulo", "url", _rank(F.col("origen")).alias("rango"))
     good = NEWS_SPECS["url"].mask(F.col("url")) == USABLE
 
     def run(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brujula.llm.bpe import Encoder
+from brujula.session import spread
 
 SECTION, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD = 6, 5, 4, 3, 2, 1
 _HEADING = re.compile(r"#{1,6}\s|<h[1-6]\b|(?:cap[ií]tulo|art[ií]culo|secci[oó]n|t[ií]tulo|chapter|article|section|kapitel|artikel|abschnitt|capitolo|articolo|chapitre)\s+[\dIVXLC]+", re.IGNORECASE)
@@ -185,4 +186,4 @@ def split_long(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieza int, inicio int, fin int, tokens int, solape int, corte string, texto string")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, pieza int, inicio int, fin int, tokens int, solape int, corte string, texto string")
