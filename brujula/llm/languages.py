@@ -41,6 +41,7 @@ _NAMES = {name: code for code, names in NAMES.items() for name in names.split()}
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 40  # characters of a word that are scored at once; longer words in parts of this length
 UNKNOWN = 1e-7
+CELLS = 60_000  # words of the texts that are labelled together, with padding
 CHANGE, CHANGE_AT_SIGN = 11.0, 6.5
 
 
@@ -248,9 +249,12 @@ class Labeller:
                 k += 1
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         some = np.flatnonzero(sizes)
-        for block in np.array_split(some[np.argsort(sizes[some], kind="stable")], max(1, len(some) // 2000)):
-            if len(block):
-                self._block(block, sizes, starts, codes, sign, spans, out, confidence)
+        order = some[np.argsort(sizes[some], kind="stable")]
+        first = 0
+        for i in range(1, len(order) + 1):  # blocks of like sizes, bounded in cells so that long texts come few at a time
+            if i == len(order) or (i + 1 - first) * sizes[order[i]] > CELLS:
+                self._block(order[first:i], sizes, starts, codes, sign, spans, out, confidence)
+                first = i
         return out
 
     def _block(self, block, sizes, starts, codes, sign, spans, out, confidence) -> None:
