@@ -1,8 +1,9 @@
 """Clusters of records that report one event (problem 5).
 
 1. Each title gets its language and stretches (the operator of problem 1) and its names:
-   the words that aren't common words of the bounded training sample nor one edit away
-   from one. What a title says of whom and where is in its names; the wording is not.
+   the words that aren't common words of all distinct titles nor one edit away from one.
+   What a title says of whom and where is in its names; the wording is not. A title without
+   names has its own words in their order for a name, so that it links with its copies.
 2. Rows with the same language and names are one leaf entry of the cluster-feature tree:
    its cluster feature (count, linear sum, square sum) is merged in every partition and
    then along the shuffle's reduction. Copies thus weigh in counts, not in work.
@@ -25,13 +26,17 @@ empty results; further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brujula.functions.dates import INVALID
-from brujula.functions.text import fold
+from brujula.functions.text import fold, words
 from brujula.functions.urls import page_keys
 from brujula.llm import languages
 from brujula.llm.neardup import HOT, _pairs_within
@@ -72,27 +77,121 @@ class Names:
         return " ".join(sorted({w for w in words if self.is_name(w)}))
 
 
-def common_words(texts: list[str], least: int = 3, rare: int = 20) -> set[str]:
-    """Folded words that at least `least` unrelated texts of the sample hold.
+#: One unrelated title in so many makes a word common; rows of `least` titles at any size are too few to tell.
+EVERY, LEAST = 6000, 3
+
+
+def title_words(text: str) -> list[str]:
+    """Distinct folded words of a title, runs of letters with digits inside included."""
+    pieces = [fold(w) for w in languages.WORD.findall(text)]
+    return list(dict.fromkeys([*pieces, *(w for w in words(text) if not w.isalpha() and not w.isdigit())]))
+
+
+def _long(ws: list[str]) -> list[str]:
+    return [w for w in ws if len(w) > 3]
 
-    Texts that share two words of at most `rare` occurrences are related (copies, reports
-    of one event); of related texts the first counts.
+
+def head_counts(lists, df: dict[str, int], least: float) -> Counter:
+    """(word, head): titles of each word of at least `least` titles by their head, the rarest other word.
+
+    df has the words of at least least / 4 titles; a title with a rarer one gets no head, since
+    such a word can't tie a large part of the other's titles together.
     """
-    lists = [list(dict.fromkeys(fold(w) for w in languages.WORD.findall(t))) for t in texts]
-    counts: dict[str, int] = {}
+    out: Counter = Counter()
     for ws in lists:
+        known = sorted((df[w], w) for w in _long(ws) if w in df)
+        if len(known) < len(_long(ws)):
+            continue
         for w in ws:
-            counts[w] = counts.get(w, 0) + 1
-    seen: set[tuple[str, str]] = set()
-    out: dict[str, int] = {}
+            head = next((x for _, x in known[:2] if x != w), None)
+            if head is not None and df.get(w, 0) >= least:
+                out[w, head] += 1
+    return out
+
+
+def bare_pairs(lists, common: set[str]) -> Counter:
+    """(word, word): titles without names that hold both."""
+    out: Counter = Counter()
     for ws in lists:
-        few = sorted(w for w in ws if counts[w] <= rare and len(w) > 3)
-        pairs = {(a, b) for i, a in enumerate(few) for b in few[i + 1 :]}
-        if seen.isdisjoint(pairs):
-            for w in ws:
-                out[w] = out.get(w, 0) + 1
-        seen |= pairs
-    return {w for w, n in out.items() if n >= least}
+        if common.issuperset(_long(ws)):
+            out.update(combinations(sorted(_long(ws)), 2))
+    return out
+
+
+def spread_words(df: dict[str, int], tops: dict[str, list[int]], least: float) -> set[str]:
+    """Words of at least `least` titles, but those of which two heads hold half of the titles."""
+    tied = {w for w, t in tops.items() if t[0] >= 2 and sum(t[:2]) >= df[w] / 2}
+    return {w for w, n in df.items() if n >= least} - tied
+
+
+def without_hot(common: set[str], df: dict[str, int], pairs: dict[tuple[str, str], int]) -> set[str]:
+    """common without the names of hot actors: two words that share half of the titles of either, and
+    these without any other name. Their misspelt forms are no common words either."""
+    hot = {w for pair, n in pairs.items() if n >= max(df[pair[0]], df[pair[1]]) / 2 for w in pair}
+    near = {w for w in common - hot if len(w) > 3 and any(df[w] < df[h] / 4 and _near(w, h) for h in hot)}
+    return common - hot - near
+
+
+def common_words(texts: list[str], least: int = LEAST, every: int = EVERY) -> set[str]:
+    """Folded words that many unrelated ones of the distinct texts hold (see `corpus_common_words`)."""
+    lists = [title_words(t) for t in dict.fromkeys(texts)]
+    at = max(least, len(lists) / every)
+    df = {w: n for w, n in Counter(w for ws in lists for w in ws).items() if n >= at / 4}
+    tops: dict[str, list[int]] = {}
+    for (w, _), n in head_counts(lists, df, at).items():
+        tops.setdefault(w, []).append(n)
+    common = spread_words(df, {w: sorted(t, reverse=True) for w, t in tops.items()}, at)
+    return without_hot(common, df, bare_pairs(lists, common))
+
+
+def _counted(lists: DataFrame, count, columns: list[str]) -> DataFrame:
+    """Sums of the counters that `count` makes of batches of word lists, drawn together per task first."""
+
+    def run(batches):
+        total: Counter = Counter()
+
+        def out():
+            keys = [k if isinstance(k, tuple) else (k,) for k in total]
+            arrays = [pa.array([k[i] for k in keys], type=pa.string()) for i in range(len(columns))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(list(total.values()), type=pa.int64())], names=[*columns, "n"])
+
+        for b in batches:
+            total.update(count([x.split(" ") for x in b.column("palabras").to_pylist()]))
+            if len(total) > 1_000_000:
+                yield out()
+                total.clear()
+        yield out()
+
+    kinds = ", ".join(f"{c} string" for c in columns)
+    return lists.mapInArrow(run, f"{kinds}, n bigint").groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def corpus_common_words(news: DataFrame, least: int = LEAST, every: int = EVERY) -> set[str]:
+    """The common words of all distinct titles.
+
+    A word is common if at least one in `every` titles (and `least`) hold it and they aren't
+    mostly tied together by the same further words. Only words of a share of the titles are
+    brought to the driver, so their number is bounded by the words of a title, at any size.
+    """
+
+    def run(batches):
+        for b in batches:
+            lists = [" ".join(title_words(t)) for t in b.column("titulo").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, type=pa.string())], names=["palabras"])
+
+    lists = cut(news.select("titulo").filter(F.col("titulo").isNotNull()).distinct().mapInArrow(run, "palabras string"), "titles")
+    at = max(least, lists.count() / every)
+    df = {r["w"]: r["n"] for r in _counted(lists, lambda ls: Counter(w for ws in ls for w in ws if w), ["w"]).filter(F.col("n") >= at / 4).collect()}
+    heads = _counted(lists, lambda ls: head_counts(ls, df, at), ["w", "x"])
+    tops = heads.groupBy("w").agg(F.slice(F.sort_array(F.collect_list("n"), False), 1, 2).alias("t")).collect()
+    common = spread_words(df, {r["w"]: r["t"] for r in tops}, at)
+    pairs = _counted(lists, lambda ls: bare_pairs(ls, common), ["w", "x"]).filter(F.col("n") >= at / 2).collect()
+    return without_hot(common, df, {(r["w"], r["x"]): r["n"] for r in pairs})
+
+
+def own_name(text: str) -> str:
+    """What stands for the names of a title without any: only the same words in the same order equal it."""
+    return "=" + hashlib.blake2b(" ".join(words(text)).encode(), digest_size=8).hexdigest()
 
 
 def described(news: DataFrame, outlets: DataFrame, model: tuple, common: set[str]) -> DataFrame:
@@ -115,7 +214,7 @@ def described(news: DataFrame, outlets: DataFrame, model: tuple, common: set[str
                     pa.array([found[i][0][0] for i in at], type=pa.int8()),
                     pa.array([len(found[i]) > 1 for i in at], type=pa.bool_()),
                     pa.array(t[at], type=pa.int64()),
-                    pa.array([names.of([fold(w) for w in languages.WORD.findall(texts[i])]) for i in at], type=pa.string()),
+                    pa.array([names.of([fold(w) for w in languages.WORD.findall(texts[i])]) or own_name(texts[i]) for i in at], type=pa.string()),
                     page_keys(b.column("url").filter(pa.array(take))),
                 ],
                 names=["fila", "lengua", "varias", "t", "nombres", "pagina"],

@@ -51,7 +51,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     news = table(spark, d, "noticias")
     rows = languages.sample(news, "titulo", "idioma")
     model = languages.fit_sample(rows, encoding.tokenizer_path(spark, "piece_bpe_32k.model"))
-    described = events.described(news, table(spark, d, "medios"), model, events.common_words(sorted(rows["t"])))
+    described = events.described(news, table(spark, d, "medios"), model, events.corpus_common_words(news))
     return events.clustered(cut(described, "described"))
 
 

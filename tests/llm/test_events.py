@@ -89,6 +89,33 @@ def test_common_words():
     assert tell.of(["empresa", "emprsea", "emresa", "nombreraro", "obra", "de"]) == "nombreraro"
 
 
+def hot_titles():
+    rng = random.Random(3)
+    facts = [" ".join(x) for x in zip(["aplaza", "critica", "aprueba", "retrasa"] * 6, ["obra nueva", "feria anual", "tarifa media"] * 8)]
+    title = lambda a: f"Empresa {a[0]} {a[1]} {rng.choice(facts)} en {a[2]}{rng.choice([' ahora', '', ' despues'])}"
+    texts = [title(a) for a in [(names(rng), names(rng), names(rng)) for _ in range(150)] for _ in range(2)]
+    return texts + [title(("Bodila", "Guruzo", "Savite")) for _ in range(400)]
+
+
+def test_names_of_a_hot_actor_stay_names(spark):
+    texts = hot_titles()
+    got = events.common_words(texts)
+    assert {"empresa", "aplaza", "obra", "feria", "tarifa", "ahora"} <= got and got.isdisjoint({"bodila", "guruzo", "savite"})
+    assert events.Names(got).of(["empresa", "bodila", "aplaza", "obra"]) == "bodila"
+    news = spark.createDataFrame([(t,) for t in [*texts, None, "", "735"]], "titulo string")
+    assert events.corpus_common_words(news) == events.common_words([*texts, "", "735"])
+    assert events.corpus_common_words(news.limit(0)) == set()
+
+
+def test_titles_without_names_link_with_their_copies(spark, data):
+    news = spark.read.parquet(f"{data}/noticias.parquet")
+    first = news.filter("titulo IS NOT NULL AND idioma = 'es' AND fecha_publicacion LIKE '20%Z'").limit(1).drop("fila", "titulo")
+    rows = first.crossJoin(spark.createDataFrame([(1, "La obra se aplaza por la lluvia"), (2, "LA OBRA se aplaza por la lluvia"), (3, "La lluvia se aplaza por la obra")], "fila long, titulo string"))
+    common = {"obra", "aplaza", "lluvia"}
+    described = events.described(rows, spark.read.parquet(f"{data}/medios.parquet"), plans._language_model(spark, data), common)
+    assert {tuple(r) for r in events.event_links(events.clustered(described.cache())).collect()} == {(1, 2)}
+
+
 def test_typical_members(spark):
     rows = [(i, "bodila guruzo savite") for i in range(3)] + [(5, "bodila guruzo"), (6, "bodila guruzo savite extran")]
     m = spark.createDataFrame([(f, n, 1) for f, n in rows] + [(9, "otro solo", 2)], "fila long, nombres string, cluster long")
