@@ -1,9 +1,10 @@
 """Column-level data quality profile by character-class masks.
 
 A value is generalised to a mask by an ordered list of rewritings (character classes to
-one sign each). The masks of a column are counted over all rows; those that hold at least
-`min_share` of the non-null values are the column's dominant patterns, every other mask is
-rare and its cells are violations. Loads are compared by their figures and by the
+one sign each). A column whose right form is known accepts the masks of that form and no
+others, however frequent they are. Of other columns the masks are counted over all rows;
+those that hold at least `min_share` of the non-null values are the dominant patterns, every
+other mask is rare and its cells are violations. Loads are compared by their figures and by the
 Jensen-Shannon divergence of their mask distributions.
 
 Defined cases: null cells have no mask and are never violations; an empty table or load
@@ -30,6 +31,7 @@ class MaskSpec:
     rewrites: tuple[tuple[str, str], ...]
     prepare: str = "trim"
     extra: dict = field(default_factory=dict, hash=False)
+    accepts: tuple[str, ...] = ()  # masks of the right form; none: the dominant ones are right
 
     def mask(self, col: Column) -> Column:
         out = trimmed(col)
@@ -41,8 +43,8 @@ class MaskSpec:
 #: Any text: digits to 9, capitals to A, small letters to a, runs drawn together.
 GENERIC = MaskSpec(((r"[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"(?U)\s+", " ")))
 
-#: Identifiers: lower-case hex digits to h, everything else as it is.
-HEX_ID = MaskSpec(((r"[0-9a-f]", "h"),))
+#: Identifiers: lower-case hex digits to h, everything else (but h itself) as it is.
+HEX_ID = MaskSpec((("h", "x"), (r"[0-9a-f]", "h")), accepts=("N-" + "h" * 10,))
 
 #: The mask of a usable address: no letter or digit, so that later rewritings keep it.
 USABLE = "\u2713"
@@ -50,11 +52,13 @@ USABLE = "\u2713"
 #: Addresses: scheme, host with a dot and a rest without white space together to one sign.
 ADDRESS = MaskSpec(
     (
+        (USABLE, "v"),  # in a value it is no sign
         (r"^(?i:https?)://(?=[^/?#\s]*\.)[^/?#\s]+(?:[/?#][^\s\u00a0]*)?$", USABLE),
         (r"\p{L}+", "a"),
         (r"[0-9]+", "9"),
         (r"(?U)\s+", " "),
-    )
+    ),
+    accepts=(USABLE,),
 )
 
 #: Folded texts that only stand for a missing one (fixed values).
@@ -88,7 +92,7 @@ class TextSpec(MaskSpec):
         )
 
 
-TEXT = TextSpec(())
+TEXT = TextSpec((), accepts=("t",))
 
 NEWS_SPECS = {"id_noticia": HEX_ID, "url": ADDRESS, "descripcion": TEXT}
 
@@ -115,13 +119,25 @@ def dominant_masks(counts: DataFrame, min_share: float) -> DataFrame:
 
 
 def violations(df: DataFrame, specs: dict[str, MaskSpec], key: str, min_share: float = 0.2) -> DataFrame:
-    """key, columna, valor, mascara of the cells whose mask isn't a dominant one.
+    """key, columna, valor, mascara of the cells whose mask isn't of the column's right form, or,
+    where its spec names none, isn't a dominant one.
 
     The list of dominant masks has at most 1/min_share rows per column, so it is small at
     any size of the table and Spark may broadcast it by its own threshold.
     """
-    dominant = dominant_masks(cut(mask_counts(df, specs), "masks"), min_share)
-    return cells(df, specs, [key]).join(dominant, ["columna", "mascara"], "left_anti").select(key, "columna", "valor", "mascara")
+    out = [key, "columna", "valor", "mascara"]
+    known = {c: s for c, s in specs.items() if s.accepts}
+    mined = {c: s for c, s in specs.items() if not s.accepts}
+    found = []
+    if known:
+        right = F.lit(False)
+        for c, s in known.items():
+            right = right | ((F.col("columna") == c) & F.col("mascara").isin(*s.accepts))
+        found.append(cells(df, known, [key]).filter(~right).select(*out))
+    if mined or not known:
+        dominant = dominant_masks(cut(mask_counts(df, mined), "masks"), min_share)
+        found.append(cells(df, mined, [key]).join(dominant, ["columna", "mascara"], "left_anti").select(*out))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def load_figures(df: DataFrame, columns: list[str], load: str) -> DataFrame:

@@ -34,6 +34,17 @@ def test_rare_masks(spark):
     assert found(spark, values) == want
 
 
+def test_frequent_bad_masks_and_infrequent_good_ones(spark):
+    """The forms are absolute: a wrong one is reported however frequent, a right one never."""
+    n = len(GOOD)
+    bad = [(1000 + i, "K-0123456789", "https://a.example/x y", "Sin descripción" if i % 2 else "texto<br/>", 1) for i in range(9 * n)]
+    bad += [(9000, "N-hhhhhhhhhh", profile.USABLE, "a &amp; b", 1)]
+    ok = [(9001, None, f"https://{profile.USABLE}.example/", None, 1)]
+    assert found(spark, bad + ok) == {(v[0], c) for v in bad for c in ("id_noticia", "url", "descripcion")}
+    mined = profile.violations(rows(spark, GOOD + bad), {"id_noticia": profile.GENERIC, "descripcion": profile.TEXT}, "fila").groupBy("columna").count().collect()
+    assert dict(map(tuple, mined))["descripcion"] == len(bad) and len(mined) == 2  # a column without a known form still goes by its dominant masks
+
+
 def test_loads_against_brute_force(spark):
     values = []
     for load, (nulls, distinct, length) in enumerate([(0.1, 1.0, 10), (0.5, 1.0, 10), (0.5, 0.5, 10), (0.5, 0.5, 20), (0.45, 0.5, 22)], 1):
