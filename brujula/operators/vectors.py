@@ -1,11 +1,13 @@
 """Dense vectors: nearest sentences, close pairs, complete-linkage clusters.
 
-Pairs of dense vectors are only made inside a blocking key and inside blocks of bounded
-size (numpy products of Arrow batches); clusters are made per connected component.
+Pairs of dense vectors are made inside a blocking key, or among all rows by products of
+blocks of bounded size; clusters are made per connected component from its close pairs.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brujula.operators.components import components
+from brujula.session import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,6 +58,34 @@ def close_pairs(df: DataFrame, key: str, vector: str, block: str, least: float)
     return left.join(right, block).filter("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("coseno")).filter(F.col("coseno") >= least)
 
 
+def all_close_pairs(df: DataFrame, key: str, vector: str, least: float, rows: int = 2000) -> DataFrame:
+    """a < b, coseno of all rows whose cosine is at least `least`; a null or zero vector has no pair.
+
+    The rows are dealt to blocks of about `rows`; each pair of blocks is one product.
+    """
+    one = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), unit(F.col(vector)).alias("u"))
+    blocks = max(1, -(-df.count() // rows))
+    dealt = one.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = dealt.select("k", "u", "p", other.alias("q")).select("k", "u", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def product(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g["x"].iloc[0], g["y"].iloc[0]
+        left, right = g[g["p"] == x], g[g["p"] == y]
+        out = {"a": g["k"].iloc[:0], "b": g["k"].iloc[:0], "coseno": pd.Series(dtype="float64")}
+        if len(left) and len(right):
+            s = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
+            i, j = np.nonzero(s >= least)
+            ki, kj = left["k"].to_numpy()[i], right["k"].to_numpy()[j]
+            take = ki < kj if x == y else ki != kj
+            ki, kj, s = ki[take], kj[take], s[i[take], j[take]]
+            out = {"a": np.where(ki < kj, ki, kj), "b": np.where(ki < kj, kj, ki), "coseno": s}
+        return pd.DataFrame(out)
+
+    return sides.groupBy("x", "y").applyInPandas(product, f"a {kind}, b {kind}, coseno double")
+
+
 def nearest(df: DataFrame, key: str, vector: str, every: int = 100, k: int = 10) -> DataFrame:
     """consulta, vecino, coseno, puesto: for each row whose key divides by `every` its k nearest rows.
 
@@ -63,8 +94,6 @@ def nearest(df: DataFrame, key: str, vector: str, every: int = 100, k: int = 10)
     """
     from pyspark.sql import Window
 
-    from brujula.session import cut
-
     unit_rows = df.select(F.col(key), unit(F.col(vector)).alias("u"))
     queries = cut(unit_rows.filter(F.col(key) % every == 0).withColumn("bloque", F.pmod(F.xxhash64(key), F.lit(8))), "queries")
     sides = unit_rows.select(F.col(key).alias("vecino"), "u", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bloque"))
@@ -110,18 +139,49 @@ def complete_linkage(distance: np.ndarray, cut_at: float) -> np.ndarray:
     return label
 
 
-def linkage_clusters(df: DataFrame, key: str, vector: str, block: str, distance: float = 0.30) -> DataFrame:
-    """key, grupo (least key of the cluster): complete linkage inside the components of close pairs."""
-    pairs = close_pairs(df, key, vector, block, 1 - distance)
+def sparse_linkage(pairs: dict[tuple, float], cut_at: float) -> dict:
+    """The clusters of `complete_linkage` (key -> least key) from the pairs (a < b) within cut_at alone:
+    clusters with any members farther apart never join, so their distance isn't needed."""
+    near: dict = {}
+    heap = []
+    for (a, b), d in pairs.items():
+        if d <= cut_at + 1e-9:
+            near.setdefault(a, {})[b] = d
+            near.setdefault(b, {})[a] = d
+            heap.append((d, a, b))
+    heapq.heapify(heap)
+    members = {k: [k] for k in near}
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if near.get(i, {}).get(j) != d:
+            continue
+        ni, nj = near[i], near.pop(j)
+        members[i] += members.pop(j)
+        del ni[j], nj[i]
+        for x in nj.keys() - ni.keys():
+            del near[x][j]
+        for x in list(ni):
+            if x not in nj:
+                del ni[x], near[x][i]
+                continue
+            far = max(ni[x], nj[x])
+            del near[x][j]
+            if far != ni[x]:
+                ni[x] = near[x][i] = far
+                heapq.heappush(heap, (far, min(i, x), max(i, x)))
+    return {k: own for own, ks in members.items() for k in ks}
+
+
+def linkage_clusters(df: DataFrame, key: str, vector: str, distance: float = 0.30) -> DataFrame:
+    """key, grupo (least key of the cluster): complete linkage of all rows, inside the components of close pairs."""
+    pairs = cut(all_close_pairs(df, key, vector, 1 - distance - 1e-9), "pairs")
     comp = components(pairs, "a", "b")
-    rows = df.select(key, unit(F.col(vector)).alias("u")).join(comp, F.col(key) == F.col("nodo")).select(key, "u", "componente")
+    own = pairs.join(comp, F.col("a") == F.col("nodo")).select("componente", "a", "b", "coseno")
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key)
-        u = np.stack(g["u"].to_numpy())
-        label = complete_linkage(1 - u @ u.T, distance)
-        return pd.DataFrame({key: g[key], "grupo": g[key].to_numpy()[label]})
+        found = sparse_linkage(dict(zip(zip(g["a"], g["b"]), 1 - g["coseno"])), distance)
+        return pd.DataFrame({key: list(found), "grupo": list(found.values())})
 
     kind = df.schema[key].dataType.simpleString()
-    found = rows.groupBy("componente").applyInPandas(cluster, f"`{key}` {kind}, grupo {kind}")
+    found = own.groupBy("componente").applyInPandas(cluster, f"`{key}` {kind}, grupo {kind}")
     return df.select(key).join(found, key, "left").select(key, F.coalesce("grupo", key).alias("grupo"))

@@ -57,12 +57,13 @@ def vector_class(spark, d):
 
 
 def vector_pairs(spark, d):
+    """Close pairs within each label, as the SQL has it; `vectors.all_close_pairs` are those of all rows."""
     out = vectors.close_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.35)
     return out.select("a", "b", F.round("coseno", 4).alias("coseno"))
 
 
 def vector_clusters(spark, d):
-    return vectors.linkage_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.7)
+    return vectors.linkage_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.7)
 
 
 def vector_neighbours(spark, d):

@@ -203,3 +203,21 @@ def test_best_class(spark):
     assert {r["clase"] for r in vectors.best_class(df, "k", "v", classes.limit(0), 0.45, "otro").collect()} == {"otro"}
     with pytest.raises(ValueError):
         vectors.best_class(df, "k", "v", classes, 0.45, "otro", most=1)
+
+
+def test_clusters_span_labels(spark, data):
+    """Pairs and complete linkage of all rows, whatever their labels, as the dense method has them."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = sorted(df.collect(), key=lambda r: r["vec_id"])
+    u = np.array([r["embedding"] for r in rows], dtype=float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = [r["vec_id"] for r in rows]
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.35, 1))
+    got = vectors.all_close_pairs(df, "vec_id", "embedding", 0.35, rows=150).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(ids[a], ids[b]) for a, b in zip(i, j)} and len(got) == len(i)
+    label = vectors.complete_linkage(1 - u @ u.T, 0.7)
+    found = {r["vec_id"]: r["grupo"] for r in vectors.linkage_clusters(df, "vec_id", "embedding", 0.7).collect()}
+    assert found == {k: ids[x] for k, x in zip(ids, label)}
+    kinds = {r["vec_id"]: r["label"] for r in rows}
+    assert any(kinds[k] != kinds[g] for k, g in found.items())
+    assert vectors.linkage_clusters(df.limit(0), "vec_id", "embedding", 0.7).count() == 0
