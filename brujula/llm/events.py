@@ -4,13 +4,13 @@
    the words that aren't common words of all distinct titles nor one edit away from one.
    What a title says of whom and where is in its names; the wording is not. A title without
    names has its own words in their order for a name, so that it links with its copies.
-2. Rows with the same language and names are one leaf entry of the cluster-feature tree:
-   its cluster feature (count, linear sum, square sum) is merged in every partition and
-   then along the shuffle's reduction. Copies thus weigh in counts, not in work.
+2. Rows with the same language and names are one leaf with its count, drawn together in
+   every partition and then along the shuffle. Copies thus weigh in counts, not in work.
 3. Leaves are routed to the blocks of their names. Within a block leaves are vectors of
-   hashed letter groups of their names, so that a misspelt name stays near; Ward's cost of
-   joining two leaves, n1 n2 / (n1 + n2) d^2 with one unit per distinct name set, decides
-   which leaf joins the heaviest leaf it may. Chains are followed to their root.
+   hashed letter groups of their names, so that a misspelt name stays near. Each leaf points
+   to the heaviest leaf whose unit vector is near enough, and chains are followed to their
+   root. This replaces the tree of cluster features and the Ward agglomeration: no merged
+   centroid or count enters a cost (the README says why).
 4. One full pass assigns all rows to their root; a cluster is cut where a span of 72 hours
    is empty. A cluster's typical member is the one nearest to its centroid.
 5. Links of rows need the same cluster, at most `hours` between their instants, and names
@@ -253,7 +253,7 @@ def _joins(sizes: np.ndarray, e: np.ndarray, n: np.ndarray, vectors: np.ndarray)
         i, j = _pairs_within(sizes[g])
         i, j = i + starts[g[0]], j + starts[g[0]]
         d2 = 2 - 2 * np.einsum("ij,ij->i", vectors[i], vectors[j])
-        hit = (d2 * 0.5 <= WARD) & (e[i] != e[j])  # Ward's cost of two single units
+        hit = (d2 * 0.5 <= WARD) & (e[i] != e[j])  # half the squared distance: Ward's cost of two single units
         i, j = i[hit], j[hit]
         swap = (n[i] > n[j]) | ((n[i] == n[j]) & (e[i] < e[j]))
         light, heavy = np.where(swap, j, i), np.where(swap, i, j)
