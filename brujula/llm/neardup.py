@@ -296,8 +296,28 @@ def row_links(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return same.unionByName(across).distinct()
 
 
+def shared_partners(members: DataFrame, both: DataFrame, key: str) -> DataFrame:
+    """key, s: other rows that a row with two classes (one per field) is linked with through either field.
+
+    Rows of the same two classes are counted together. Of a row's two classes the one that leads to
+    fewer such pairs is followed, the other is then looked up. both: c1, c2 in either direction.
+    """
+    two = members.groupBy(key).agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
+    kinds = cut(two.groupBy("x", "y").agg(F.count("*").alias("m")), "kinds")
+    ends = cut(kinds.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("o")), F.struct(F.col("y").alias("c"), F.col("x").alias("o")))).alias("e"), "m").select("e.c", "e.o", "m"), "ends")
+    own = ends.select("c").distinct()
+    near = cut(both.select("c1", "c2").unionByName(own.select(F.col("c").alias("c1"), F.col("c").alias("c2"))), "near")  # a class is near itself
+    reach = near.join(ends.groupBy(F.col("c").alias("c2")).agg(F.count("*").alias("k")), "c2").groupBy(F.col("c1").alias("c")).agg(F.sum("k").alias("k"))
+    led = kinds.select("x", "y").join(reach.select(F.col("c").alias("x"), F.col("k").alias("kx")), "x").join(reach.select(F.col("c").alias("y"), F.col("k").alias("ky")), "y")
+    first = F.col("kx") <= F.col("ky")
+    led = led.select("x", "y", F.when(first, F.col("x")).otherwise(F.col("y")).alias("c1"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("o1"))
+    met = led.join(near, "c1").join(ends.select(F.col("c").alias("c2"), F.col("o").alias("o2"), "m"), "c2").select("x", "y", "o1", "o2", "m")
+    found = met.join(near.select(F.col("c1").alias("o1"), F.col("c2").alias("o2")), ["o1", "o2"]).groupBy("x", "y").agg((F.sum("m") - 1).alias("s"))
+    return two.join(found, ["x", "y"]).select(key, "s")
+
+
 def groups(df: DataFrame, members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """key, grupo (least key of the group), enlaces (other rows that the row is linked with through a field, copies included)
+    """key, grupo (least key of the group), enlaces (other rows that the row is linked with through either field, copies included)
     of every row of df; a row without links is a group of its own."""
     sizes = members.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("primero"))
     # a row's classes (one per field) are tied through the row itself
@@ -308,5 +328,6 @@ def groups(df: DataFrame, members: DataFrame, links: DataFrame, key: str) -> Dat
     both = links.unionByName(links.select(F.col("c2").alias("c1"), F.col("c1").alias("c2")))
     degree = both.join(sizes.select(F.col("c").alias("c2"), "n"), "c2").groupBy(F.col("c1").alias("c")).agg(F.sum("n").alias("d"))
     per_class = named.join(sizes.select("c", "n"), "c").join(degree, "c", "left").select("c", "grupo", (F.coalesce("d", F.lit(0)) + F.col("n") - 1).alias("d"))
-    rows = members.join(per_class, "c").groupBy(key).agg(F.min("grupo").alias("grupo"), F.max("d").alias("enlaces"))
+    rows = members.join(per_class, "c").groupBy(key).agg(F.min("grupo").alias("grupo"), F.sum("d").alias("enlaces"))
+    rows = rows.join(shared_partners(members, both, key), key, "left").withColumn("enlaces", F.col("enlaces") - F.coalesce("s", F.lit(0)))
     return df.select(key).join(rows, key, "left").select(key, F.coalesce("grupo", key).alias("grupo"), F.coalesce("enlaces", F.lit(0)).alias("enlaces"))

@@ -137,3 +137,19 @@ def test_found_over_tables(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/noticias.parquet").select("fila", "titulo", "descripcion").collect()]
     p = plans.p4_found(spark, data).toPandas()
     assert list(p.columns) == ["fila_a", "fila_b"] and set(zip(p.fila_a, p.fila_b)) == brute(rows) and len(p)
+
+
+def test_links_of_a_row_over_both_fields(spark):
+    """enlaces counts the rows linked through either field, each once."""
+    rng = random.Random(4)
+    vocabulary = [f"palabra{i}" for i in range(60)]
+    base = [[" ".join(rng.sample(vocabulary, 9)) for _ in range(6)] for _ in range(2)]
+
+    def near(text):
+        return text + rng.choice(["", "", " uno", " dos"])
+
+    rows = [(i, near(rng.choice(base[0])) if i % 7 else None, near(rng.choice(base[1])) if i % 5 else None) for i in range(90)]
+    df, members, found, pairs = links(spark, rows)
+    want = {i: sum(i in p for p in pairs) for i in range(90)}
+    assert pairs == brute(rows)
+    assert {r["fila"]: r["enlaces"] for r in neardup.groups(df, members, found, "fila").collect()} == want
