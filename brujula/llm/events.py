@@ -39,12 +39,13 @@ from brujula.functions.dates import INVALID
 from brujula.functions.text import fold, words
 from brujula.functions.urls import page_keys
 from brujula.llm import languages
-from brujula.llm.neardup import HOT, _pairs_within
+from brujula.llm.neardup import _pairs_within
 from brujula.llm.sketches import mixed
 from brujula.operators import timestamps
 from brujula.session import cut
 
 DIMENSIONS = 96
+HOT = 512
 WARD = 0.25
 HOURS = 72
 
@@ -250,7 +251,7 @@ def _joins(sizes: np.ndarray, e: np.ndarray, n: np.ndarray, vectors: np.ndarray)
     starts = np.append(0, np.cumsum(sizes))
     block_ends = np.flatnonzero(np.diff(np.cumsum(sizes * (sizes - 1) // 2) // 200_000)) + 1
     for g in np.split(np.arange(len(sizes)), block_ends):
-        i, j = _pairs_within(sizes[g])
+        i, j = _pairs_within(sizes[g], sizes[g])
         i, j = i + starts[g[0]], j + starts[g[0]]
         d2 = 2 - 2 * np.einsum("ij,ij->i", vectors[i], vectors[j])
         hit = (d2 * 0.5 <= WARD) & (e[i] != e[j])  # half the squared distance: Ward's cost of two single units

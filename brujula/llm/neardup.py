@@ -1,22 +1,27 @@
 """Records that repeat another one's text with small edits (problem 4).
 
 1. Every text becomes its set of distinct folded words; equal sets are one class.
-2. Every class gets a SuperMinHash signature of its rarer words. The words that many
-   classes hold (a list of bounded length) are left out of it: a word that half of the
-   corpus shares can't tell texts apart. Bands are of one slot; equal winners of different
-   slots share a bucket. A set with no more elements than slots is its own signature.
-3. What remains are pairs that share no rarer word. If they reach the threshold, their
-   rarer words number together at most a third of the frequent words of either (at 3/4),
-   and the three rarest words that they share are among the first few of both in the order
-   of rarity. Classes for which that is possible also get the triples of those first words
-   as buckets, or, where they have many frequent words, bands of five slots of signatures
-   over all words. In triple buckets only pairs within that bound are made.
-   Buckets bring candidate classes together; each pair is verified on the exact word sets.
-   A bucket of more than HOT classes is first split by the bands over all words (a pair at
-   the threshold is missed once in 50,000 times).
-4. Verified links are grouped by connected components; links between rows come from the
+2. Every class, of any size, gets a SuperMinHash signature of `SLOTS` slots. It is taken over
+   the class's rarer words, since the words of a template, which thousands of texts share,
+   can't tell texts apart; a class without rarer words has it over all its words.
+3. Bands of `BAND` slots: the winners of a band, in any order and in any band, are a bucket's
+   key. Classes that share a key are candidates.
+4. A signature can miss a pair. The recall is completed by single words as further buckets:
+   with the words in order of rarity, two sets that reach the threshold share one of their
+   first words (the prefix, whose length follows from size and threshold). Words of the
+   prefix that didn't win a band of their own become keys beside the bands.
+5. Keys are counted before any bucket is made. A bucket with too many pairs is divided, not
+   cut: its classes get longer keys with a second shared word, those a third one, and so on;
+   each further word has to lie in a prefix that is one word longer, so no pair is lost.
+   Where all words that a pair must share are used up, the bucket is compared in blocks.
+   `SPLIT` says when a bucket is divided; it doesn't change the result.
+6. Pairs of a bucket pass two exact bounds (sizes, and words missing by 64-bit marks), are
+   drawn together, and are verified on the words themselves.
+7. Verified links are grouped by connected components; links between rows come from the
    links of their classes and from classes of several rows.
 
+Classes are told apart by a 128-bit digest and then numbered; hashes of words only choose buckets.
+
 Defined cases: null texts and texts without words are in no class and no link; texts with
 fewer than `least` distinct words are left out where a field asks for that; exact copies
 are links without being compared; empty tables give empty results; further columns are
@@ -25,12 +30,11 @@ not read; texts of any length enter whole.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +43,9 @@ from brujula.llm.sketches import frequent_words, mixed, super_min_hash, word_has
 from brujula.operators.components import components
 from brujula.session import cut, spread
 
-SLOTS, OWN = 64, 16  # slots of a signature; sets of up to OWN rarer words are their own
-TRIPLES, BANDS = 60, 45  # frequent words up to which triples are taken, and from which bands are
-SIGNATURES, ALL_SLOTS, BAND = 4, 50, 5  # 40 bands of 5 slots
-HOT = 512
-TRIPLE = np.uint64(1 << 63)  # marks the buckets of triples
+SLOTS, BAND = 32, 2
+SPLIT = 256  # a bucket with more than SPLIT x SPLIT pairs is divided
+KEYS = "k bigint, c bigint, n int, marcas bigint, corta boolean, p int"
 
 
 @dataclass(frozen=True)
@@ -69,223 +71,230 @@ def word_sets(df: DataFrame, key: str, fields: list[Field]) -> DataFrame:
     return spread(df.select(key, *[f.name for f in fields]), key).mapInArrow(run, f"`{key}` {kind}, campo tinyint, palabras string")
 
 
-def _ragged(sets: list[list[str]], keep=None) -> tuple[np.ndarray, np.ndarray]:
-    chosen = [[w for w in s if w not in keep] for s in sets] if keep is not None else sets
-    offsets = np.append(0, np.cumsum([len(s) for s in chosen]))
-    return np.fromiter((word_hash(w) for s in chosen for w in s), dtype=np.uint32, count=int(offsets[-1])), offsets
+def _fewest(n: np.ndarray, part: float) -> np.ndarray:
+    return np.ceil(part * n - 1e-9).astype(np.int64)
+
+
+class Sets:
+    """The word sets of a batch, flat, every set in order of rarity (frequent words last, ties by hash and word)."""
+
+    def __init__(self, palabras: pa.Array, rank: dict[str, int], threshold: float):
+        lists = pc.split_pattern(palabras, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        known = flat.dictionary.to_pylist()
+        h = np.fromiter((word_hash(w) for w in known), dtype=np.uint32, count=len(known))
+        r = np.fromiter((rank.get(w, -1) + 1 for w in known), dtype=np.int32, count=len(known))
+        code = flat.indices.to_numpy(zero_copy_only=False)
+        self.offsets = offsets - offsets[0]
+        self.n = np.diff(self.offsets)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        order = np.lexsort((h[code], r[code], self.owner))
+        self.h, self.rank = h[code][order], r[code][order]
+        self.at = np.arange(len(code)) - self.offsets[self.owner]
+        # words that a set must share with a partner of any size, and with one that isn't smaller
+        self.shared, self.shared_short = _fewest(self.n, threshold), _fewest(self.n, 2 * threshold / (1 + threshold))
+
+    def marks(self) -> np.ndarray:
+        """64 bits of each set, one set per word: what one set's words mark and the other's don't is missing there."""
+        bit = np.uint64(1) << (mixed(self.h.astype(np.uint64)) & np.uint64(63))
+        return np.bitwise_or.reduceat(bit, self.offsets[:-1]) if len(self.n) else np.zeros(0, dtype=np.uint64)
 
+    def signature(self) -> np.ndarray:
+        """Winners of the slots of each set's SuperMinHash signature."""
+        rarer = self.rank == 0
+        own = rarer | ~np.logical_or.reduceat(rarer, self.offsets[:-1])[self.owner]
+        offsets = np.append(0, np.cumsum(np.bincount(self.owner[own], minlength=len(self.n))))
+        return super_min_hash(self.h[own], offsets, SLOTS) & np.uint64(0xFFFFFFFF)
 
-def _unique_rows(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each row: (row numbers, values)."""
-    a = np.sort(a, axis=1)
-    new = np.ones(a.shape, dtype=bool)
-    new[:, 1:] = a[:, 1:] != a[:, :-1]
-    return np.nonzero(new)[0], a[new]
 
+def _single(h: np.ndarray, campo: np.ndarray) -> np.ndarray:
+    return mixed(h.astype(np.uint64) | (campo << np.uint64(33)))
 
-def _bands(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band keys (sets x bands) over all words of each set."""
-    out = []
-    for seed in range(2, 2 + SIGNATURES):
-        signature = super_min_hash(hashes, offsets, ALL_SLOTS, seed)
-        for i in range(0, ALL_SLOTS, BAND):
-            x = np.full(len(signature), seed * 1000 + i, dtype=np.uint64)
-            for k in range(BAND):
-                x = mixed(x ^ (signature[:, i + k] & np.uint64(0xFFFFFFFF)))
-            out.append(x)
-    return np.stack(out, axis=1)
 
+def _longer(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mixed(k ^ mixed(h.astype(np.uint64) | np.uint64(1 << 62)))
 
-def _triples(frequent: list[str], n: int, rare: int, rank: dict[str, int], threshold: float) -> list[tuple[str, ...]]:
-    """Triples of the words, in order of rarity, among which the three rarest shared words of a similar text are."""
-    first = n - math.ceil(threshold * n - 1e-9) + 3 - rare
-    return list(combinations(sorted(frequent, key=rank.__getitem__, reverse=True)[: max(0, first)], 3))
 
+def _band_keys(sets: Sets, campo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of the distinct bands; a band that one word wins whole has that word's own key."""
+    s = np.sort(sets.signature().reshape(len(sets.n), SLOTS // BAND, BAND), axis=2)
+    k = _single(s[:, :, 0], campo[:, None])
+    for i in range(1, BAND):
+        k = np.where(s[:, :, i] == s[:, :, i - 1], k, _longer(k, s[:, :, i]))
+    k = np.sort(k, axis=1)
+    new = np.ones(k.shape, dtype=bool)
+    new[:, 1:] = k[:, 1:] != k[:, :-1]
+    return np.nonzero(new)[0], k[new]
 
-def band_keys(classes: DataFrame, common: list[str], threshold: float) -> DataFrame:
-    """k (bucket), c (class), r (its rarer words), w (its word hashes, sorted, 4 bytes each)."""
-    part = threshold / (1 - threshold)  # shared frequent words per word that isn't shared
+
+def bucket_keys(classes: DataFrame, common: list[str], threshold: float, bands: bool = True, prefix: bool = True) -> DataFrame:
+    """KEYS: k (bucket), c (class), n (its words), marcas, corta (may be the smaller of a pair here), p (the key's
+    place in the class's order, -1 for a key of bands only)."""
+
+    def run(batches):
+        rank = {w: i for i, w in enumerate(reversed(common))}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sets = Sets(b.column("palabras"), rank, threshold)
+            campo = b.column("campo").to_numpy(zero_copy_only=False).astype(np.uint64)
+            row, k, p = [], [], []
+            if prefix:
+                first = np.flatnonzero(sets.at <= (sets.n - sets.shared)[sets.owner])
+                own = sets.owner[first]
+                row, k, p = [own], [_single(sets.h[first], campo[own])], [sets.at[first]]
+            if bands:
+                own, keys = _band_keys(sets, campo)
+                row, k, p = [*row, own], [*k, keys], [*p, np.full(len(own), -1)]
+            row, k, p = np.concatenate(row), np.concatenate(k), np.concatenate(p)
+            short = (p < 0) | (p <= (sets.n - sets.shared_short)[row])
+            order = np.lexsort((-p, k, row))
+            row, k, p, short = row[order], k[order], p[order], short[order]
+            starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1])))
+            yield _key_batch(k[starts], b.column("c"), row[starts], sets, np.logical_or.reduceat(short, starts), p[starts])
+
+    return classes.select("c", "campo", "palabras").mapInArrow(run, KEYS)
+
+
+def _key_batch(k, c, row, sets: Sets, short, p) -> pa.RecordBatch:
+    arrays = [pa.array(k.view(np.int64)), c.take(pa.array(row)), pa.array(sets.n[row].astype(np.int32)), pa.array(sets.marks()[row].view(np.int64)), pa.array(short), pa.array(p.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, names=["k", "c", "n", "marcas", "corta", "p"])
+
+
+def longer_keys(rows: DataFrame, classes: DataFrame, common: list[str], threshold: float, level: int) -> DataFrame:
+    """KEYS with one more word for keys (k, c, p) of `level` words."""
 
     def run(batches):
-        rank = {w: i for i, w in enumerate(common)}
+        rank = {w: i for i, w in enumerate(reversed(common))}
         for b in batches:
-            sets = [s.split(" ") for s in b.column("palabras").to_pylist()]
-            campo = b.column("campo").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(33)
-            rare, offsets = _ragged(sets, rank)
-            n_rare = np.diff(offsets)
-            n_frequent = np.array([len(s) for s in sets], dtype=np.int64) - n_rare
-            few = np.flatnonzero((n_rare > 0) & (n_rare <= OWN))
-            many = np.flatnonzero(n_rare > OWN)
-            row = np.repeat(few, n_rare[few])
-            key = campo[row] | rare[np.repeat(n_rare <= OWN, n_rare)]
-            if len(many):
-                own = super_min_hash(*_ragged([sets[i] for i in many], rank), SLOTS)
-                at, winner = _unique_rows(own & np.uint64(0xFFFFFFFF))
-                row, key = np.append(row, many[at]), np.append(key, campo[many[at]] | winner)
-            apart = n_rare * part <= n_frequent  # may reach the threshold without a common rarer word
-            at, triples = [], []
-            for i in np.flatnonzero(apart & (n_frequent <= TRIPLES)).tolist():
-                t = _triples([w for w in sets[i] if w in rank], len(sets[i]), int(n_rare[i]), rank, threshold)
-                at += [i] * len(t)
-                triples += t
-            if at:
-                t = np.array([[rank[w] for w in x] for x in triples], dtype=np.uint64)
-                at = np.array(at)
-                row = np.append(row, at)
-                key = np.append(key, mixed(mixed(t[:, 0] | (t[:, 1] << np.uint64(20)) | (t[:, 2] << np.uint64(40))) ^ campo[at]) | TRIPLE)
-            long = np.flatnonzero(apart & (n_frequent >= BANDS))
-            if len(long):
-                bands = _bands(*_ragged([sets[i] for i in long]))
-                at = np.repeat(long, bands.shape[1])
-                row, key = np.append(row, at), np.append(key, mixed(bands.ravel() ^ campo[at]) & ~TRIPLE)
-            full, fo = _ragged(sets)
-            packed = [np.sort(full[fo[i] : fo[i + 1]]).astype("<u4").tobytes() for i in range(len(sets))]
-            take = pa.array(row.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.uint64).view(np.int64)), b.column("c").take(take), pa.array(n_rare[row.astype(np.int64)], type=pa.int32()), pa.array(packed, type=pa.binary()).take(take)],
-                names=["k", "c", "r", "w"],
-            )
-
-    return classes.select("c", "campo", "palabras").mapInArrow(run, "k bigint, c bigint, r int, w binary")
-
-
-def _pairs_within(sizes: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i before j, inside consecutive groups of the given sizes; i among a group's first rows only, if given."""
+            if not b.num_rows:
+                continue
+            sets = Sets(b.column("palabras"), rank, threshold)
+            p, k = b.column("p").to_numpy().astype(np.int64), b.column("k").to_numpy().view(np.uint64)
+            last = np.minimum(sets.n - sets.shared + level, sets.n - 1)
+            more = np.maximum(last - p, 0)
+            row = np.repeat(np.arange(len(p)), more)
+            if not len(row):
+                continue
+            at = p[row] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+            yield _key_batch(_longer(k[row], sets.h[sets.offsets[row] + at]), b.column("c"), row, sets, at <= (sets.n - sets.shared_short)[row] + level, at)
+
+    return rows.select("k", "c", "p").join(classes.select("c", "palabras"), "c").mapInArrow(run, KEYS)
+
+
+def _pairs_within(sizes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i before j, inside consecutive groups of the given sizes; i among a group's first rows only."""
     starts = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
     later = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
-    if firsts is not None:
-        later = np.where(np.arange(n) - np.repeat(starts, sizes) < np.repeat(firsts, sizes), later, 0)
+    later = np.where(np.arange(n) - np.repeat(starts, sizes) < np.repeat(firsts, sizes), later, 0)
     i = np.repeat(np.arange(n), later)
     ends = np.cumsum(later)
     j = np.arange(int(ends[-1]) if n else 0) - np.repeat(ends - later, later) + i + 1
     return i, j
 
 
-def shared_counts(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Number of common elements of the sets i[k] and j[k]."""
-    li, lj = np.diff(offsets)[i], np.diff(offsets)[j]
-    out = np.zeros(len(i), dtype=np.int64)
-    step = 40_000
-    for a in range(0, len(i), step):
-        s = slice(a, a + step)
-        n = len(i[s])
-        owner = np.concatenate([np.repeat(np.arange(n), li[s]), np.repeat(np.arange(n), lj[s])])
-        at = []
-        for idx, ln in ((i[s], li[s]), (j[s], lj[s])):
-            ends = np.cumsum(ln)
-            at.append(np.repeat(offsets[idx] - (ends - ln), ln) + np.arange(int(ends[-1])))
-        x = (owner.astype(np.uint64) << np.uint64(32)) | flat[np.concatenate(at)]
-        x.sort()
-        same = x[1:] == x[:-1]
-        out[s] = np.bincount((x[1:][same] >> np.uint64(32)).astype(np.int64), minlength=n)
-    return out
-
-
-def _verified(c, flat, offsets, sizes, threshold: float, firsts=None, rare=None):
-    """Verified pairs (c1 < c2) of the groups; the pairs are made and tested in blocks.
-
-    With rare (the rarer words of each row), only pairs that can reach the threshold without a common one.
-    """
-    n_words = np.diff(offsets)
-    firsts = sizes if firsts is None else firsts
+def _group_pairs(k, c, n, marks, short, threshold: float):
+    """Pairs (c1 < c2) of the buckets k that size and marks allow, made in blocks."""
+    order = np.lexsort((~short, k))
+    k, c, n, marks, short = k[order], c[order], n[order], marks[order], short[order]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    sizes = np.diff(np.append(starts, len(k)))
+    firsts = np.add.reduceat(short.astype(np.int64), starts)
     pairs = firsts * (2 * sizes - firsts - 1) // 2
-    block_ends = np.flatnonzero(np.diff(np.cumsum(pairs) // 2_000_000)) + 1
-    start = np.append(0, np.cumsum(sizes))
-    for g in np.split(np.arange(len(sizes)), block_ends):
+    edges = np.flatnonzero(np.diff(np.cumsum(pairs) // 1_000_000)) + 1
+    for g in np.split(np.arange(len(sizes)), edges):
         i, j = _pairs_within(sizes[g], firsts[g])
-        i, j = i + start[g[0]], j + start[g[0]]
-        keep = (c[i] != c[j]) & (np.minimum(n_words[i], n_words[j]) >= threshold * np.maximum(n_words[i], n_words[j]) - 1e-9)
-        if rare is not None:
-            keep &= (rare[i] + rare[j]) * threshold / (1 - threshold) <= np.minimum(n_words[i] - rare[i], n_words[j] - rare[j]) + 1e-9
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        both = shared_counts(flat, offsets, i, j)
-        hit = both >= threshold * (n_words[i] + n_words[j] - both) - 1e-9
-        yield np.minimum(c[i[hit]], c[j[hit]]), np.maximum(c[i[hit]], c[j[hit]])
-
-
-def _group_links(k: np.ndarray, c: np.ndarray, r: np.ndarray, w: list[bytes], threshold: float):
-    """Verified pairs of the buckets k (consecutive)."""
-    n = np.array([len(x) // 4 for x in w], dtype=np.int64)
-    triple = (k.view(np.uint64) & TRIPLE) != 0
-    # of a pair without a common rarer word one has at most half of what the bound allows both
-    low = ~triple | (r * 2 * threshold / (1 - threshold) <= n - r + 1e-9)
-    order = np.lexsort((~low, k))
-    k, c, r, w, low, triple = k[order], c[order], r[order], [w[i] for i in order.tolist()], low[order], triple[order]
-    flat = np.frombuffer(b"".join(w), dtype="<u4")
-    offsets = np.append(0, np.cumsum(n[order]))
-    cuts = np.flatnonzero(np.diff(k)) + 1
-    starts = np.concatenate([[0], cuts]).astype(np.int64)
-    sizes = np.diff(np.append(starts, len(k)))
-    firsts = np.add.reduceat(low.astype(np.int64), starts)
-    kind = triple[starts]
-    hot = firsts * sizes > HOT * HOT
-    for triples in (False, True):
-        own = ~hot & (kind == triples) & (sizes > 1) & (firsts > 0)
-        rows = np.flatnonzero(np.repeat(own, sizes))
-        if len(rows):
-            yield from _verified(*_take(c, flat, offsets, rows), sizes[own], threshold, firsts[own], r[rows] if triples else None)
-    for a, m in zip(starts[hot], sizes[hot]):
-        cc, ff, oo = _take(c, flat, offsets, np.arange(a, a + m))
-        bands = _bands(ff, oo)
-        for b in range(bands.shape[1]):
-            order = np.argsort(bands[:, b], kind="stable")
-            own = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(bands[order, b])) + 1, [m]]))
-            inside = np.repeat(own > 1, own)
-            if inside.any():
-                yield from _verified(*_take(cc, ff, oo, order[inside]), own[own > 1], threshold)
-
-
-def _take(c, flat, offsets, rows):
-    ln = np.diff(offsets)[rows]
-    ends = np.cumsum(ln)
-    at = np.repeat(offsets[rows] - (ends - ln), ln) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return c[rows], flat[at], np.append(0, ends)
-
-
-def class_links(classes: DataFrame, common: list[str], threshold: float) -> DataFrame:
-    """c1 < c2 of all classes whose word sets share at least threshold of their union."""
+        i, j = i + starts[g[0]], j + starts[g[0]]
+        need = _fewest(n[i] + n[j], threshold / (1 + threshold))
+        keep = (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= need) & (short[j] | (n[i] <= n[j]))
+        i, j, need = i[keep], j[keep], need[keep]
+        keep = (np.bitwise_count(marks[i] & ~marks[j]) <= n[i] - need) & (np.bitwise_count(marks[j] & ~marks[i]) <= n[j] - need)
+        a, b = c[i[keep]], c[j[keep]]
+        if len(a):
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def bucket_pairs(keys: DataFrame, threshold: float) -> DataFrame:
+    """c1 < c2 of the candidates of all buckets (a pair may come several times)."""
 
     def run(batches):
-        rest = None
+        rest: list = []  # batches of the last bucket so far
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            k = t.column("k").to_numpy()
+            k = b.column("k").to_numpy()
             done = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            rest = t.slice(done)
             if done:
-                yield from emit(t.slice(0, done))
-        if rest is not None and rest.num_rows:
-            yield from emit(rest)
+                yield from emit(pa.Table.from_batches([*rest, b.slice(0, done)]))
+                rest = []
+            rest.append(b.slice(done))
+        if rest:
+            yield from emit(pa.Table.from_batches(rest))
 
     def emit(t):
-        k, c, w = t.column("k").to_numpy(), t.column("c").to_numpy(), t.column("w").to_pylist()
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        alone = new & np.append(new[1:], True)
-        some = np.flatnonzero(~alone)
+        k = t.column("k").to_numpy()
+        new = np.append(True, k[1:] != k[:-1])
+        some = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(some):
             return
-        found = list(_group_links(k[some], c[some], t.column("r").to_numpy()[some], [w[i] for i in some.tolist()], threshold))
+        c, n, marks, short = (t.column(x).to_numpy()[some] for x in ("c", "n", "marcas", "corta"))
+        found = list(_group_pairs(k[some], c, n.astype(np.int64), marks.view(np.uint64), short, threshold))
         if found:
             pairs = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c1", "c2"])
 
-    keys = band_keys(classes, common, threshold)
-    tasks = 2 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a class comes in several buckets
-    return keys.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(run, "c1 bigint, c2 bigint").distinct()
+    tasks = 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a class comes in several buckets
+    return keys.select("k", "c", "n", "marcas", "corta").repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(run, "c1 bigint, c2 bigint")
+
+
+def candidate_pairs(classes: DataFrame, common: list[str], threshold: float, bands: bool = True, prefix: bool = True) -> DataFrame:
+    """c1 < c2 of all classes that meet in a bucket and may reach the threshold."""
+    keys, level, out = cut(bucket_keys(classes, common, threshold, bands, prefix), "keys"), 1, []
+    full = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)  # words that a class need not share
+    while True:
+        size, short = F.count("*"), F.count_if("corta")
+        counts = keys.groupBy("k").agg(size.alias("m"), short.alias("s")).filter(F.col("s") * F.col("m") > SPLIT * SPLIT)
+        hot = cut(counts, "hot")
+        out.append(keys.join(hot.select("k"), "k", "left_anti"))
+        if hot.isEmpty():
+            break
+        inside = cut(keys.filter("p >= 0").join(hot, "k"), "inside")
+        # what a pair must share at least is used up: compare in blocks, so that no task gets a whole bucket
+        blocks = F.ceil(F.col("m") / SPLIT).cast("int")
+        used = inside.filter(F.col("n") - full <= level).withColumn("b", blocks).withColumn("x", F.pmod(F.xxhash64("c"), F.col("b")).cast("int"))
+        used = used.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+        out.append(used.withColumn("k", F.xxhash64("k", F.least("x", "y"), F.greatest("x", "y"))).select("k", "c", "n", "marcas", "corta", "p"))
+        keys = cut(longer_keys(inside, classes, common, threshold, level), "keys")
+        level += 1
+    pairs = [bucket_pairs(x, threshold) for x in out]
+    all_pairs = pairs[0]
+    for x in pairs[1:]:
+        all_pairs = all_pairs.unionByName(x)
+    return all_pairs
+
+
+def class_links(classes: DataFrame, common: list[str], threshold: float, bands: bool = True, prefix: bool = True) -> DataFrame:
+    """c1 < c2 of all classes whose word sets share at least threshold of their union."""
+    pairs = candidate_pairs(classes, common, threshold, bands, prefix).repartition("c1").distinct()
+    own = classes.select("c", "palabras")
+    both = pairs.join(own.select(F.col("c").alias("c1"), F.col("palabras").alias("p1")), "c1").join(own.select(F.col("c").alias("c2"), F.col("palabras").alias("p2")), "c2")
+    one, two = F.split("p1", " "), F.split("p2", " ")
+    shared = F.size(F.array_intersect(one, two))
+    return both.filter(shared >= threshold * (F.size(one) + F.size(two) - shared) - 1e-9).select("c1", "c2")
 
 
 def similar_classes(df: DataFrame, key: str, fields: list[Field], threshold: float) -> tuple[DataFrame, DataFrame]:
     """(members: key, c; links: c1, c2), both as tables in the shared folder."""
-    sets = word_sets(df, key, fields).withColumn("c", F.xxhash64("campo", "palabras"))
-    sets = cut(sets, "sets")
-    classes = cut(sets.groupBy("c").agg(F.first("campo").alias("campo"), F.first("palabras").alias("palabras")), "classes")
-    links = cut(class_links(classes, frequent_words(classes), threshold), "links")
-    return sets.select(key, "c"), links
+    members, classes = text_classes(df, key, fields)
+    return members, cut(class_links(classes, frequent_words(classes), threshold), "links")
+
+
+def text_classes(df: DataFrame, key: str, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
+    """(members: key, c; classes: c, campo, palabras); c numbers the distinct sets in the written table."""
+    digest = F.unhex(F.md5(F.concat_ws(" ", F.col("campo").cast("string"), "palabras")))
+    sets = cut(word_sets(df, key, fields).withColumn("d", digest), "sets")
+    classes = cut(sets.groupBy("d").agg(F.first("campo").alias("campo"), F.first("palabras").alias("palabras")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    return cut(sets.select(key, "d").join(classes.select("d", "c"), "d").select(key, "c"), "members"), classes.select("c", "campo", "palabras")
 
 
 def row_links(members: DataFrame, links: DataFrame, key: str) -> DataFrame:

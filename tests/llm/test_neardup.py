@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brujula.functions.text import words
 from brujula.llm import neardup, plans
-from brujula.llm.sketches import super_min_hash, word_hash
+from brujula.llm.sketches import super_min_hash
 
 FIELDS = [neardup.Field("titulo"), neardup.Field("descripcion", least=8)]
 SCHEMA = "fila long, titulo string, descripcion string"
@@ -67,18 +67,29 @@ def test_long_texts_of_frequent_words(spark):
     assert got == want and len(want) > 100
 
 
-def test_hot_bucket(spark, monkeypatch):
-    """A word that all share, in a bucket over the limit: split by bands, nothing lost or left to one block."""
-    monkeypatch.setattr(neardup, "HOT", 20)
+def test_divided_buckets(spark, monkeypatch):
+    """Every bucket with more than four pairs is divided by further words, down to blocks: nothing is lost."""
     rng = random.Random(3)
-    sets = [sorted({word_hash(f"w{rng.randrange(60)}") for _ in range(12)}) for _ in range(200)]
-    sets += [s[:-1] + [word_hash(f"z{i}")] for i, s in enumerate(sets[:80])]
-    sets = [sorted(s) for s in sets]
-    blobs = [np.array(s, dtype="<u4").tobytes() for s in sets]
-    c = np.arange(len(sets))
-    got = {(int(a), int(b)) for x, y in neardup._group_links(np.zeros(len(sets), dtype=np.int64), c, np.full(len(sets), 2), blobs, 0.75) for a, b in zip(x, y)}
-    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if len({*sets[i]} & {*sets[j]}) >= 0.75 * len({*sets[i]} | {*sets[j]})}
-    assert got == want and len(want) >= 60
+    template = [f"comun{i}" for i in range(14)]
+    rows = []
+    for i in range(60):
+        ws = list(template)
+        for _ in range(rng.randrange(4)):
+            ws[rng.randrange(14)] = f"otra{rng.randrange(6)}"
+        rows.append((i, " ".join(ws + ["corto"] * (i % 2)), " ".join(rng.sample(template, 9)) if i % 3 else None))
+    want = brute(rows)
+    for split in (1, 2, 5):
+        monkeypatch.setattr(neardup, "SPLIT", split)
+        assert links(spark, rows)[3] == want
+    assert len(want) > 100
+
+
+def test_share_found_by_bands(spark, data):
+    """The bands of the signatures find nearly all links; the prefix words complete them."""
+    _, classes = neardup.text_classes(spark.read.parquet(f"{data}/noticias.parquet"), "fila", FIELDS)
+    common = neardup.frequent_words(classes)
+    found = [neardup.class_links(classes, common, 0.75, bands, prefix).count() for bands, prefix in ((True, False), (False, True), (True, True))]
+    assert found[0] >= 0.95 * found[2] and found[1] == found[2] > 100
 
 
 def test_odd_cases_and_groups(spark):
