@@ -4,21 +4,29 @@
    the words that aren't common words of all distinct titles nor one edit away from one.
    What a title says of whom and where is in its names; the wording is not. A title without
    names has its own words in their order for a name, so that it links with its copies.
-2. Rows with the same language and names are one leaf with its count, drawn together in
-   every partition and then along the shuffle. Copies thus weigh in counts, not in work.
-3. Leaves are routed to the blocks of their names. Within a block leaves are vectors of
-   hashed letter groups of their names, so that a misspelt name stays near. Each leaf points
-   to the heaviest leaf whose unit vector is near enough, and chains are followed to their
-   root. This replaces the tree of cluster features and the Ward agglomeration: no merged
-   centroid or count enters a cost (the README says why).
+2. Rows with the same language and names are one leaf entry: a cluster feature (count n, linear
+   sum LS, square sum SS of unit vectors of hashed letter groups of the names, so that a
+   misspelt name stays near). Features add up, so they are drawn together in every partition
+   and along the shuffle, and copies weigh in counts, not in work; of equal vectors the count
+   tells LS and SS.
+3. Entries are routed to the blocks of their names. Each block grows a tree of cluster
+   features: an entry goes down to the nearest child, is absorbed where the radius of the
+   merged feature stays within `RADIUS`, and nodes of more than `BRANCH` features are divided
+   by their two farthest ones. The tree's leaf features are then agglomerated by Ward's cost
+   n1 n2 / (n1 + n2) d^2 of their centroids, cheapest join first, features added up and costs
+   renewed after each, while the centroids of the two are within `WARD`. The blocks'
+   summaries are reduced over the shuffle: an entry follows the heaviest entry of any cluster
+   that it is in, and so on up to a root.
 4. One full pass assigns all rows to their root; a cluster is cut where a span of 72 hours
    is empty. A cluster's typical member is the one nearest to its centroid.
 5. Links of rows need the same cluster, at most `hours` between their instants, and names
    that agree (misspelt ones are matched up to two edits).
 
-Hot blocks are divided by the letters at the ends of the other names, so that no block is
-compared pairwise beyond HOT leaves unless all share such ends; links are found by
-time buckets. Defined cases: rows without title, letters or usable instant are in no
+Blocks are counted before they are made. One of more than `SPLIT` entries is divided by a
+second name that two of its entries share (or nearly share: letters left out make the keys),
+and then by a third; entries without a further name are put beside all others of the block.
+Entries that share only a hot name contradict each other, so nothing is lost. Links are
+found by time buckets. Defined cases: rows without title, letters or usable instant are in no
 link and are clusters of their own; a title in several languages links only with
 captures of its own page; exact copies link; ties go to the smaller id; empty tables give
 empty results; further columns are not read.
@@ -32,6 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +48,15 @@ from brujula.functions.dates import INVALID
 from brujula.functions.text import fold, words
 from brujula.functions.urls import page_keys
 from brujula.llm import languages
-from brujula.llm.neardup import _pairs_within
 from brujula.llm.sketches import mixed
 from brujula.operators import timestamps
 from brujula.session import cut
 
 DIMENSIONS = 96
-HOT = 512
-WARD = 0.25
+WARD = 0.25  # half the squared distance of two centroids up to which they may join
+RADIUS, BRANCH = 0.04, 16  # squared radius of a leaf feature, features of a tree's node
+SPLIT = 512  # entries of a block
+ALONE = 0.6  # greatest cosine with others under which an entry is within WARD of no centroid of them
 HOURS = 72
 
 
@@ -246,83 +256,219 @@ def name_vectors(sets: list[str]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _joins(sizes: np.ndarray, e: np.ndarray, n: np.ndarray, vectors: np.ndarray):
-    """Of each leaf of consecutive groups the heaviest leaf that it may join: (leaf, weight, heavier leaf)."""
-    starts = np.append(0, np.cumsum(sizes))
-    block_ends = np.flatnonzero(np.diff(np.cumsum(sizes * (sizes - 1) // 2) // 200_000)) + 1
-    for g in np.split(np.arange(len(sizes)), block_ends):
-        i, j = _pairs_within(sizes[g], sizes[g])
-        i, j = i + starts[g[0]], j + starts[g[0]]
-        d2 = 2 - 2 * np.einsum("ij,ij->i", vectors[i], vectors[j])
-        hit = (d2 * 0.5 <= WARD) & (e[i] != e[j])  # half the squared distance: Ward's cost of two single units
-        i, j = i[hit], j[hit]
-        swap = (n[i] > n[j]) | ((n[i] == n[j]) & (e[i] < e[j]))
-        light, heavy = np.where(swap, j, i), np.where(swap, i, j)
-        if len(light):
-            yield e[light], n[heavy], e[heavy]
-
-
-def _block_joins(k, e, n, names):
-    cuts = np.flatnonzero(np.diff(k)) + 1
-    sizes = np.diff(np.concatenate([[0], cuts, [len(k)]]))
-    hot = np.repeat(sizes > HOT, sizes)
-    cold = np.flatnonzero(~hot)
-    if len(cold):
-        yield from _joins(sizes[sizes <= HOT], e[cold], n[cold], name_vectors([names[i] for i in cold]))
-    if hot.any():
-        import zlib
-
-        rows = np.flatnonzero(hot)
-        keys, owner = [], []
-        for i in rows.tolist():
-            for w in names[i].split(" "):
-                for end in {"^" + w[:4], "$" + w[-4:]}:
-                    keys.append(zlib.crc32(f"{k[i]} {end}".encode()))
-                    owner.append(i)
-        keys, owner = np.array(keys), np.array(owner)
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        own = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]))
-        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(own) // 50_000)) + 1):
-            a = int(own[: part[0]].sum())
-            at = owner[a : a + int(own[part].sum())]
-            yield from _joins(own[part], e[at], n[at], name_vectors([names[i] for i in at]))
+class Node:
+    """A node of a tree of cluster features: counts and linear sums of its features, and their nodes or entries."""
+
+    def __init__(self, leaf: bool):
+        self.leaf, self.n, self.below = leaf, np.zeros(BRANCH + 1), []
+        self.ls = np.zeros((BRANCH + 1, DIMENSIONS))
+
+    def put(self, n: float, ls: np.ndarray, below) -> None:
+        k = len(self.below)
+        self.n[k], self.ls[k] = n, ls
+        self.below.append(below)
+
+    def total(self) -> tuple[float, np.ndarray]:
+        k = len(self.below)
+        return self.n[:k].sum(), self.ls[:k].sum(axis=0)
+
+
+class FeatureTree:
+    """Cluster features of unit vectors by nearest descent. SS of unit vectors is n, so the squared radius of a
+    feature is 1 - |LS / n|^2."""
+
+    def __init__(self):
+        self.root = Node(True)
+
+    def insert(self, n: float, v: np.ndarray, entry: int) -> None:
+        halves = self._into(self.root, n, v, entry)
+        if halves:
+            self.root = Node(False)
+            for h in halves:
+                self.root.put(*h.total(), h)
+
+    def _into(self, node: Node, n: float, v: np.ndarray, entry: int) -> list[Node] | None:
+        k = len(node.below)
+        if k:
+            d = node.ls[:k] / node.n[:k, None] - v
+            at = int(np.einsum("ij,ij->i", d, d).argmin())
+            if not node.leaf:
+                halves = self._into(node.below[at], n, v, entry)
+                if halves is None:
+                    node.n[at] += n
+                    node.ls[at] += n * v
+                    return None
+                node.n[at], node.ls[at] = halves[0].total()
+                node.below[at] = halves[0]
+                node.put(*halves[1].total(), halves[1])
+                return self._divided(node)
+            ls = node.ls[at] + n * v
+            if 1 - ls @ ls / (node.n[at] + n) ** 2 <= RADIUS:
+                node.n[at] += n
+                node.ls[at] = ls
+                node.below[at].append(entry)
+                return None
+        node.put(n, n * v, [entry])
+        return self._divided(node)
+
+    @staticmethod
+    def _divided(node: Node) -> list[Node] | None:
+        k = len(node.below)
+        if k <= BRANCH:
+            return None
+        mu = node.ls[:k] / node.n[:k, None]
+        g = mu @ mu.T
+        d = np.diag(g)[:, None] + np.diag(g)[None, :] - 2 * g
+        a, b = divmod(int(d.argmax()), k)
+        halves = [Node(node.leaf), Node(node.leaf)]
+        for i in range(k):
+            halves[int(d[i, b] < d[i, a]) if i not in (a, b) else int(i == b)].put(node.n[i], node.ls[i], node.below[i])
+        return halves
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """(n, LS, entries) of the leaf features."""
+        n, ls, below, todo = [], [], [], [self.root]
+        while todo:
+            node = todo.pop()
+            k = len(node.below)
+            if node.leaf:
+                n.append(node.n[:k])
+                ls.append(node.ls[:k])
+                below += node.below
+            else:
+                todo += node.below
+        return np.concatenate(n), np.concatenate(ls), below
+
+
+def ward(n: np.ndarray, ls: np.ndarray) -> list[list[int]]:
+    """Clusters (indices) of features: the join with the least increase of the square sum first, while centroids are near."""
+    n, ls = n.copy(), ls.copy()
+    mu = ls / n[:, None]
+    g = mu @ mu.T
+    d = np.maximum(np.diag(g)[:, None] + np.diag(g)[None, :] - 2 * g, 0)
+    cost = np.where(d / 2 <= WARD, n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * d, np.inf)
+    np.fill_diagonal(cost, np.inf)
+    own: list[list[int]] = [[i] for i in range(len(n))]
+    alive = np.ones(len(n), dtype=bool)
+    while len(n) > 1:
+        i, j = divmod(int(cost.argmin()), len(n))
+        if cost[i, j] == np.inf:
+            break
+        i, j = min(i, j), max(i, j)
+        own[i] += own[j]
+        n[i] += n[j]
+        ls[i] += ls[j]
+        mu[i] = ls[i] / n[i]
+        alive[j], own[j] = False, []
+        d = mu - mu[i]
+        d = np.einsum("ij,ij->i", d, d)
+        row = np.where(alive & (d / 2 <= WARD), n * n[i] / (n + n[i]) * d, np.inf)
+        row[i] = np.inf
+        cost[i], cost[:, i], cost[j], cost[:, j] = row, row, np.inf, np.inf
+    return [x for x in own if x]
+
+
+def block_roots(sizes: np.ndarray, e: np.ndarray, n: np.ndarray, vectors: np.ndarray):
+    """(entry, weight, heaviest entry of its cluster) of consecutive blocks; entries come by falling weight, then id."""
+    starts = np.append(0, np.cumsum(sizes)).tolist()
+    for a, b in zip(starts, starts[1:]):
+        v = vectors[a:b]
+        near = v @ v.T
+        np.fill_diagonal(near, -1)
+        some = np.flatnonzero(near.max(axis=1) >= ALONE)
+        if len(some) < 2:
+            continue
+        tree = FeatureTree()
+        for i in some.tolist():
+            tree.insert(float(n[a + i]), v[i], i)
+        weights, sums, entries = tree.features()
+        for cluster in ward(weights, sums):
+            members = [i for x in cluster for i in entries[x]]
+            if len(members) > 1:
+                head = a + min(members)
+                rest = np.array([a + i for i in members if a + i != head])
+                yield e[rest], np.full(len(rest), n[head]), np.full(len(rest), e[head])
+
+
+def _left_out(word: str) -> set[str]:
+    """The word and what it is with one or two letters left out: words within two edits share one of these."""
+    once = _deletes(word)
+    return {word} | once | {x for w in once for x in _deletes(w)}
+
+
+def named_blocks(leaves: DataFrame) -> DataFrame:
+    """k (block), e, n, nombres: the entries at the blocks of their names, none with more than about SPLIT entries."""
+    names = F.split("nombres", " ")
+    blocks = leaves.select(F.posexplode(names).alias("i", "w"), "lengua", "e", "n", "nombres").select(F.xxhash64("lengua", "w").alias("k"), F.array("i").alias("usados"), "e", "n", "nombres")
+    out, level = [], 1
+    while True:
+        hot = cut(blocks.groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") > SPLIT), "hot")
+        out.append(blocks.join(hot.select("k"), "k", "left_anti").select("k", "e", "n", "nombres"))
+        if hot.isEmpty():
+            break
+        inside = blocks.join(hot, "k").withColumn("b", F.ceil(F.col("m") / SPLIT).cast("int")).withColumn("x", F.pmod(F.xxhash64("e"), F.col("b")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
+        if level == 3:  # who shares three names need share no more: all pairs of parts
+            parts = inside.withColumn("y", every)
+            out.append(parts.select(F.xxhash64("k", F.least("x", "y"), F.greatest("x", "y")).alias("k"), "e", "n", "nombres"))
+            break
+        done = F.size(names) == level
+        beside = inside.filter(done).withColumn("y", every).unionByName(inside.filter(~done).withColumn("y", F.col("x")))
+        out.append(beside.select(F.xxhash64("k", "y", F.lit(level)).alias("k"), "e", "n", "nombres"))
+
+        def further(batches):
+            for b in batches:
+                used, lists = b.column("usados").to_pylist(), [x.split(" ") for x in b.column("nombres").to_pylist()]
+                rows = [(r, [*used[r], i], x) for r, ws in enumerate(lists) for i, w in enumerate(ws) if i not in used[r] for x in sorted(_left_out(w))]
+                at = pa.array([r for r, _, _ in rows], type=pa.int64())
+                columns = [b.column("k").take(at), pa.array([x for _, _, x in rows], type=pa.string()), pa.array([u for _, u, _ in rows], type=pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, *[b.column(c).take(at) for c in ("e", "n", "nombres")]], names=["k", "x", "usados", "e", "n", "nombres"])
+
+        longer = inside.filter(~done).select("k", "usados", "e", "n", "nombres").mapInArrow(further, "k bigint, x string, usados array<int>, e bigint, n bigint, nombres string")
+        blocks = cut(longer.select(F.xxhash64("k", "x").alias("k"), "usados", "e", "n", "nombres").dropDuplicates(["k", "e"]), "blocks")
+        level += 1
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
 
 
 def leaf_joins(leaves: DataFrame) -> DataFrame:
-    """e, raiz: the root of each leaf (e, n, nombres, lengua) that joins another one."""
-    blocks = leaves.filter(F.col("nombres") != "").select(F.explode(F.split("nombres", " ")).alias("w"), "lengua", "e", "n", "nombres")
-    blocks = blocks.select(F.xxhash64("lengua", "w").alias("k"), "e", "n", "nombres")
+    """e, raiz: the root of each entry (e, n, nombres, lengua) that joins another one."""
+    blocks = named_blocks(leaves)
 
     def run(batches):
-        rest = None
+        rest: list = []  # batches of the last block so far
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            k = t.column("k").to_numpy()
+            k = b.column("k").to_numpy()
             done = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            rest = t.slice(done)
             if done:
-                yield from emit(t.slice(0, done))
-        if rest is not None and rest.num_rows:
-            yield from emit(rest)
+                yield from emit(pa.Table.from_batches([*rest, b.slice(0, done)]))
+                rest = []
+            rest.append(b.slice(done))
+        if rest:
+            yield from emit(pa.Table.from_batches(rest))
 
     def emit(t):
         k = t.column("k").to_numpy()
-        new = np.concatenate([[True], k[1:] != k[:-1]])
+        new = np.append(True, k[1:] != k[:-1])
         some = np.flatnonzero(~(new & np.append(new[1:], True)))
-        if len(some):
-            names = t.column("nombres").take(pa.array(some)).to_pylist()
-            for light, weight, heavy in _block_joins(k[some], t.column("e").to_numpy()[some], t.column("n").to_numpy()[some], names):
-                yield pa.RecordBatch.from_arrays([pa.array(light), pa.array(weight), pa.array(heavy)], names=["e", "peso", "hacia"])
-
-    found = blocks.repartition("k").sortWithinPartitions("k").mapInArrow(run, "e bigint, peso bigint, hacia bigint")
+        if not len(some):
+            return
+        k, e, n = k[some], t.column("e").to_numpy()[some], t.column("n").to_numpy()[some]
+        sizes = np.diff(np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)))
+        found = list(block_roots(sizes, e, n, name_vectors(t.column("nombres").take(pa.array(some)).to_pylist())))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], names=["e", "peso", "hacia"])
+
+    found = blocks.repartition("k").sortWithinPartitions("k", F.desc("n"), "e").mapInArrow(run, "e bigint, peso bigint, hacia bigint")
     to = found.groupBy("e").agg(F.max(F.struct("peso", (-F.col("hacia").cast("decimal(20,0)")).alias("m"), "hacia")).alias("x")).select("e", F.col("x.hacia").alias("raiz"))
     to = cut(to, "joins")
-    while True:  # each step halves the chains; a chain always goes to heavier leaves, so it ends
+    while True:  # each step halves the chains; a chain always goes to heavier entries, so it ends
         step = to.select(F.col("e").alias("raiz"), F.col("raiz").alias("luego"))
         moved = cut(to.join(step, "raiz", "left").select("e", F.coalesce("luego", "raiz").alias("raiz"), F.col("luego").isNotNull().alias("movido")), "roots")
         to = moved.select("e", "raiz")
-        if not moved.filter("movido").limit(1).count():
+        if moved.filter("movido").isEmpty():
             return to
 
 
@@ -379,7 +525,9 @@ def event_links(rows: DataFrame, hours: int = HOURS) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            ok = [x == y or agree(x, y) for x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist())]
+            both = pc.binary_join_element_wise(b.column("na"), b.column("nb"), "|").dictionary_encode()
+            told = np.array([agree(*x.split("|")) for x in both.dictionary.to_pylist()], dtype=bool)
+            ok = told[both.indices.to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     alike = near.select("a", "b", "na", "nb").mapInArrow(check, "a bigint, b bigint")

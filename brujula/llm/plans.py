@@ -10,8 +10,8 @@ from brujula.functions.dates import INVALID
 from brujula.functions.urls import page_keys
 from brujula.llm import encoding, events, languages, mixing, neardup, splitting, survivors
 from brujula.operators import timestamps
-from brujula.operators.profile import NEWS_SPECS, USABLE
-from brujula.session import cut, spread, table
+from brujula.operators.profile import NEWS_SPECS
+from brujula.session import cut, table
 
 
 def _language_model(spark: SparkSession, d: str):
@@ -78,6 +78,11 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
 ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
 
 
+def usable(name: str):
+    """Whether the cell of a news column has the column's right form."""
+    return NEWS_SPECS[name].mask(F.col(name)).isin(*NEWS_SPECS[name].accepts)
+
+
 def _rank(origin):
     out = F.lit(len(ORIGINS))
     for i, name in enumerate(ORIGINS):
@@ -86,13 +91,16 @@ def _rank(origin):
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
-    """fila, pagina (digest of the page's normal form, null for unusable urls) and what the choice of a record needs."""
+    """fila, pagina (digest of the page's normal form, null for unusable urls) and what the choice of a record needs:
+    titulo, origen, rango, descripcion (null if unusable), fecha_deteccion (of the aggregator, null if unusable) and the instants."""
     news, outlets = table(spark, d, "noticias"), table(spark, d, "medios")
     tables = timestamps.outlet_zones(outlets)
-    good = NEWS_SPECS["url"].mask(F.col("url")) == USABLE
-    largo = F.when(NEWS_SPECS["descripcion"].mask(F.col("descripcion")) == "t", F.length("descripcion"))
-    rows = news.select("fila", "dominio", F.when(good, F.col("url")).alias("url"), _rank(F.col("origen")).cast("int").alias("rango"), largo.alias("largo"), "fecha_extraccion", F.when(F.col("origen") == "gdelt", F.col("fecha_deteccion")).alias("fecha_deteccion"))
+    rows = news.select(
+        "fila", "dominio", "titulo", F.when(usable("url"), F.col("url")).alias("url"), F.coalesce("origen", F.lit("")).alias("origen"), _rank(F.col("origen")).cast("int").alias("rango"),
+        F.when(usable("descripcion"), F.col("descripcion")).alias("descripcion"), "fecha_extraccion", F.when(F.col("origen") == "gdelt", F.col("fecha_deteccion")).alias("fecha_deteccion"),
+    )
     rows = timestamps.with_outlet_zone(rows, outlets, [c for c in rows.columns if c != "dominio"])
+    kept = ["fila", "titulo", "origen", "rango", "descripcion", "fecha_deteccion"]
 
     def run(batches):
         for b in batches:
@@ -100,34 +108,25 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
             for name in ("fecha_extraccion", "fecha_deteccion"):
                 m = timestamps.field_micros(b, name, False, tables)
                 times.append(pa.array(m, mask=m == INVALID))
-            yield pa.RecordBatch.from_arrays([b.column("fila"), page_keys(b.column("url")), b.column("rango"), b.column("largo"), *times], names=["fila", "url", "rango", "largo", "extraccion", "deteccion"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], page_keys(b.column("url")), *times], names=[*kept, "url", "extraccion", "deteccion"])
 
-    out = rows.mapInArrow(run, "fila bigint, url string, rango int, largo int, extraccion bigint, deteccion bigint")
-    return out.select("fila", F.unhex(F.md5("url")).alias("pagina"), "rango", "largo", "extraccion", "deteccion")
+    out = rows.mapInArrow(run, "fila bigint, titulo string, origen string, rango int, descripcion string, fecha_deteccion string, url string, extraccion bigint, deteccion bigint")
+    return out.withColumn("pagina", F.unhex(F.md5("url")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     policies = {
-        "origen": survivors.Order(F.lit(True), (F.col("rango"), F.coalesce(-F.col("extraccion"), F.lit(2**62)))),
-        "descripcion": survivors.Order(F.col("largo").isNotNull(), (-F.col("largo"),)),
-        "fecha_deteccion": survivors.Order(F.col("deteccion").isNotNull(), (F.col("deteccion"),)),
+        "origen": survivors.Policy(F.col("origen"), order=(F.col("rango"), F.coalesce(-F.col("extraccion"), F.lit(2**62)))),
+        "descripcion": survivors.Policy(F.col("descripcion"), order=(-F.length("descripcion"),)),
+        "fecha_deteccion": survivors.Policy(F.when(F.col("deteccion").isNotNull(), F.col("fecha_deteccion")), order=(F.col("deteccion"),)),
     }
-    return survivors.ordered_fields(captures(spark, d), "pagina", "fila", policies)
+    return survivors.consensus(captures(spark, d), "pagina", "fila", policies).select("grupo", "campo", "fila")
 
 
 def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Elected title of each page that was captured twice or more."""
-    news = spread(table(spark, d, "noticias").select("fila", "titulo", "url", "origen"), "fila").select("fila", "titulo", "url", _rank(F.col("origen")).alias("rango"))
-    good = NEWS_SPECS["url"].mask(F.col("url")) == USABLE
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("fila"), b.column("titulo"), page_keys(b.column("url")), b.column("rango")], names=["fila", "titulo", "url", "rango"])
-
-    rows = news.withColumn("url", F.when(good, F.col("url"))).mapInArrow(run, "fila bigint, titulo string, url string, rango int")
-    rows = rows.select("fila", "titulo", F.unhex(F.md5("url")).alias("pagina"), "rango")
-    out = survivors.voted_field(rows, "pagina", "fila", "titulo", 4.0 - F.col("rango"))
-    return out.select("fila", "valor", "distancia", "valores")
+    """Elected title of each page that was captured twice or more, more trusted origins weighing more."""
+    policies = {"titulo": survivors.Policy(F.col("titulo"), weight=4.0 - F.col("rango"))}
+    return survivors.consensus(captures(spark, d), "pagina", "fila", policies).select("fila", "valor", "distancia", "valores")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -60,18 +60,65 @@ def test_edges_and_odd_cases(spark):
     assert len(c) == 12 and c[1] == c[2] == c[10] and c[5] != c[6] and c[1] != c[4]
 
 
-def test_hot_block(spark, monkeypatch):
-    """All leaves share a name: the block is divided by the other names' ends."""
-    monkeypatch.setattr(events, "HOT", 16)
+def test_divided_blocks(spark, monkeypatch):
+    """All entries share a name: divided blocks bring together all that share or nearly share a second one."""
     rng = random.Random(8)
-    sets = ["comunal " + " ".join(sorted((names(rng), names(rng)))) for _ in range(120)]
-    sets = [" ".join(sorted(s.split())) for s in sets]
-    sets += [" ".join(sorted([*s.split()[:-1], s.split()[-1][:5] + s.split()[-1][6:]])) for s in sets[:40]]
-    k, e, n = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets)), np.ones(len(sets), dtype=np.int64)
-    hot = {(int(a), int(b)) for x, _, y in events._block_joins(k, e, n, sets) for a, b in zip(x, y)}
-    monkeypatch.setattr(events, "HOT", 10_000)
-    cold = {(int(a), int(b)) for x, _, y in events._block_joins(k, e, n, sets) for a, b in zip(x, y)}
-    assert hot <= cold and len(hot) >= 0.97 * len(cold) and len(cold) >= 40
+    sets = [" ".join(sorted(("comunal", names(rng), names(rng)))) for _ in range(60)]
+    sets += [" ".join(sorted([*s.split()[:-1], s.split()[-1][:5] + s.split()[-1][6:]])) for s in sets[:20]]
+    sets += ["comunal", *(" ".join(sorted(("comunal", "segundo", names(rng)))) for _ in range(30)), "comunal segundo"]
+    rows = [(i, s) for i, s in enumerate(dict.fromkeys(sets))]
+    leaves = spark.createDataFrame([(i, 1, s, 0) for i, s in rows], "e long, n long, nombres string, lengua byte")
+    for split in (16, 4):
+        monkeypatch.setattr(events, "SPLIT", split)
+        blocks = {}
+        for r in events.named_blocks(leaves).collect():
+            blocks.setdefault(r["k"], set()).add(r["e"])
+        together = {p for b in blocks.values() for p in combinations(sorted(b), 2)}
+        want = {(i, j) for (i, x), (j, y) in combinations(rows, 2) if set(x.split()) & set(y.split()) and events.agree(x, y)}
+        assert want <= together and len(want) > 100
+        assert max(map(len, blocks.values())) < len(rows)
+
+
+def test_tree_of_features():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, events.DIMENSIONS))
+    v = np.repeat(centres, 12, axis=0) + rng.normal(size=(480, events.DIMENSIONS)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    n = rng.integers(1, 9, 480).astype(float)
+    tree = events.FeatureTree()
+    for i in rng.permutation(480).tolist():
+        tree.insert(n[i], v[i], i)
+    weights, sums, entries = tree.features()
+    assert sorted(i for e in entries for i in e) == list(range(480)) and not tree.root.leaf
+    assert np.allclose(weights.sum(), n.sum()) and np.allclose(sums.sum(axis=0), (v * n[:, None]).sum(axis=0))
+    for w, s, e in zip(weights, sums, entries):  # features are the sums of what they absorbed, within the radius
+        assert np.isclose(w, n[e].sum()) and np.allclose(s, (v[e] * n[e][:, None]).sum(axis=0)) and 1 - s @ s / w**2 <= events.RADIUS + 1e-9
+    clusters = [sorted(i for x in c for i in entries[x]) for c in events.ward(weights, sums)]
+    assert sorted(clusters) == [list(range(12 * k, 12 * k + 12)) for k in range(40)]
+
+
+def test_ward_joins_by_cost_and_updates_the_features():
+    """Against Ward's joins by brute force over the members themselves."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        k = int(rng.integers(2, 12))
+        x = rng.normal(size=(k, events.DIMENSIONS)) * 0.05
+        x[:, 0] += np.where(rng.random(k) < 0.5, 1, 0)
+        n = rng.integers(1, 6, k).astype(float)
+        own = [[i] for i in range(k)]
+        mean = lambda c: (x[c] * n[c][:, None]).sum(axis=0) / n[c].sum()  # noqa: E731, B023
+        while True:
+            costs = []
+            for a, b in combinations(range(len(own)), 2):
+                d = ((mean(own[a]) - mean(own[b])) ** 2).sum()
+                if d / 2 <= events.WARD:
+                    na, nb = n[own[a]].sum(), n[own[b]].sum()
+                    costs.append((na * nb / (na + nb) * d, a, b))
+            if not costs:
+                break
+            _, a, b = min(costs)
+            own[a] += own.pop(b)
+        assert sorted(map(sorted, events.ward(n, x * n[:, None]))) == sorted(map(sorted, own))
 
 
 def test_ward_vectors():
