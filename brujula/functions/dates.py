@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 
 SECOND = 1_000_000
 INVALID = np.iinfo(np.int64).min
+LARGEST = str(np.iinfo(np.int64).max)
 
 #: Month names and their usual short forms, folded, in es, en, pt, fr, de and it.
 MONTH_NAMES = {
@@ -131,7 +132,8 @@ def zone_tables(zones: list[str], first: int = 1970, last: int = 2100) -> dict:
 
     A local time before switch[i] has offsets[i]; the switch is placed so that a repeated
     hour is its first pass and a skipped hour keeps the offset before the change. An
-    unknown zone gets no table (its local times are then unusable).
+    unknown zone gets no table (its local times are then unusable). Local times outside the
+    years of the tables are looked up one by one.
     """
     from zoneinfo import ZoneInfo
 
@@ -154,7 +156,7 @@ def zone_tables(zones: list[str], first: int = 1970, last: int = 2100) -> dict:
                 switches.append((at + max(before, after)) * SECOND)
                 offsets.append(after)
         out[name] = (np.array(switches, dtype=np.int64), np.array(offsets, dtype=np.int64) * SECOND)
-    return {"version": zone_version(), "zones": out}
+    return {"version": zone_version(), "zones": out, "span": ((low + 2 * 86400) * SECOND, (high - 2 * 86400) * SECOND)}
 
 
 def zone_version() -> str:
@@ -184,9 +186,23 @@ def local_to_utc(local: np.ndarray, zone_ids: np.ndarray, names: list[str | None
         if name in tables["zones"]:
             switches, offsets = tables["zones"][name]
             out[at] = local[at] - offsets[np.searchsorted(switches, local[at], side="right")]
+            first, last = tables["span"]
+            for i in at[(local[at] < first) | (local[at] >= last)].tolist():
+                out[i] = _local_to_utc_outside(int(local[i]), name)
     return out
 
 
+def _local_to_utc_outside(local: int, name: str) -> int:
+    """One local time by the zone's own rules; INVALID beyond the years 1 to 9999."""
+    from zoneinfo import ZoneInfo
+
+    try:
+        then = datetime(1970, 1, 1) + timedelta(microseconds=local)
+    except OverflowError:
+        return INVALID
+    return local - round(then.replace(tzinfo=ZoneInfo(name)).utcoffset().total_seconds() * SECOND)
+
+
 def to_utc_micros(values: pa.Array, zones: pa.Array, month_first: np.ndarray, tables: dict) -> np.ndarray:
     """UTC microseconds of date texts; INVALID for null, blank or unusable ones.
 
@@ -256,7 +272,11 @@ def _digits(part: pa.Array, zcodes: np.ndarray, znames: list, tables: dict) -> n
     for n in np.unique(lengths):
         at = np.nonzero(lengths == n)[0]
         what = DIGITS[int(n)]
-        number = pc.cast(part.take(pa.array(at)), pa.int64()).to_numpy(zero_copy_only=False)
+        own = part.take(pa.array(at))
+        fits = pc.less_equal(own, LARGEST).to_numpy(zero_copy_only=False) if n == len(LARGEST) else np.ones(len(at), dtype=bool)
+        if not fits.all():  # more than any count can be
+            at, own = at[fits], own.filter(pa.array(fits))
+        number = pc.cast(own, pa.int64()).to_numpy(zero_copy_only=False)
         if what != "calendar":
             out[at] = number * what if what > 0 else number // -what
             continue

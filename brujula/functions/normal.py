@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRACKING = r"(?i)^(utm_\w+|fbclid|gclid|ocid|cmpid)(=.*)?$"
-#: Character entities that occur in feeds and what they stand for (fixed values).
-ENTITIES = (("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&hellip;", "…"), ("&#8230;", "…"), ("&#233;", "é"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+from brujula.functions.urls import page_keys
 
 
 def normal_url(col: Column) -> Column:
-    """Without fragment, tracking parameters and slashes at the end, in lower case (parameters as they are written)."""
-    bare = F.regexp_replace(F.trim(col), r"#.*$", "")
-    path, query = F.substring_index(bare, "?", 1), F.when(F.instr(bare, "?") > 0, F.regexp_extract(bare, r"\?(.*)$", 1)).otherwise("")
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    named = F.array_join(F.transform(kept, lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("=")))), "&")
-    return F.regexp_replace(F.lower(F.when(named == "", path).otherwise(F.concat(path, F.lit("?"), named))), r"/+$", "")
+    """The one normal form of a url (`brujula.functions.urls.page_key`)."""
+    return F.arrow_udf(page_keys, "string")(col)
 
 
 def news_id(url: Column) -> Column:
@@ -27,12 +24,14 @@ def provisional_cluster(ident: Column) -> Column:
     return F.concat(F.lit("K-"), F.substring(ident, 3, 1000))
 
 
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([html.unescape(t) if t is not None and "&" in t else t for t in texts.to_pylist()], type=pa.string())
+
+
 def plain_text(col: Column) -> Column:
-    """Tags to spaces, entities to their signs, white space drawn together; empty becomes null."""
-    out = F.regexp_replace(col, r"<[^>]+>", " ")
-    for entity, sign in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.nullif(F.trim(F.regexp_replace(out, r"[\s ]+", " ")), F.lit(""))
+    """Tags to spaces, character entities (named and numbered) to their signs, white space drawn together; empty becomes null."""
+    out = F.arrow_udf(_unescaped, "string")(F.regexp_replace(col, r"<[^>]+>", " "))
+    return F.nullif(F.trim(F.regexp_replace(out, r"[\s\u00a0]+", " ")), F.lit(""))
 
 
 def slug(col: Column) -> Column:

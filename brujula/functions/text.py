@@ -27,11 +27,13 @@ def words(text: str) -> list[str]:
 #: Accented letters of the corpus languages and their base letters (fixed values).
 ACCENTED = "áàâäãåāăąéèêëēĕėęěíìîïĩīĭįóòôöõøōŏőúùûüũūŭůűñńňçćčýÿžźżšśş"
 BASE = "aaaaaaaaaeeeeeeeeeiiiiiiiiooooooooouuuuuuuuunnncccyyzzzsss"
+#: Combining accents, which a decomposed letter carries behind it.
+COMBINING = "".join(map(chr, range(0x300, 0x370)))
 
 
 def folded(col: Column) -> Column:
     """Lower case without accents for Latin text, JVM-side."""
-    return F.translate(F.lower(col), ACCENTED, BASE)
+    return F.translate(F.lower(col), ACCENTED + COMBINING, BASE)
 
 
 def trimmed(col: Column) -> Column:

@@ -32,4 +32,6 @@ def page_key(url: str | None) -> str | None:
 
 
 def page_keys(urls: pa.Array) -> pa.Array:
-    return pa.array([page_key(u) for u in urls.to_pylist()], type=pa.string())
+    """The normal form of each url, each distinct one worked out once."""
+    distinct = urls.dictionary_encode()
+    return pa.array([page_key(u) for u in distinct.dictionary.to_pylist()], type=pa.string()).take(distinct.indices)

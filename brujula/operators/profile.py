@@ -1,11 +1,13 @@
 """Column-level data quality profile by character-class masks.
 
-A value is generalised to a mask by an ordered list of rewritings (character classes to
-one sign each). A column whose right form is known accepts the masks of that form and no
-others, however frequent they are. Of other columns the masks are counted over all rows;
-those that hold at least `min_share` of the non-null values are the dominant patterns, every
-other mask is rare and its cells are violations. Loads are compared by their figures and by the
-Jensen-Shannon divergence of their mask distributions.
+A value is generalised to a mask: runs of letters (w), single letters (a), runs of digits (9) and
+of white space become one sign each, every other sign stays. A column's form may keep letters
+that it turns on, and draw longer runs together (words of a slug to s, of a text to T). Masks are counted over all rows; those that
+hold at least `min_share` of a column's values are its dominant patterns, every other mask is
+rare. Of a column without a known form the rare masks are its violations. A column with a form
+has an exact test: a dominant mask that proves its values (`Form.proof`) is good as a whole, and the cells of all other masks, rare ones and frequent bad ones alike, are tested one by
+one. `min_share` thus decides how much is tested, not what is found. Loads are compared by
+their figures and by the Jensen-Shannon divergence of their mask distributions.
 
 Defined cases: null cells have no mask and are never violations; an empty table or load
 gives no row; a load without a load numbered one lower gets no comparison; a load without
@@ -15,7 +17,8 @@ columns are ignored; a column named like an output column is read before it is r
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,43 +26,47 @@ from pyspark.sql import functions as F
 from brujula.functions.text import folded, trimmed
 from brujula.session import cut, spread
 
+#: What UTF-8 text looks like once read as Latin-1 or Windows-1252, or once replaced.
+MOJIBAKE = r"[ÂÃÅÐÑ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â[\u0080-\u0082€‚][\u0080-\u00bf‘-”œžŸ¦™]|\ufffd|ï¿½"
+MARKUP = r"</?[A-Za-z][^<>]*>|<!--|<!\[CDATA"
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10}[0-9]{0,2});"
+
+
+#: White space of any kind.
+SPACE = "[\\s\u00a0\u2007\u202f\u3000\ufeff]"
+#: Letters that mis-decoded text is made of, and the private signs that stand for them while others are drawn together.
+KEPT = "ÂÃÅÐÑâïƒŠŒŽšœžŸˆªµº"
+PRIVATE = "".join(chr(0xE000 + i) for i in range(len(KEPT)))
+_RUNS = ((r"\p{L}{2,}", "\x01"), (r"\p{L}", "a"), ("\x01", "w"), ("[0-9]+", "9"), (SPACE + "+", " "))
+
 
 @dataclass(frozen=True)
-class MaskSpec:
-    """How a column's values are generalised: rewritings in order, after trimming."""
+class Form:
+    """How a column's values become masks, and, where it is known, what their right form is.
 
-    rewrites: tuple[tuple[str, str], ...]
-    prepare: str = "trim"
-    extra: dict = field(default_factory=dict, hash=False)
-    accepts: tuple[str, ...] = ()  # masks of the right form; none: the dominant ones are right
+    steps: rewritings in order, after trimming; keep: letters that stay as they are; test: whether a trimmed
+    value has the right form; proof: a pattern of masks all of whose values have it.
+    """
+
+    steps: tuple[tuple[str, str], ...] = _RUNS
+    keep: str = ""
+    test: Callable[[Column], Column] | None = None
+    proof: str = "$^"
 
     def mask(self, col: Column) -> Column:
         out = trimmed(col)
-        for pattern, sign in self.rewrites:
+        if self.keep:
+            out = F.translate(out, self.keep, PRIVATE)
+        for pattern, sign in self.steps:
             out = F.regexp_replace(out, pattern, sign)
-        return out
+        return F.translate(out, PRIVATE, self.keep) if self.keep else out
 
+    def right(self, col: Column) -> Column:
+        """Whether a cell has the right form (null for null)."""
+        return self.test(trimmed(col))
 
-#: Any text: digits to 9, capitals to A, small letters to a, runs drawn together.
-GENERIC = MaskSpec(((r"[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"(?U)\s+", " ")))
 
-#: Identifiers: lower-case hex digits to h, everything else (but h itself) as it is.
-HEX_ID = MaskSpec((("h", "x"), (r"[0-9a-f]", "h")), accepts=("N-" + "h" * 10,))
-
-#: The mask of a usable address: no letter or digit, so that later rewritings keep it.
-USABLE = "\u2713"
-
-#: Addresses: scheme, host with a dot and a rest without white space together to one sign.
-ADDRESS = MaskSpec(
-    (
-        (USABLE, "v"),  # in a value it is no sign
-        (r"^(?i:https?)://(?=[^/?#\s]*\.)[^/?#\s]+(?:[/?#][^\s\u00a0]*)?$", USABLE),
-        (r"\p{L}+", "a"),
-        (r"[0-9]+", "9"),
-        (r"(?U)\s+", " "),
-    ),
-    accepts=(USABLE,),
-)
+GENERIC = Form()
 
 #: Folded texts that only stand for a missing one (fixed values).
 STAND_INS = (
@@ -71,43 +78,42 @@ STAND_INS = (
     "non disponibile", "lorem ipsum",
 )
 
-#: What UTF-8 text looks like once read as Latin-1 or Windows-1252, or once replaced.
-MOJIBAKE = r"[ÂÃÅÐÑ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â[\u0080-\u0082€‚][\u0080-¿‘-”œžŸ¦™]|�|ï¿½"
-MARKUP = r"</?[A-Za-z][^<>]*>|<!--|<!\[CDATA"
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10}[0-9]{0,2});"
 
+def _text_ok(col: Column) -> Column:
+    plain = F.trim(F.regexp_replace(folded(col), r"[^\p{L}\p{N}]+", " "))
+    return ~((plain == "") | plain.isin(*STAND_INS) | col.rlike(MARKUP) | col.rlike(ENTITY) | col.rlike(MOJIBAKE))
 
-class TextSpec(MaskSpec):
-    """Running text: one sign for each kind of content, t for plain text."""
 
-    def mask(self, col: Column) -> Column:
-        plain = F.trim(F.regexp_replace(folded(col), r"[^\p{L}\p{N}]+", " "))
-        return (
-            F.when(plain == "", "b")
-            .when(plain.isin(*STAND_INS), "b")
-            .when(col.rlike(MARKUP), "m")
-            .when(col.rlike(ENTITY), "e")
-            .when(col.rlike(MOJIBAKE), "j")
-            .otherwise("t")
-        )
+#: Identifiers: lower-case hex digits to h, everything else (but h itself) as it is.
+HEX_ID = Form((("h", "x"), ("[0-9a-f]", "h")), test=lambda c: c.rlike("^N-[0-9a-f]{10}$"), proof="^N-h{10}$")
 
+#: The sign of a web scheme at an address's start; in a value it is no sign.
+WEB = "\u2713"
+_REST = r"://(?=[^/?#\s]*\.)[^/?#\s]+(?:[/?#][^\s\u00a0]*)?$"
 
-TEXT = TextSpec((), accepts=("t",))
+#: Addresses: words tied by dashes or underscores are one s.
+ADDRESS = Form(
+    ((WEB, "v"), ("^(?i:https?)://", WEB + "://"), *_RUNS, (r"[wa9]+(?:[-_]+[wa9]+)+", "s")),
+    test=lambda c: c.rlike("^(?i:https?)" + _REST), proof="^" + WEB + _REST,
+)
+
+#: Running text: six words or more with ordinary punctuation are one T; signs of markup and entities stay.
+TEXT = Form((*_RUNS, ("(?:[wa9][ ,.;:()%'\"«»“”‘’¿?¡!/…–—-]*){6,}", "T")), keep=KEPT, test=_text_ok, proof="^[ ,.;:()'\"«»“”‘’¿?¡!/…–—-]*T$")
 
 NEWS_SPECS = {"id_noticia": HEX_ID, "url": ADDRESS, "descripcion": TEXT}
 
 
-def cells(df: DataFrame, specs: dict[str, MaskSpec], keep: list[str], masks: bool = True) -> DataFrame:
+def cells(df: DataFrame, specs: dict[str, Form], keep: list[str]) -> DataFrame:
     """One row per non-null cell of the profiled columns: keep columns, columna, valor, mascara."""
     parts = []
     for name, spec in specs.items():
         value = F.col(name).cast("string")
-        parts.append(F.struct(F.lit(name).alias("columna"), value.alias("valor"), *([spec.mask(value).alias("mascara")] if masks else [])))
+        parts.append(F.struct(F.lit(name).alias("columna"), value.alias("valor"), spec.mask(value).alias("mascara")))
     rows = df.select(*dict.fromkeys([*keep, *specs]))
     return spread(rows, (keep or list(specs))[0]).select(*keep, F.explode(F.array(*parts)).alias("c")).select(*keep, "c.*").filter(F.col("valor").isNotNull())
 
 
-def mask_counts(df: DataFrame, specs: dict[str, MaskSpec], by: list[str] | None = None) -> DataFrame:
+def mask_counts(df: DataFrame, specs: dict[str, Form], by: list[str] | None = None) -> DataFrame:
     """Counts of each mask of each column (and load); pre-aggregated before the shuffle."""
     return cells(df, specs, by or []).groupBy(*(by or []), "columna", "mascara").agg(F.count("*").alias("n"))
 
@@ -118,26 +124,29 @@ def dominant_masks(counts: DataFrame, min_share: float) -> DataFrame:
     return counts.join(totals, "columna").filter(F.col("n") >= min_share * F.col("total")).select("columna", "mascara")
 
 
-def violations(df: DataFrame, specs: dict[str, MaskSpec], key: str, min_share: float = 0.2) -> DataFrame:
-    """key, columna, valor, mascara of the cells whose mask isn't of the column's right form, or,
-    where its spec names none, isn't a dominant one.
+def violations(df: DataFrame, specs: dict[str, Form], key: str, min_share: float = 0.01) -> DataFrame:
+    """key, columna, valor, mascara of the violations of each column (see the module).
 
-    The list of dominant masks has at most 1/min_share rows per column, so it is small at
-    any size of the table and Spark may broadcast it by its own threshold.
+    A column has at most 1/min_share dominant masks, so their list is bounded and enters the plan as literals.
     """
-    out = [key, "columna", "valor", "mascara"]
-    known = {c: s for c, s in specs.items() if s.accepts}
-    mined = {c: s for c, s in specs.items() if not s.accepts}
+    dominant = [(r["columna"], r["mascara"]) for r in dominant_masks(cut(mask_counts(df, specs), "masks"), min_share).collect()]
     found = []
-    if known:
-        right = F.lit(False)
-        for c, s in known.items():
-            right = right | ((F.col("columna") == c) & F.col("mascara").isin(*s.accepts))
-        found.append(cells(df, known, [key]).filter(~right).select(*out))
-    if mined or not known:
-        dominant = dominant_masks(cut(mask_counts(df, mined), "masks"), min_share)
-        found.append(cells(df, mined, [key]).join(dominant, ["columna", "mascara"], "left_anti").select(*out))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    for name, spec in specs.items():
+        own = [m for c, m in dominant if c == name]
+        value = F.col(name).cast("string")
+        rows = df.filter(F.col(name).isNotNull()).select(key, F.lit(name).alias("columna"), value.alias("valor"), spec.mask(value).alias("mascara"))
+        if spec.test:
+            proven = F.lit(False)
+            if own:
+                proven = F.col("mascara").isin(*own) & F.col("mascara").rlike(spec.proof)
+            rows = rows.filter(~proven).filter(~spec.right(F.col("valor")))
+        elif own:
+            rows = rows.filter(~F.col("mascara").isin(*own))
+        found.append(rows)
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def load_figures(df: DataFrame, columns: list[str], load: str) -> DataFrame:
@@ -179,7 +188,7 @@ def load_shifts(figures: DataFrame, nulls: float = 0.1, distinct: float = 0.1, l
     return both.select("columna", F.explode(moved).alias("problema"), "carga")
 
 
-def mask_divergence(df: DataFrame, specs: dict[str, MaskSpec], load: str) -> DataFrame:
+def mask_divergence(df: DataFrame, specs: dict[str, Form], load: str) -> DataFrame:
     """Jensen-Shannon divergence (base 2) between the mask distributions of each load and the one before.
 
     Columns: carga, columna, mascaras (distinct masks in the load), divergencia in [0, 1].
@@ -200,25 +209,28 @@ def mask_divergence(df: DataFrame, specs: dict[str, MaskSpec], load: str) -> Dat
     )
 
 
-def column_profile(df: DataFrame, specs: dict[str, MaskSpec] | None = None) -> DataFrame:
-    """One row per column of the table: rows, nulls, distinct values (approximate, 1 % error),
-    least and greatest value, lengths, and number and share of the masks that dominate."""
+def column_profile(df: DataFrame, specs: dict[str, Form] | None = None) -> DataFrame:
+    """One row per column of the table: rows, nulls, distinct values, least and greatest value (in the column's own
+    order), lengths of the values as texts, and number and share of the masks that dominate.
+
+    Ranges and lengths are one wide aggregate over the table; masks and distinct values come from the values drawn
+    together per column, so that a mask is worked out once per distinct value.
+    """
     names = df.columns
     text = lambda c: F.col(f"`{c}`").cast("string")
-    parts = [F.struct(F.lit(c).alias("columna"), text(c).alias("valor"), (specs or {}).get(c, GENERIC).mask(text(c)).alias("mascara")) for c in names]
-    long = df.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
-    figures = long.groupBy("columna").agg(
+    wide = df.agg(
         F.count("*").alias("filas"),
-        (F.count("*") - F.count("valor")).alias("nulos"),
-        F.approx_count_distinct("valor", 0.01).alias("distintos_aprox"),
-        F.min("valor").alias("minimo"),
-        F.max("valor").alias("maximo"),
-        F.min(F.length("valor")).alias("largo_minimo"),
-        F.max(F.length("valor")).alias("largo_maximo"),
-        F.round(F.avg(F.length("valor")), 4).alias("largo_medio"),
-    )
-    masks = long.filter(F.col("valor").isNotNull()).groupBy("columna", "mascara").agg(F.count("*").alias("n"))
-    top = masks.groupBy("columna").agg(F.max(F.struct("n", "mascara")).alias("top"), F.count("*").alias("mascaras"), F.sum("n").alias("total"))
+        *[F.struct(F.count(F.col(f"`{c}`")).alias("n"), F.min(f"`{c}`").cast("string").alias("a"), F.max(f"`{c}`").cast("string").alias("b"), F.min(F.length(text(c))).alias("x"), F.max(F.length(text(c))).alias("y"), F.round(F.avg(F.length(text(c))), 4).alias("z")).alias(f"f{i}") for i, c in enumerate(names)],
+    )
+    figures = wide.select("filas", F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(f"f{i}").alias("f")) for i, c in enumerate(names)])).alias("x"))
+    figures = figures.filter("filas > 0").select("x.columna", "filas", (F.col("filas") - F.col("x.f.n")).alias("nulos"), F.col("x.f.a").alias("minimo"), F.col("x.f.b").alias("maximo"), F.col("x.f.x").alias("largo_minimo"), F.col("x.f.y").alias("largo_maximo"), F.col("x.f.z").alias("largo_medio"))
+    rows = spread(df, names[0])
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), text(c).alias("valor")) for c in names])).alias("c")).select("c.*").filter(F.col("valor").isNotNull())
+    own = GENERIC.mask(F.col("valor"))
+    for c, spec in (specs or {}).items():
+        own = F.when(F.col("columna") == c, spec.mask(F.col("valor"))).otherwise(own)
+    masks = long.groupBy("columna", "valor").agg(F.count("*").alias("n")).groupBy("columna", own.alias("mascara")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    top = masks.groupBy("columna").agg(F.max(F.struct("n", "mascara")).alias("top"), F.count("*").alias("mascaras"), F.sum("n").alias("total"), F.sum("d").alias("distintos"))
     return figures.join(top, "columna", "left").select(
-        *figures.columns, "mascaras", F.col("top.mascara").alias("mascara_dominante"), F.round(F.col("top.n") / F.col("total"), 6).alias("parte_dominante")
+        *figures.columns, F.coalesce("distintos", F.lit(0)).alias("distintos"), "mascaras", F.col("top.mascara").alias("mascara_dominante"), F.round(F.col("top.n") / F.col("total"), 6).alias("parte_dominante")
     )

@@ -32,8 +32,10 @@ def with_outlet_zone(news: DataFrame, outlets: DataFrame, columns: list[str]) ->
 
 
 def outlet_zones(outlets: DataFrame, limit: int = 1000) -> dict:
-    """Transition tables of the zones in use. Zone names number under 600 in the database, which bounds them."""
-    names = [r[0] for r in outlets.select("zona_horaria").filter(F.col("zona_horaria").isNotNull()).distinct().limit(limit).collect()]
+    """Transition tables of the zones in use. Zone names number under 600 in the database; more than `limit` are an error."""
+    names = [r[0] for r in outlets.select("zona_horaria").filter(F.col("zona_horaria").isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} time zones")
     return zone_tables(names)
 
 
@@ -70,7 +72,7 @@ def irregular_dates(news: DataFrame, outlets: DataFrame, key: str = "fila", fiel
 
 
 def normalise(news: DataFrame, outlets: DataFrame, key: str = "fila", fields: tuple[str, ...] = NEWS_FIELDS, local: str = "fecha_publicacion") -> DataFrame:
-    """key and each field as a UTC timestamp (null where null, blank or unusable)."""
+    """key, each field as a UTC timestamp (null where null, blank or unusable), and version_zonas of the zone tables used."""
     tables = outlet_zones(outlets)
     rows = with_outlet_zone(news, outlets, [key, *fields])
 
@@ -83,4 +85,5 @@ def normalise(news: DataFrame, outlets: DataFrame, key: str = "fila", fields: tu
             yield pa.RecordBatch.from_arrays(out, names=[key, *fields])
 
     kind = news.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{f}` timestamp" for f in fields))
+    out = rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{f}` timestamp" for f in fields))
+    return out.withColumn("version_zonas", F.lit(tables["version"]))

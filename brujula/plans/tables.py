@@ -21,7 +21,7 @@ TOPIC_INDICATORS = {
     "servicios públicos": ("IT.NET.USER.ZS",),
 }
 INDICATOR_WORDS = {
-    "NY.GDP.MKTP.KD.ZG": ("pib", "producto interno bruto", "crecimiento economico", "gdp", "economic growth"),
+    "NY.GDP.MKTP.KD.ZG": ("pib", "producto interno bruto", "crecimiento economico", "crecimiento de la economia", "economia crecio", "economia crece", "gdp", "economic growth"),
     "FP.CPI.TOTL.ZG": ("inflacion", "ipc", "indice de precios", "costo de vida", "canasta basica", "alza de precios", "aumento de precios", "inflation", "consumer prices"),
     "SL.UEM.TOTL.ZS": ("desempleo", "desocupacion", "tasa de empleo", "mercado laboral", "unemployment"),
     "NE.EXP.GNFS.ZS": ("exportaciones", "comercio exterior", "exports"),
@@ -205,7 +205,8 @@ def quakes_sorted(spark, d):
     """One row per event, the last updated, with its place in time order."""
     s = table(spark, d, "sismos").select("id", "time", "updated", "magnitude")
     one = merge.keep_first(s.filter("updated IS NOT NULL"), ["id"], [-F.unix_micros(F.try_to_timestamp("updated"))])
-    return one.select("id", "time", F.round("magnitude", 2).alias("magnitude"), F.row_number().over(Window.orderBy(F.coalesce("time", F.lit("")), "id")).alias("puesto"))
+    ranked = rollups.global_rank(one.withColumn("_t", F.coalesce("time", F.lit(""))), ["_t", "id"], "puesto")
+    return ranked.select("id", "time", F.round("magnitude", 2).alias("magnitude"), "puesto")
 
 
 def context_kinds(spark, d):

@@ -142,9 +142,10 @@ def figures_unsupported(spark, d):
 
 
 def figure_conflicts(spark, d):
-    news = _news(spark, d).filter("descripcion IS NOT NULL").select("fila", "cluster_id", "descripcion")
-    found = figures.extract(news, "fila", "descripcion").join(news.select("fila", "cluster_id"), "fila")
-    return figures.conflicts(found, "cluster_id", "fila")
+    """Rows on one topic from one outlet whose figures of one unit differ (provisional clusters of these tables hold one row each)."""
+    when = F.coalesce(validation.iso_timestamp(F.col("fecha_publicacion")), validation.iso_timestamp(F.col("fecha_deteccion")))
+    news = _news(spark, d).filter("tema IS NOT NULL AND dominio IS NOT NULL").select("fila", F.concat_ws("|", "tema", "dominio").alias("grupo"), F.concat_ws(" ", "titulo", "descripcion").alias("texto"), when.alias("t"))
+    return figures.conflicts(news, "grupo", "fila", "texto", "t")
 
 
 def citations(spark, d):
@@ -163,11 +164,13 @@ QUERIES = {
     )
 }
 
+#: Character entities that occur in these tables and what they stand for (fixed values).
+ENTITIES = (("&nbsp;", " "), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&hellip;", "…"), ("&#8230;", "…"), ("&#233;", "é"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOP)
 _F = "strip_accents(lower({c}))"
 _STEMS = rf"list_transform(list_filter(regexp_extract_all(strip_accents(lower(titulo)), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE left(w, 5) END)"
 _PLAIN = "regexp_replace(descripcion, '<[^>]+>', ' ', 'g')"
-for _e, _s in normal.ENTITIES:
+for _e, _s in ENTITIES:
     _PLAIN = f"replace({_PLAIN}, '{_e}', '{_s.replace(chr(39), chr(39) * 2)}')"
 _HITS = ", ".join("len(regexp_extract_all(x, '" + _pattern(ws) + f"')) AS h{i}" for i, ws in enumerate(TOPIC_WORDS.values()))
 _TEXT = r"'  ' || regexp_replace(strip_accents(lower(concat_ws('. ', titulo, descripcion))), '[^a-z0-9_]+', '  ', 'g') || '  '"
@@ -186,7 +189,8 @@ SQL = {
     "url_normal": r"""
         WITH b AS (SELECT fila, regexp_replace(trim(url), '#.*$', '') AS u FROM noticias WHERE url IS NOT NULL),
         p AS (SELECT fila, split_part(u, '?', 1) AS path, list_filter(string_split(CASE WHEN contains(u, '?') THEN regexp_extract(u, '\?(.*)$', 1) ELSE '' END, '&'), lambda q: q <> '' AND NOT regexp_full_match(q, '(?i)(utm_\w+|fbclid|gclid|ocid|cmpid)(=.*)?')) AS q FROM b),
-        j AS (SELECT fila, path, array_to_string(list_transform(q, lambda a: CASE WHEN contains(a, '=') THEN a ELSE a || '=' END), '&') AS q FROM p),
+        e AS (SELECT fila, path, list_transform(list_transform(q, lambda a: CASE WHEN contains(a, '=') THEN a ELSE a || '=' END), lambda a: [url_decode(replace(regexp_extract(a, '^([^=]*)=', 1), '+', ' ')), url_decode(replace(regexp_extract(a, '^[^=]*=(.*)$', 1), '+', ' '))]) AS q FROM p),
+        j AS (SELECT fila, regexp_replace(path, '^(?i)(https?):(/[^/])', '\1://\2') AS path, array_to_string(list_transform(q, lambda a: replace(url_encode(a[1]) || '=' || url_encode(a[2]), '%20', '+')), '&') AS q FROM e),
         r AS (SELECT fila, regexp_replace(lower(CASE WHEN q = '' THEN path ELSE path || '?' || q END), '/+$', '') AS url FROM j)
         SELECT fila, url, 'N-' || left(sha1(url), 10) AS id, 'K-' || left(sha1(url), 10) AS cluster FROM r""",
     "plain_text": rf"SELECT fila, nullif(trim(regexp_replace({_PLAIN}, '[\s\x{{00A0}}]+', ' ', 'g')), '') AS texto FROM noticias",

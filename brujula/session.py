@@ -52,17 +52,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, local use) a temporary folder of this
-    machine is taken, which is right because there everything runs on this machine.
+    Only where the session names none and everything runs in this machine (master local, as in
+    tests) a temporary folder of it is taken; on a cluster a missing folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="brujula-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
+_folders: dict[str, str] = {}
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    """This application's folder of cut tables; the file system drops it when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/brujula/{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return _folders[app]
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back.
 
@@ -70,7 +87,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     recomputation beyond it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brujula/{name}-{uuid.uuid4().hex}"
+    path = f"{_cut_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,15 +6,13 @@ nothing downloads. Unreadable rows become rejected rows, never errors.
 
 from __future__ import annotations
 
-import json
-import re
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brujula.functions.normal import news_id, normal_url, plain_text, provisional_cluster
+from brujula.session import spread
 from brujula.sources.contract import NEWS, finalize
 
 INDICATORS = "pais_iso3 STRING, indicador_id STRING, anio BIGINT, valor DOUBLE, unidad STRING, fuente_url STRING, fecha_extraccion STRING, licencia STRING"
@@ -106,42 +104,28 @@ def sitemap(spark: SparkSession, path: str, domain: str, disallowed: tuple[str,
     return locs.filter(F.coalesce(F.endswith(F.try_parse_url("url", F.lit("HOST")), F.lit(domain)), F.lit(False)) & ~bad).distinct()
 
 
-_BLOCK = re.compile(r"<script[^>]*ld\+json[^>]*>(.*?)</script>", re.DOTALL | re.IGNORECASE)
-_META = re.compile(r"<meta[^>]+article:published_time[^>]+content=[\"']([^\"']+)", re.IGNORECASE)
+_BLOCK = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
+_META = r"(?is)<meta[^>]+article:published_time[^>]+content=[\"']([^\"']+)"
+_NODE = "`@type`: STRING, headline: STRING, description: STRING, datePublished: STRING"
 
 
-def _article(html: str | None) -> dict:
-    """headline, description, datePublished of the first article that a page describes as linked data."""
-    for block in _BLOCK.findall(html or ""):
-        try:
-            todo = [json.loads(block, strict=False)]
-        except ValueError:
-            continue
-        while todo:
-            x = todo.pop(0)
-            if isinstance(x, list):
-                todo = x + todo
-            elif isinstance(x, dict):
-                kinds = x.get("@type")
-                if any(isinstance(k, str) and k.endswith("Article") for k in (kinds if isinstance(kinds, list) else [kinds])):
-                    return x
-                if isinstance(x.get("@graph"), list):
-                    todo = x["@graph"] + todo
-    return {}
+def _article(page: Column) -> Column:
+    """The first node of a page's linked data whose type is a kind of article; null without one."""
+    schema = f"ARRAY<STRUCT<{_NODE}, `@graph`: ARRAY<STRUCT<{_NODE}>>>>"
+    names = ("@type", "headline", "description", "datePublished")
+    node = lambda x: F.struct(*[x[n].alias(n.strip("@")) for n in names])
+    read = lambda block: F.coalesce(F.from_json(block, schema, {"allowUnquotedControlChars": "true"}), F.array())
+    inside = lambda x: F.concat(F.array(node(x)), F.transform(F.coalesce(x["@graph"], F.array()), node))
+    nodes = F.flatten(F.transform(F.regexp_extract_all(page, F.lit(_BLOCK), 1), lambda b: F.flatten(F.transform(read(b), inside))))
+    # a list of types comes as its JSON text
+    return F.try_element_at(F.filter(nodes, lambda x: x.type.rlike(r'Article("|$)')), F.lit(1))
 
 
 def articles(pages: DataFrame, url: str, html: str, when: str, outlet: str, domain: str, language: str, origin: str = "tvn_web") -> DataFrame:
     """News rows of article pages (columns url, html, when); pages without an article or title give none."""
-
-    def run(batches):
-        for b in batches:
-            found = [_article(h) for h in b.column(html).to_pylist()]
-            text = lambda k: pa.array([x.get(k) if isinstance(x.get(k), str) else None for x in found], type=pa.string())  # noqa: E731, B023
-            dates = [x.get("datePublished") or (m[1] if x and (m := _META.search(h or "")) else None) for x, h in zip(found, b.column(html).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(url), text("headline"), text("description"), pa.array(dates, type=pa.string()), b.column(when)], names=["u", "t", "d", "p", "w"])
-
-    rows = pages.select(url, html, when).mapInArrow(run, "u string, t string, d string, p string, w timestamp")
-    out = _from_item(rows, F.col("u"), F.col("t"), F.col("d"), F.try_to_timestamp("p"), F.col("w"), origin, "descripcion_web", outlet, domain, language)
+    rows = pages.select(F.col(url).alias("u"), F.col(html).alias("h"), F.col(when).alias("w"), _article(F.col(html)).alias("x")).filter("x IS NOT NULL")
+    published = F.coalesce("x.datePublished", F.nullif(F.regexp_extract("h", _META, 1), F.lit("")))
+    out = _from_item(rows, F.col("u"), F.col("x.headline"), F.col("x.description"), F.try_to_timestamp(published), F.col("w"), origin, "descripcion_web", outlet, domain, language)
     return finalize(out.filter(F.col("titulo").isNotNull()))
 
 
@@ -181,15 +165,26 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str, ids: str) -> DataFrame:
-    """id, vector of a stored matrix with its list of ids (rows by position)."""
+    """id, vector of a stored matrix with its list of ids (rows by position).
+
+    The driver reads the header and the ids; each task maps the file and reads its own rows of
+    the matrix, so the file has to lie where the executors can read it.
+    """
     import numpy as np
 
-    names = json.load(open(ids, encoding="utf-8"))
-    m = np.load(path)
-    if len(names) != len(m):
+    names = spark.read.option("multiLine", True).option("wholetext", True).text(ids).select(F.posexplode(F.from_json("value", "ARRAY<STRING>")).alias("fila", "id"))
+    rows, width = np.load(path, mmap_mode="r").shape
+    if names.count() != rows:
         raise ValueError("ids and matrix differ in length")
-    t = pa.table({"id": pa.array(names, type=pa.string()), "vector": pa.FixedSizeListArray.from_arrays(pa.array(m.astype("float32").ravel()), m.shape[1]).cast(pa.list_(pa.float32()))})
-    return spark.createDataFrame(t)
+
+    def run(batches):
+        m = np.load(path, mmap_mode="r")
+        for b in batches:
+            own = np.ascontiguousarray(m[b.column("fila").to_numpy()], dtype="float32")
+            v = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), width).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), v], names=["id", "vector"])
+
+    return spread(names, "fila").mapInArrow(run, "id string, vector array<float>")
 
 
 def query_url(base: str, countries: list[str], first: int, last: int) -> str:

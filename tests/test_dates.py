@@ -77,3 +77,13 @@ def test_leap_days_and_masks():
     assert shape_masks(pa.array(["Fri, 17 Apr 2026", "día 3"])).to_pylist() == ["a, 99 a 9999", "a 9"]
     assert parser_of("9999-99-99")[0] == "ymd" and parser_of("a a")[0] == "none"
     assert TABLES["version"] and len(TABLES["zones"]) == len(ZONES)
+
+
+def test_counts_beyond_any_integer_and_years_beyond_the_tables():
+    v = ["9223372036854775807", "9223372036854775808", "9999999999999999999", "0000000000000000000"]
+    got = to_utc_micros(pa.array(v), pa.array(["UTC"] * 4), np.zeros(4, dtype=bool), TABLES)
+    assert got.tolist() == [9223372036854775, INVALID, INVALID, 0]
+    far = ["01/07/1930 12:00", "01/07/2150 12:00", "01/01/2150 12:00"]
+    want = [datetime(y, m, 1, 12, tzinfo=ZoneInfo("Europe/Madrid")) for y, m in ((1930, 7), (2150, 7), (2150, 1))]
+    got = to_utc_micros(pa.array(far), pa.array(["Europe/Madrid"] * 3), np.zeros(3, dtype=bool), zone_tables(["Europe/Madrid"]))
+    assert got.tolist() == [round((w - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds() * 1e6) for w in want]

@@ -138,16 +138,27 @@ def test_complete_linkage_splits_chains():
     assert vectors.complete_linkage(np.zeros((1, 1)), 0.3).tolist() == [0]
 
 
-def test_figures():
-    assert figures.readings("1.350") == [(1350.0, 0), (1.35, 3)] and figures.readings("1.234,5") == [(1234.5, 1)] and figures.readings("4,515,577") == [(4515577.0, 0)]
-    got = [(n, s, u) for n, s, u, _ in figures.figures_of("Subió 7,2 % y costó 4,5 millones de dólares; magnitud 5,1. N-12ab no, ni 30x")]
-    assert got == [("7,2", 1.0, "%"), ("4,5", 1e6, "dólares"), ("5,1", 1.0, "magnitud")]
-    assert figures.supported(7.2, 1, [7.16634]) and figures.supported(7.1, 1, [7.16634]) and not figures.supported(8.0, 0, [7.16634])
+def test_figures(spark):
+    text = "Subió 7,2 % y costó 4,5 mil millones; magnitud 5,1. N-12ab no, ni 30x; 1.350 buques, 12 pasajeros y 9 turistas"
+    df = spark.createDataFrame([(1, text, "el 7.16634 y 3 mil"), (2, None, None), (3, "", "x"), (4, "7,2 y 7,1, no 8; 3000", "7.16634 con 3 mil"), (5, "1.2.34 no es cifra", "")], "k int, t string, f string")
+    got = [(r["cifra"], r["valor"], r["unidad"]) for r in figures.extract(df, "k", "t").filter("k = 1").orderBy("orden").collect()]
+    assert got == [("7,2", 7.2, "%"), ("4,5", 4.5e9, None), ("5,1", 5.1, "magnitud"), ("1.350", 1350.0, "buques"), ("12", 12.0, "pasajeros"), ("9", 9.0, "turistas")]
+    ways = spark.createDataFrame([("1.350",), ("1.234,5",), ("4,515,577",), ("12",), ("1.2.34",)], "t string").select(figures.readings(F.col("t")).alias("r")).collect()
+    assert [[tuple(x) for x in r["r"]] for r in ways] == [[(1350.0, 0), (1.35, 3)], [(1234.5, 1)], [(4515577.0, 0)], [(12.0, 0)], []]
+    assert {(r["k"], r["cifra"]) for r in figures.unsupported(df, "k", "t", "f").collect()} >= {(4, "8")} and not {(r["k"], r["cifra"]) for r in figures.unsupported(df, "k", "t", "f").filter("k = 4").collect()} - {(4, "8")}
+    assert figures.extract(df.limit(0), "k", "t").count() == 0
 
 
 def test_figure_conflicts(spark):
-    df = spark.createDataFrame([("g", 1, 44.0, "pies"), ("g", 2, 47.0, "pies"), ("g", 3, 44.0, "pies"), ("g", 3, 30.0, "buques"), ("h", 4, 1.0, "pies"), ("g", 5, None, "pies")], "g string, k int, valor double, unidad string")
-    assert {(r["a"], r["b"]) for r in figures.conflicts(df, "g", "k").collect()} == {(1, 2), (2, 3)}
+    t = "2026-03-0{} 10:00:00"
+    rows = [
+        ("g", 1, "El lago Gatún está a 44 pies", t.format(1)), ("g", 2, "El lago Gatún bajó a 47 pies", t.format(2)), ("g", 3, "El lago está a 44 pies", None), ("g", 4, "Cruzan 30 buques el lago", t.format(1)),
+        ("h", 5, "El lago está a 12 pies", t.format(1)), ("g", 6, "La torre mide 12 pies", t.format(1)), ("g", 7, None, t.format(1)), ("g", 8, "El lago Gatún está a 41 pies", "2026-03-28 10:00:00"), ("g", 9, "1.2.34 y el lago a 44 pies", t.format(1)),
+    ]
+    df = spark.createDataFrame(rows, "g string, k int, x string, t string").withColumn("t", F.to_timestamp("t"))
+    got = {(r["a"], r["b"]) for r in figures.conflicts(df, "g", "k", "x", "t").collect()}
+    assert got == {(1, 2), (2, 3), (2, 9), (3, 8)}
+    assert figures.conflicts(df.limit(0), "g", "k", "x", "t").count() == 0
 
 
 def test_normal_forms(spark):
