@@ -80,7 +80,7 @@ ORIGINS = ("tvn_rss", "tvn_web", "gdelt")
 
 def usable(name: str):
     """Whether the cell of a news column has the column's right form."""
-    return NEWS_SPECS[name].mask(F.col(name)).isin(*NEWS_SPECS[name].accepts)
+    return NEWS_SPECS[name].right(F.col(name))
 
 
 def _rank(origin):
