@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brujula.functions.text import folded
+from brujula.session import cut
 
 #: Words that carry no content, folded (fixed values).
 STOP = (
@@ -20,6 +21,16 @@ STOP = (
 )
 
 
+#: Stems that say nothing about an event (fixed values).
+CLUSTER_STOP = (
+    "panam", "no", "mas", "sus", "pero", "sin", "ante", "desde", "hasta", "segun", "este", "esta",
+    "como", "sobre", "the", "of", "and", "in", "to", "for", "on", "at", "by", "with", "from", "as",
+    "is", "are", "was", "its", "it", "an", "be", "has", "have", "after", "over", "new", "says",
+    "der", "die", "das", "und", "auf", "den", "dem", "mit", "von", "fur", "im", "ist", "ein", "eine",
+    "do", "da", "dos", "em", "na", "os", "um", "uma", "com",
+)
+
+
 def stems(col: Column) -> Column:
     """Content words: folded, without stop words and single signs, cut to five letters; numbers whole."""
     joined = F.regexp_replace(col, r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_])\s*&\s*([\p{L}\p{N}_])(?![\p{L}\p{N}_])", "$1$2")
@@ -32,6 +43,11 @@ def content_stems(col: Column) -> Column:
     return F.filter(stems(col), lambda w: ~F.substring(w, 1, 1).rlike("[0-9]"))
 
 
+def event_stems(col: Column) -> Column:
+    """Distinct content stems that can tie two texts to one event."""
+    return F.array_distinct(F.filter(content_stems(col), lambda w: ~w.isin(*CLUSTER_STOP)))
+
+
 def plain_terms(col: Column) -> Column:
     """Folded words of two letters or digits or more."""
     return F.regexp_extract_all(folded(col), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
@@ -62,40 +78,114 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
 
     Exact. Terms are ordered by rarity; a pair's rarest common term lies where the rest of
     both vectors, from it on, still has a norm of threshold or more, so only the terms of that
-    head are posted. For thresholds near 1 that are one or two rare terms of each text.
+    head are posted. For thresholds near 1 that are one or two rare terms of each text. Keys of
+    equal vectors should be one key (`text_classes`).
     """
+    rows = _with_heads(vectors, key, threshold)
+    posted = rows.select(F.col(key).alias("k"), F.explode("h").alias("w"))
+    pairs = posted.select(F.col("k").alias("a"), "w").join(posted.select(F.col("k").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
+    return _dots(pairs, rows, key).filter(F.col("sim") >= threshold - 1e-9)
+
+
+def _with_heads(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, t (terms by rarity), h (the terms before which less than 1 - threshold^2 of the squared norm lies)."""
     rarity = vectors.groupBy("w").agg(F.count("*").alias("df"))
     rows = vectors.join(rarity, "w").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "w", "x"))).alias("t"))
-    rows = rows.withColumn("m", F.map_from_arrays(F.col("t.w"), F.col("t.x")))
     total = F.aggregate(F.col("t"), F.lit(0.0), lambda acc, e: acc + e.x * e.x)
-    # head: terms before which less than 1 - threshold^2 of the squared norm lies
-    head = F.filter(
-        F.aggregate(
-            F.col("t"),
-            F.struct(F.lit(0.0).alias("s"), F.array().cast("array<string>").alias("h")),
-            lambda acc, e: F.struct((acc.s + e.x * e.x).alias("s"), F.when(F.sqrt(F.greatest(total - acc.s, F.lit(0.0))) >= threshold - 1e-9, F.concat(acc.h, F.array(e.w))).otherwise(acc.h).alias("h")),
-        )["h"],
-        lambda w: w.isNotNull(),
-    )
-    posted = rows.select(F.col(key).alias("k"), F.explode(head).alias("w"))
-    pairs = posted.select(F.col("k").alias("a"), "w").join(posted.select(F.col("k").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
-    left, right = rows.select(F.col(key).alias("a"), F.col("t").alias("ta")), rows.select(F.col(key).alias("b"), F.col("m").alias("mb"))
+    head = F.aggregate(
+        F.col("t"),
+        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<string>").alias("h")),
+        lambda acc, e: F.struct((acc.s + e.x * e.x).alias("s"), F.when(F.sqrt(F.greatest(total - acc.s, F.lit(0.0))) >= threshold - 1e-9, F.concat(acc.h, F.array(e.w))).otherwise(acc.h).alias("h")),
+    )["h"]
+    return cut(rows.withColumn("h", head), "heads")
+
+
+def _dots(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    left, right = rows.select(F.col(key).alias("a"), F.col("t").alias("ta")), rows.select(F.col(key).alias("b"), F.map_from_arrays(F.col("t.w"), F.col("t.x")).alias("mb"))
     dot = F.aggregate("ta", F.lit(0.0), lambda acc, e: acc + e.x * F.coalesce(F.element_at("mb", e.w), F.lit(0.0)))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("sim")).filter(F.col("sim") >= threshold - 1e-9)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("sim"))
+
 
+def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members: key, c; classes: c, texto, n): texts with the same terms, in any order, are one class."""
+    own = cut(df.select(key, F.array_join(F.sort_array(plain_terms(F.col(text))), " ").alias("texto")).filter("texto <> ''").withColumn("c", F.xxhash64("texto")), "own")
+    classes = cut(own.groupBy("c", "texto").agg(F.count("*").alias("n")), "classes")
+    return own.select(key, "c"), classes
 
-def _scored(queries: DataFrame, passages: DataFrame, boost: float) -> DataFrame:
-    """consulta, pasaje, reciente, s, ps: cosine of sublinear TF-IDF vectors fitted on the passages, plus a
-    boost where the passage holds a year that the query names; only pairs that share a term."""
-    p_terms = term_counts(passages, "pasaje", content_stems(F.col("texto")))
-    weights = idf(p_terms, "pasaje")
-    p = unit_vectors(p_terms, "pasaje", weights, sublinear=True)
-    q = unit_vectors(term_counts(queries, "consulta", content_stems(F.col("texto"))), "consulta", weights, sublinear=True)
-    score = q.join(p.withColumnRenamed("x", "y"), "w").groupBy("consulta", "pasaje").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    asked = queries.select("consulta", years(F.col("texto")).alias("qy"))
-    held = passages.select("pasaje", "reciente", F.array_distinct(stems(F.col("texto"))).alias("ps"))
-    both = score.join(asked, "consulta").join(held, "pasaje")
-    return both.withColumn("s", F.col("s") + F.when(F.arrays_overlap("qy", "ps"), boost).otherwise(0.0)).drop("qy")
+
+def class_vectors(classes: DataFrame) -> DataFrame:
+    """c, w, x: unit TF-IDF vectors of the classes, frequencies counted over all members."""
+    counts = classes.select("c", "n", F.explode(F.split("texto", " ")).alias("w")).groupBy("c", "n", "w").agg(F.count("*").alias("tf"))
+    total = classes.agg(F.sum("n").alias("all"))
+    weights = counts.groupBy("w").agg(F.sum("n").alias("df")).crossJoin(total).select("w", (F.log((1 + F.col("all")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    return unit_vectors(counts.select("c", "w", "tf"), "c", weights)
+
+
+def near_copies(df: DataFrame, key: str, text: str, when: str, threshold: float, hours: int, apart: str | None = None) -> DataFrame:
+    """a < b, sim of the rows whose texts have a TF-IDF cosine of threshold or more, at most `hours` apart and, if
+    `apart` is given, differing in that column.
+
+    Texts with the same terms are one class, so a text that is sent a million times is compared once. Pairs of
+    classes meet by a posted term and the time buckets that both have rows in; rows are joined last, by class and bucket.
+    """
+    members, classes = text_classes(df, key, text)
+    span = hours * 3600 * 1_000_000
+    dated = df.filter(F.col(when).isNotNull()).select(key, F.unix_micros(when).alias("t"), *([F.col(apart).alias("o")] if apart else []))
+    rows = cut(members.join(dated, key).withColumn("g", F.floor(F.col("t") / span).cast("long")), "rows")
+    heads = _with_heads(class_vectors(classes), "c", threshold)
+    places = rows.select("c", "g").distinct()
+    posted = heads.select("c", F.explode("h").alias("w")).join(places, "c")
+    one = posted.select(F.col("c").alias("a"), "w", F.explode(F.array("g", F.col("g") + 1, F.col("g") - 1)).alias("g"))
+    pairs = one.join(posted.select(F.col("c").alias("b"), "w", "g"), ["w", "g"]).filter("a < b").select("a", "b").distinct()
+    alike = cut(_dots(pairs, heads, "c").filter(F.col("sim") >= threshold - 1e-9), "alike")
+    same = rows.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("sim"))
+    extra = ["o"] if apart else []
+    left = rows.select(F.col("c").alias("ca"), F.col(key).alias("ka"), F.col("t").alias("ta"), F.explode(F.array("g", F.col("g") + 1, F.col("g") - 1)).alias("g"), *[F.col(c).alias(c + "a") for c in extra])
+    right = rows.select(F.col("c").alias("cb"), F.col(key).alias("kb"), F.col("t").alias("tb"), "g", *[F.col(c).alias(c + "b") for c in extra])
+    both = alike.unionByName(same).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "sim").join(left, "ca").join(right, ["cb", "g"])
+    both = both.filter((F.abs(F.col("ta") - F.col("tb")) <= span) & ((F.col("ca") != F.col("cb")) | (F.col("ka") < F.col("kb"))))
+    if apart:
+        both = both.filter("oa <> ob")
+    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "sim")
+
+
+def _weights(texts: DataFrame) -> DataFrame:
+    """w, idf over all texts (their content stems, column cs), texts without stems counted too."""
+    n = texts.agg(F.count("*").alias("n"))
+    df = texts.select(F.explode(F.array_distinct("cs")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    return df.crossJoin(n).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+
+class Index:
+    """Passages (pasaje, texto, reciente) with their stems, cut once, and the weights of all their content stems."""
+
+    def __init__(self, passages: DataFrame):
+        read = F.array(stems(F.col("texto")))  # inside the lambda the text is read once
+        both = F.transform(read, lambda s: F.struct(F.array_distinct(s).alias("ps"), F.filter(s, lambda w: ~F.substring(w, 1, 1).rlike("[0-9]")).alias("cs")))[0]
+        self.passages = cut(passages.select("pasaje", "reciente", both.alias("x")).select("pasaje", "reciente", "x.ps", "x.cs"), "passages")
+        self.weights = cut(_weights(self.passages), "weights")
+
+    def meeting(self, keys: DataFrame) -> DataFrame:
+        """consulta, pasaje, reciente, ps, cs of the passages that hold one of a query's keys (consulta, w)."""
+        posted = self.passages.select("pasaje", F.explode("ps").alias("w")).join(keys.select("w").distinct(), "w", "left_semi")
+        pairs = posted.join(keys, "w").select("consulta", "pasaje").distinct()
+        return pairs.join(self.passages, "pasaje")
+
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """w, n: passages that hold each of the given stems (one column w)."""
+        held = self.passages.select(F.explode("ps").alias("w")).join(terms.select("w").distinct(), "w", "left_semi")
+        return terms.select("w").distinct().join(held.groupBy("w").agg(F.count("*").alias("n")), "w", "left").fillna(0, ["n"])
+
+    def scored(self, pairs: DataFrame, queries: DataFrame, boost: float) -> DataFrame:
+        """pairs with s: cosine of sublinear TF-IDF vectors, plus a boost where the passage holds a year that the query names."""
+        pairs = cut(pairs, "candidates")
+        met = pairs.groupBy("pasaje").agg(F.first("cs").alias("cs"))
+        p = unit_vectors(term_counts(met, "pasaje", F.col("cs")), "pasaje", self.weights, sublinear=True)
+        q = unit_vectors(term_counts(queries, "consulta", content_stems(F.col("texto"))), "consulta", self.weights, sublinear=True)
+        s = pairs.select("consulta", "pasaje").join(p.withColumnRenamed("x", "y"), "pasaje").join(q, ["consulta", "w"]).groupBy("consulta", "pasaje").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+        asked = queries.select("consulta", years(F.col("texto")).alias("qy"))
+        out = pairs.join(s, ["consulta", "pasaje"], "left").join(asked, "consulta")
+        return out.withColumn("s", F.coalesce("s", F.lit(0.0)) + F.when(F.arrays_overlap("qy", "ps"), boost).otherwise(0.0)).drop("qy", "cs")
 
 
 def years(col: Column) -> Column:
@@ -108,38 +198,63 @@ def _best(good: DataFrame, k: int) -> DataFrame:
     return good.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= k).select("consulta", "pasaje", F.round("s", 4).alias("puntaje"), "puesto")
 
 
-def ranked_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5, boost: float = 0.15) -> DataFrame:
+def ranked_search(queries: DataFrame, passages: DataFrame | Index, k: int = 10, least: float = 0.10, coverage: float = 0.5, boost: float = 0.15) -> DataFrame:
     """consulta, pasaje, puntaje, puesto: the k best passages of each query that pass the gates.
 
     queries: consulta, texto; passages: pasaje, texto, reciente. A passage must reach `least`
     and hold `coverage` of the query's distinct stems, numbers included. Ties go to the more
-    recent, then smaller key.
+    recent, then smaller key. A passage with that share of n stems holds one of the rarest
+    n - ceil(coverage n) + 1 of them, so only these are looked up, and only what they find is scored.
     """
-    asked = queries.select("consulta", F.array_distinct(stems(F.col("texto"))).alias("qs"))
-    good = _scored(queries, passages, boost).filter(F.col("s") >= least).join(asked, "consulta")
-    return _best(good.filter(F.size(F.array_intersect("qs", "ps")) >= coverage * F.size("qs")), k)
-
-
-def retried_search(queries: DataFrame, passages: DataFrame, names: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5) -> DataFrame:
+    index = passages if isinstance(passages, Index) else Index(passages)
+    asked = cut(queries.select("consulta", "texto", F.array_distinct(stems(F.col("texto"))).alias("qs")), "asked")
+    long = asked.select("consulta", F.size("qs").alias("n"), F.explode("qs").alias("w"))
+    rarity = Window.partitionBy("consulta").orderBy("df", "w")
+    ranked = long.join(index.counts(long).withColumnRenamed("n", "df"), "w").withColumn("r", F.row_number().over(rarity))
+    keys = cut(ranked.filter(F.col("r") <= F.col("n") - F.ceil(coverage * F.col("n") - 1e-9) + 1).select("consulta", "w"), "keys")
+    met = index.meeting(keys).join(asked.select("consulta", "qs"), "consulta")
+    covering = met.filter(F.size(F.array_intersect("qs", "ps")) >= coverage * F.size("qs")).drop("qs")
+    return _best(index.scored(covering, asked, boost).filter(F.col("s") >= least), k)
+
+
+def retried_search(queries: DataFrame, passages: DataFrame | Index, names: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5) -> DataFrame:
     """Like ranked_search; queries without a result are tried again with short and full names of what they name.
 
     names: corto, largo (a short list). In the second try the text gets the other form of each
     name, a name counts as one concept that either form covers, and all names must be covered.
     """
-    first = ranked_search(queries, passages, k, least, coverage)
+    index = passages if isinstance(passages, Index) else Index(passages)
+    first = cut(ranked_search(queries, index, k, least, coverage), "first")
     rest = queries.join(first.select("consulta").distinct(), "consulta", "left_anti").withColumn("qs", F.array_distinct(stems(F.col("texto"))))
     forms = names.select("corto", "largo", F.array_distinct(stems(F.col("corto"))).alias("fc"), F.array_distinct(stems(F.col("largo"))).alias("fl"))
     inside = lambda a, b: F.size(F.array_except(a, b)) == 0
     named = rest.crossJoin(forms).filter(inside(F.col("fc"), F.col("qs")) | inside(F.col("fl"), F.col("qs")))  # names is a short list
     wider = named.groupBy("consulta").agg(
-        F.first("texto").alias("texto"), F.first("qs").alias("qs"), F.collect_list(F.struct("fc", "fl")).alias("conceptos"),
-        F.concat_ws(" ", F.collect_list(F.when(inside(F.col("fc"), F.col("qs")), F.col("largo")).otherwise(F.col("corto")))).alias("mas"),
+        F.first("texto").alias("texto"), F.first("qs").alias("qs"), F.array_sort(F.collect_list(F.struct("corto", "fc", "fl"))).alias("conceptos"),
+        F.array_join(F.array_sort(F.collect_list(F.when(inside(F.col("fc"), F.col("qs")), F.col("largo")).otherwise(F.col("corto")))), " ").alias("mas"),
     ).withColumn("texto", F.concat_ws(" ", "texto", "mas"))
-    good = _scored(wider.select("consulta", "texto"), passages, 0.0).filter(F.col("s") >= least).join(wider.select("consulta", "qs", "conceptos"), "consulta")
+    wider = cut(wider, "wider")
+    # a hit covers every name, so it holds all of a form of the first one
+    keys = cut(wider.select("consulta", F.explode(F.array_distinct(F.concat(F.slice(F.col("conceptos")[0].fc, 1, 1), F.slice(F.col("conceptos")[0].fl, 1, 1)))).alias("w")), "keys")
+    met = index.meeting(keys).join(wider.select("consulta", "qs", "conceptos"), "consulta")
     covered = F.filter("conceptos", lambda c: inside(c.fc, F.col("ps")) | inside(c.fl, F.col("ps")))
     own = F.array_except("qs", F.flatten(F.transform("conceptos", lambda c: F.concat(c.fc, c.fl))))
     share = F.size(covered) + F.size(F.array_intersect(own, "ps")) >= coverage * (F.size("conceptos") + F.size(own))
-    return first.unionByName(_best(good.filter((F.size(covered) == F.size("conceptos")) & share), k))
+    good = met.filter((F.size(covered) == F.size("conceptos")) & share).drop("qs", "conceptos")
+    return first.unionByName(_best(index.scored(good, wider.select("consulta", "texto"), 0.0).filter(F.col("s") >= least), k))
+
+
+def group_keys(members: DataFrame, group: str, ident: str) -> DataFrame:
+    """group, clave: the stable id of a group: its only id's own, else a digest of all its sorted ids."""
+    ids = members.select(group, ident).distinct().groupBy(group).agg(F.sort_array(F.collect_list(ident)).alias("ids"))
+    single = F.concat(F.lit("K-"), F.substring(F.col("ids")[0], 3, 100))
+    return ids.select(group, F.when(F.size("ids") == 1, single).otherwise(F.concat(F.lit("K-"), F.substring(F.sha1(F.array_join("ids", "|")), 1, 10))).alias("clave"))
+
+
+def evidence_in_order(hits: DataFrame, evidence: str) -> DataFrame:
+    """consulta, evidence, orden: each query's distinct evidence in the order of its hits."""
+    first = hits.groupBy("consulta", evidence).agg(F.min("puesto").alias("_p"))
+    return first.select("consulta", evidence, F.row_number().over(Window.partitionBy("consulta").orderBy("_p")).alias("orden"))
 
 
 def novelty(items: DataFrame, days: int = 7) -> DataFrame:

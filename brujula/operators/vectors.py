@@ -1,30 +1,31 @@
 """Dense vectors: nearest sentences, close pairs, complete-linkage clusters.
 
-Pairs of dense vectors are made inside a blocking key, or among all rows by products of
-blocks of bounded size; clusters are made per connected component from its close pairs.
+Pairs of all rows are made in groups of two blocks of bounded size, each one matrix product;
+pairs of dated texts only where both hold a common stem in neighbouring time buckets. Clusters
+are joined in rounds of mutually nearest ones over tables of links, so no task sees more than
+a block of rows or the links of its partition.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brujula.operators.components import components
 from brujula.session import cut
 
+BLOCK = 2000  # rows of a block
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def unit(col: Column) -> Column:
+    """Unit vector; nulls of the same length for a zero vector."""
     norm = F.sqrt(dot(col, col))
-    return F.transform(col, lambda x: x.cast("double") / norm)
+    return F.transform(col, lambda x: F.try_divide(x.cast("double"), norm))
 
 
 def best_class(df: DataFrame, key: str, vector: str, classes: DataFrame, threshold: float, other: str, most: int = 1000) -> DataFrame:
@@ -51,21 +52,20 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.groupBy("clase").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e.m).alias("v")).select("clase", unit(F.col("v")).alias("v"))
 
 
-def close_pairs(df: DataFrame, key: str, vector: str, block: str, least: float) -> DataFrame:
-    """a < b, coseno of the rows of one block whose cosine is at least `least`."""
-    one = df.select(F.col(key), unit(F.col(vector)).alias("u"), block)
-    left, right = one.select(F.col(key).alias("a"), F.col("u").alias("ua"), block), one.select(F.col(key).alias("b"), F.col("u").alias("ub"), block)
-    return left.join(right, block).filter("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("coseno")).filter(F.col("coseno") >= least)
+def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> tuple[DataFrame, int]:
+    """(k, u, p): the unit vectors of all rows with one, dealt to blocks of about `rows`; and the number of blocks."""
+    one = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), unit(F.col(vector)).alias("u")).filter(F.try_element_at("u", F.lit(1)).isNotNull())
+    blocks = max(1, -(-df.count() // rows))
+    return one.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")), blocks
 
 
-def all_close_pairs(df: DataFrame, key: str, vector: str, least: float, rows: int = 2000) -> DataFrame:
+def all_close_pairs(df: DataFrame, key: str, vector: str, least: float, rows: int = BLOCK) -> DataFrame:
     """a < b, coseno of all rows whose cosine is at least `least`; a null or zero vector has no pair.
 
-    The rows are dealt to blocks of about `rows`; each pair of blocks is one product.
+    Each pair of blocks is one product of a task. The work is that of all pairs; rows with dates and texts
+    take `event_pairs`.
     """
-    one = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), unit(F.col(vector)).alias("u"))
-    blocks = max(1, -(-df.count() // rows))
-    dealt = one.withColumn("p", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    dealt, blocks = _blocks(df, key, vector, rows)
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sides = dealt.select("k", "u", "p", other.alias("q")).select("k", "u", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
     kind = df.schema[key].dataType.simpleString()
@@ -86,102 +86,87 @@ def all_close_pairs(df: DataFrame, key: str, vector: str, least: float, rows: in
     return sides.groupBy("x", "y").applyInPandas(product, f"a {kind}, b {kind}, coseno double")
 
 
-def nearest(df: DataFrame, key: str, vector: str, every: int = 100, k: int = 10) -> DataFrame:
-    """consulta, vecino, coseno, puesto: for each row whose key divides by `every` its k nearest rows.
+def event_pairs(df: DataFrame, key: str, vector: str, when: str, words: str, least: float, hours: int = 72, shared: int = 2) -> DataFrame:
+    """a < b, coseno of the rows whose cosine is at least `least`, at most `hours` apart and with `shared` common words.
 
-    The query set goes to every task as one matrix, read from a table in the shared folder in
-    blocks; each task keeps only its k best per query, which are merged at the end.
+    words: an array of distinct words. Two rows with `shared` common words have one of them in common even without
+    each row's shared - 1 most frequent ones, so those aren't posted; the postings meet by word and time bucket.
+    Rows without a vector, an instant or enough words are in no pair.
+    """
+    span = hours * 3600 * 1_000_000
+    one = df.filter(F.col(vector).isNotNull() & F.col(when).isNotNull() & (F.size(words) >= shared)).select(F.col(key).alias("k"), unit(F.col(vector)).alias("u"), F.unix_micros(when).alias("t"), F.col(words).alias("ws"))
+    one = cut(one.filter(F.try_element_at("u", F.lit(1)).isNotNull()), "dated")
+    long = one.select("k", "t", F.explode("ws").alias("w"))
+    counts = long.groupBy("w").agg(F.count("*").alias("n"))
+    ranked = long.join(counts, "w").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "w")))
+    posted = ranked.filter(F.col("r") >= shared).select("k", "t", "w", F.floor(F.col("t") / span).cast("long").alias("g"))
+    left = posted.select(F.col("k").alias("a"), F.col("t").alias("ta"), "w", F.explode(F.array("g", F.col("g") + 1, F.col("g") - 1)).alias("g"))
+    right = posted.select(F.col("k").alias("b"), F.col("t").alias("tb"), "w", "g")
+    near = left.join(right, ["w", "g"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b").distinct()
+    both = near.join(one.select(F.col("k").alias("a"), F.col("u").alias("ua"), F.col("ws").alias("wa")), "a").join(one.select(F.col("k").alias("b"), F.col("u").alias("ub"), F.col("ws").alias("wb")), "b")
+    enough = both.filter(F.size(F.array_intersect("wa", "wb")) >= shared).select("a", "b", dot(F.col("ua"), F.col("ub")).alias("coseno"))
+    return enough.filter(F.col("coseno") >= least)
+
+
+def nearest(df: DataFrame, key: str, vector: str, every: int = 100, k: int = 10, rows: int = 20_000, asked: int = 1000) -> DataFrame:
+    """consulta, vecino, coseno, puesto: for each row whose key divides by `every` its k nearest rows (ties: smaller key).
+
+    Blocks of `rows` rows meet blocks of `asked` queries; every meeting keeps its k best per query, which are
+    merged at the end. A null or zero vector has no neighbour and is none.
     """
-    from pyspark.sql import Window
-
-    unit_rows = df.select(F.col(key), unit(F.col(vector)).alias("u"))
-    queries = cut(unit_rows.filter(F.col(key) % every == 0).withColumn("bloque", F.pmod(F.xxhash64(key), F.lit(8))), "queries")
-    sides = unit_rows.select(F.col(key).alias("vecino"), "u", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bloque"))
-    grouped = queries.groupBy("bloque").cogroup(sides.groupBy("bloque"))
-
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"consulta": pd.Series(dtype="int64"), "vecino": pd.Series(dtype="int64"), "coseno": pd.Series(dtype="float64")})
-        a, b = np.stack(q["u"].to_numpy()), np.stack(r["u"].to_numpy())
-        s = np.round(a @ b.T, 6)
-        ids = r["vecino"].to_numpy()
-        s[q[key].to_numpy()[:, None] == ids[None, :]] = -2
+    dealt, blocks = _blocks(df, key, vector, rows)
+    queries = dealt.filter(F.col("k") % every == 0)
+    parts = max(1, -(-queries.count() // asked))
+    q = queries.select("k", "u", F.pmod(F.xxhash64("k", F.lit("q")), F.lit(parts)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
+    r = dealt.select("k", "u", "p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"consulta": one["k"].iloc[:0], "vecino": one["k"].iloc[:0], "coseno": pd.Series(dtype="float64")})
+        s = np.round(np.stack(one["u"].to_numpy()) @ np.stack(two["u"].to_numpy()).T, 6)
+        ids = two["k"].to_numpy()
+        s[one["k"].to_numpy()[:, None] == ids[None, :]] = -2
         out = []
-        for i, own in enumerate(q[key]):
+        for i, own in enumerate(one["k"]):
             top = np.lexsort((ids, -s[i]))[:k]
             out.append(pd.DataFrame({"consulta": own, "vecino": ids[top], "coseno": s[i][top]}))
         return pd.concat(out)
 
-    found = grouped.applyInPandas(best, "consulta bigint, vecino bigint, coseno double").filter("coseno > -2")
+    found = q.groupBy("p", "q").cogroup(r.groupBy("p", "q")).applyInPandas(best, f"consulta {kind}, vecino {kind}, coseno double").filter("coseno > -2")
     w = Window.partitionBy("consulta").orderBy(F.desc("coseno"), "vecino")
     return found.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= k)
 
 
-def complete_linkage(distance: np.ndarray, cut_at: float) -> np.ndarray:
-    """Cluster number of each row: the two nearest clusters (by their farthest members) join while that
-    distance is at most cut_at; ties go to the pair with the smallest rows."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        at = int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)))
-        i, j = divmod(at, n)
-        if d[i, j] > cut_at + 1e-9:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = np.maximum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        alive[j] = False
-        label[label == j] = i
-    return label
-
-
-def sparse_linkage(pairs: dict[tuple, float], cut_at: float) -> dict:
-    """The clusters of `complete_linkage` (key -> least key) from the pairs (a < b) within cut_at alone:
-    clusters with any members farther apart never join, so their distance isn't needed."""
-    near: dict = {}
-    heap = []
-    for (a, b), d in pairs.items():
-        if d <= cut_at + 1e-9:
-            near.setdefault(a, {})[b] = d
-            near.setdefault(b, {})[a] = d
-            heap.append((d, a, b))
-    heapq.heapify(heap)
-    members = {k: [k] for k in near}
-    while heap:
-        d, i, j = heapq.heappop(heap)
-        if near.get(i, {}).get(j) != d:
-            continue
-        ni, nj = near[i], near.pop(j)
-        members[i] += members.pop(j)
-        del ni[j], nj[i]
-        for x in nj.keys() - ni.keys():
-            del near[x][j]
-        for x in list(ni):
-            if x not in nj:
-                del ni[x], near[x][i]
-                continue
-            far = max(ni[x], nj[x])
-            del near[x][j]
-            if far != ni[x]:
-                ni[x] = near[x][i] = far
-                heapq.heappush(heap, (far, min(i, x), max(i, x)))
-    return {k: own for own, ks in members.items() for k in ks}
-
-
-def linkage_clusters(df: DataFrame, key: str, vector: str, distance: float = 0.30) -> DataFrame:
-    """key, grupo (least key of the cluster): complete linkage of all rows, inside the components of close pairs."""
-    pairs = cut(all_close_pairs(df, key, vector, 1 - distance - 1e-9), "pairs")
-    comp = components(pairs, "a", "b")
-    own = pairs.join(comp, F.col("a") == F.col("nodo")).select("componente", "a", "b", "coseno")
-
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        found = sparse_linkage(dict(zip(zip(g["a"], g["b"]), 1 - g["coseno"])), distance)
-        return pd.DataFrame({key: list(found), "grupo": list(found.values())})
+def complete_linkage(pairs: DataFrame, rounds: int = 500) -> DataFrame:
+    """nodo, grupo (least node of its cluster) of every node of the close pairs a, b, d (distance).
 
-    kind = df.schema[key].dataType.simpleString()
-    found = own.groupBy("componente").applyInPandas(cluster, f"`{key}` {kind}, grupo {kind}")
+    Complete linkage over the pairs within the threshold alone: clusters with any members farther apart never join, so
+    a link of two clusters is there only if all their members are linked, and its length is the greatest of theirs.
+    In every round all clusters that are mutually nearest (by distance, then ids) join at once; the distance
+    of a joined cluster never falls, so this is what joining one pair after the other gives. A round is two
+    aggregations and two joins over the links that are left; ties go to the smaller ids.
+    """
+    links = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("d", 12).alias("d")).filter("a <> b").distinct(), "links")
+    nodes = links.select(F.col("a").alias("nodo")).unionByName(links.select(F.col("b").alias("nodo"))).distinct()
+    label = cut(nodes.withColumn("grupo", F.col("nodo")), "labels")
+    for _ in range(rounds):
+        if links.isEmpty():
+            return label
+        ends = links.select(F.explode(F.array("a", "b")).alias("x"), "d", "a", "b")
+        first = ends.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("m"))
+        joined = cut(first.groupBy("m").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("m.b").alias("b"), F.col("m.a").alias("a")), "joined")
+        label = cut(label.join(joined.select(F.col("b").alias("grupo"), F.col("a").alias("_a")), "grupo", "left").select("nodo", F.coalesce("_a", "grupo").alias("grupo")), "labels")
+        # how many of a cluster's two parts a link needs on either side
+        parts = joined.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("a").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
+        one = links.join(parts.select(F.col("x").alias("a"), F.col("y").alias("na")), "a", "left").join(parts.select(F.col("x").alias("b"), F.col("y").alias("nb")), "b", "left")
+        one = one.select(F.coalesce("na", "a").alias("p"), F.coalesce("nb", "b").alias("q"), "d", (F.when(F.col("na").isNull(), 1).otherwise(2) * F.when(F.col("nb").isNull(), 1).otherwise(2)).alias("need")).filter("p <> q")
+        moved = one.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d", "need").groupBy("a", "b").agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("need").alias("need"))
+        links = cut(moved.filter("n = need").select("a", "b", "d"), "links")
+    raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def linkage_clusters(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """key, grupo (least key of the cluster) of all rows; pairs: a, b, d of the rows that may share a cluster."""
+    found = complete_linkage(pairs).select(F.col("nodo").alias(key), "grupo")
     return df.select(key).join(found, key, "left").select(key, F.coalesce("grupo", key).alias("grupo"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brujula.operators import merge, metrics, vectors
-from brujula.session import table
+from brujula.operators import lexical, merge, metrics, vectors
+from brujula.session import cut, table
+from brujula.plans.texts import stems_sql
 from brujula.streaming import events as stream
 
 
@@ -57,13 +58,37 @@ def vector_class(spark, d):
 
 
 def vector_pairs(spark, d):
-    """Close pairs within each label, as the SQL has it; `vectors.all_close_pairs` are those of all rows."""
-    out = vectors.close_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.35)
+    """Close pairs of all rows."""
+    out = vectors.all_close_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35)
     return out.select("a", "b", F.round("coseno", 4).alias("coseno"))
 
 
 def vector_clusters(spark, d):
-    return vectors.linkage_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.7)
+    """Complete linkage of all rows up to a cosine distance of 0.7."""
+    e = table(spark, d, "embeddings")
+    pairs = vectors.all_close_pairs(e, "vec_id", "embedding", 0.3 - 1e-9).withColumn("d", 1 - F.col("coseno"))
+    return vectors.linkage_clusters(e, "vec_id", pairs)
+
+
+def _dated_vectors(spark, d):
+    """Vectors of documents with their capture time and content stems."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "fecha_captura", lexical.event_stems(F.col("text")).alias("raices"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs, "doc_id")
+
+
+def event_pairs(spark, d):
+    """Documents at most 72 hours apart with two content stems and a cosine of 0.2 or more in common."""
+    return vectors.event_pairs(_dated_vectors(spark, d), "doc_id", "embedding", "fecha_captura", "raices", 0.2).select("a", "b", F.round("coseno", 4).alias("coseno"))
+
+
+def event_groups(spark, d):
+    """Complete linkage of the documents inside those pairs; a group's id is its document's, or a digest of all its sorted ids."""
+    rows = cut(_dated_vectors(spark, d), "dated")
+    pairs = vectors.event_pairs(rows, "doc_id", "embedding", "fecha_captura", "raices", 0.2).withColumn("d", 1 - F.col("coseno"))
+    groups = cut(vectors.linkage_clusters(rows, "doc_id", pairs), "groups")
+    ids = groups.groupBy("grupo").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), "|").alias("ids"), F.count("*").alias("n"))
+    named = ids.select("grupo", "n", F.concat(F.lit("K-"), F.when(F.col("n") == 1, F.col("ids")).otherwise(F.substring(F.sha1("ids"), 1, 10))).alias("clave"))
+    return groups.join(named, "grupo").select("doc_id", "grupo", "clave", "n")
 
 
 def vector_neighbours(spark, d):
@@ -88,11 +113,12 @@ def sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_scores, macro_f1, pair_scores, split_halves, threshold_grid, percentiles, capture_ratios, vector_class, vector_pairs, vector_clusters,
+        topic_scores, macro_f1, pair_scores, split_halves, threshold_grid, percentiles, capture_ratios, vector_class, vector_pairs, vector_clusters, event_pairs, event_groups,
         vector_neighbours, stream_hours, stream_first, sessions,
     )
 }
 
+_CLUSTER_STOP = ", ".join(f"'{w}'" for w in lexical.CLUSTER_STOP)
 _L = "l AS (SELECT e.id_noticia, e.tema_humano, e.cluster_humano, n.tema, n.tema_confianza, n.cluster_id FROM etiquetas e JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS r FROM noticias WHERE id_noticia IS NOT NULL) WHERE r = 1) n USING (id_noticia))"
 _SCORES = f"WITH {_L}, t AS (SELECT tema_humano AS etiqueta FROM l WHERE tema_humano IS NOT NULL UNION SELECT tema FROM l WHERE tema IS NOT NULL), s AS (SELECT etiqueta, count(*) FILTER (tema_humano = etiqueta AND tema = etiqueta) AS vp, count(*) FILTER (tema = etiqueta AND tema_humano IS DISTINCT FROM etiqueta) AS fp, count(*) FILTER (tema_humano = etiqueta AND tema IS DISTINCT FROM etiqueta) AS fn FROM t CROSS JOIN l GROUP BY 1) SELECT *, round(vp / nullif(vp + fp, 0), 6) AS precision, round(vp / nullif(vp + fn, 0), 6) AS recall, round(2 * vp / nullif(2 * vp + fp + fn, 0), 6) AS f1 FROM s"
 _PAIRS = "SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS p FROM (SELECT count(*) AS n FROM l WHERE cluster_humano IS NOT NULL AND cluster_id IS NOT NULL GROUP BY {k})"
@@ -107,9 +133,10 @@ SQL = {
     "threshold_grid": f"WITH {_L} SELECT umbral, count(*) FILTER (CASE WHEN tema_confianza >= umbral THEN tema ELSE 'otro' END = tema_humano) AS aciertos, count(*) AS n, round(count(*) FILTER (CASE WHEN tema_confianza >= umbral THEN tema ELSE 'otro' END = tema_humano) / count(*), 6) AS exactitud FROM l CROSS JOIN (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8]) AS DOUBLE) AS umbral) WHERE tema_humano IS NOT NULL GROUP BY 1",
     "percentiles": "SELECT event_type, count(value) AS n, quantile_disc(value, 0.95) AS p95, round(median(value), 6) AS mediana FROM events GROUP BY 1",
     "capture_ratios": "SELECT origen, count(*) AS n, round(count(descripcion) / count(*), 6) AS descritas, round(count(fecha_publicacion) / count(*), 6) AS fechadas, round(count(tema) FILTER (descripcion IS NOT NULL) / nullif(count(descripcion), 0), 6) AS con_tema FROM noticias GROUP BY 1",
-    "vector_pairs": f"WITH {_UNIT} SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format(a='a.u', b='b.u')} AS c FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE c >= 0.35".replace("SELECT * FROM (", "SELECT a, b, round(c, 4) AS coseno FROM ("),
+    "vector_pairs": f"WITH {_UNIT} SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format(a='a.u', b='b.u')} AS c FROM u a JOIN u b ON a.vec_id < b.vec_id) WHERE c >= 0.35".replace("SELECT * FROM (", "SELECT a, b, round(c, 4) AS coseno FROM ("),
     "vector_neighbours": f"WITH {_UNIT}, s AS (SELECT q.vec_id AS consulta, r.vec_id AS vecino, round({_DOT.format(a='q.u', b='r.u')}, 6) AS c FROM u q JOIN u r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) SELECT consulta, vecino, round(c, 4) AS coseno, row_number() OVER (PARTITION BY consulta ORDER BY c DESC, vecino) AS puesto FROM s QUALIFY puesto <= 10",
     "stream_hours": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hora, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_first": "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2",
     "sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS nueva FROM events), s AS (SELECT user_id, sum(nueva) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sesiones, max(n) AS mayor FROM c GROUP BY 1",
+    "event_pairs": f"WITH {_UNIT}, d AS (SELECT doc_id, fecha_captura, list_distinct(list_filter({stems_sql('text')}, lambda w: NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({_CLUSTER_STOP}))) AS ws FROM documents WHERE text IS NOT NULL), r AS (SELECT * FROM d JOIN u ON u.vec_id = d.doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, {_DOT.format(a='a.u', b='b.u')} AS c FROM r a JOIN r b ON a.doc_id < b.doc_id AND abs(epoch_us(a.fecha_captura) - epoch_us(b.fecha_captura)) <= 259200000000 AND len(list_intersect(a.ws, b.ws)) >= 2) SELECT a, b, round(c, 4) AS coseno FROM p WHERE c >= 0.2",
 }

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,12 +131,50 @@ def test_stems_and_search(spark):
     assert sorted(got) == [("q", 1, 2), ("q", 2, 1)]
 
 
-def test_complete_linkage_splits_chains():
+def greedy_linkage(d, cut_at):
+    """Complete linkage one join after the other, by distance, then smallest ids."""
+    groups = [[i] for i in range(len(d))]
+    while True:
+        far = [(max(d[i, j] for i in x for j in y), x[0], y[0], m, n) for (m, x), (n, y) in combinations(enumerate(groups), 2)]
+        if not far or min(far)[0] > cut_at:
+            return {i: g[0] for g in groups for i in g}
+        _, _, _, m, n = min(far)
+        groups[m] = sorted(groups[m] + groups.pop(n))
+
+
+def linked(spark, d, cut_at):
+    pairs = [(int(i), int(j), float(d[i, j])) for i, j in combinations(range(len(d)), 2) if d[i, j] <= cut_at]
+    df = spark.createDataFrame([(i,) for i in range(len(d))], "k int")
+    return {r["k"]: r["grupo"] for r in vectors.linkage_clusters(df, "k", spark.createDataFrame(pairs, "a int, b int, d double")).collect()}
+
+
+def test_complete_linkage(spark):
     x = np.array([0.0, 0.2, 0.4, 2.0])
-    d = np.abs(x[:, None] - x[None, :])
-    assert vectors.complete_linkage(d, 0.3).tolist() == [0, 0, 2, 3]
-    assert vectors.complete_linkage(d, 0.4).tolist() == [0, 0, 0, 3]
-    assert vectors.complete_linkage(np.zeros((1, 1)), 0.3).tolist() == [0]
+    d = np.abs(x[:, None] - x[None, :]) + np.arange(4)[:, None] * 0
+    assert linked(spark, d, 0.3) == {0: 0, 1: 0, 2: 2, 3: 3} and linked(spark, d, 0.41) == {0: 0, 1: 0, 2: 0, 3: 3}
+    rng = np.random.default_rng(4)
+    p = rng.random((40, 2))
+    d = np.linalg.norm(p[:, None] - p[None, :], axis=2)
+    assert linked(spark, d, 0.35) == greedy_linkage(d, 0.35)
+    assert linked(spark, np.zeros((1, 1)), 0.3) == {0: 0}
+
+
+def test_event_pairs_and_blocks_match_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = ["comun", *(f"w{i}" for i in range(12))]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], f"2026-03-{rng.randrange(1, 20):02d} 0{rng.randrange(10)}:00:00", sorted({"comun", *rng.sample(vocabulary, 4)})) for i in range(80)]
+    rows += [(90, [0.0] * 4, "2026-03-01 00:00:00", ["comun", "w1"]), (91, None, "2026-03-01 00:00:00", ["comun", "w1"]), (92, [1.0] * 4, None, ["comun", "w1"]), (93, [1.0] * 4, "2026-03-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>, t string, w array<string>").withColumn("t", F.to_timestamp("t"))
+    unit = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows if r[1] and any(r[1])}
+    cos = {(a, b): float(unit[a] @ unit[b]) for a, b in combinations(sorted(unit), 2)}
+    when, words = {r[0]: pd.Timestamp(r[2]) if r[2] else None for r in rows}, {r[0]: set(r[3] or ()) for r in rows}
+    want = {p for p, c in cos.items() if c >= 0.3 and all(when[i] is not None for i in p) and abs(when[p[0]] - when[p[1]]) <= pd.Timedelta(hours=72) and len(words[p[0]] & words[p[1]]) >= 2}
+    assert {(r["a"], r["b"]) for r in vectors.event_pairs(df, "k", "v", "t", "w", 0.3).collect()} == want and want
+    assert {(r["a"], r["b"]) for r in vectors.all_close_pairs(df, "k", "v", 0.3, rows=15).collect()} == {p for p, c in cos.items() if c >= 0.3}
+    got = {(r["consulta"], r["puesto"]): r["vecino"] for r in vectors.nearest(df, "k", "v", every=7, k=3, rows=13, asked=4).collect()}
+    for q in [i for i in unit if i % 7 == 0]:
+        order = sorted((i for i in unit if i != q), key=lambda i: (-round(cos[min(q, i), max(q, i)], 6), i))[:3]
+        assert [got[q, n] for n in (1, 2, 3)] == order
 
 
 def test_figures(spark):
@@ -216,6 +255,24 @@ def test_best_class(spark):
         vectors.best_class(df, "k", "v", classes, 0.45, "otro", most=1)
 
 
+def dense_linkage(distance, cut_at):
+    """Complete linkage on the whole matrix: the two nearest clusters join, ties to the smallest rows."""
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    label, alive = np.arange(len(d)), np.ones(len(d), dtype=bool)
+    while alive.sum() > 1:
+        i, j = divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), len(d))
+        if d[i, j] > cut_at + 1e-9:
+            break
+        i, j = min(i, j), max(i, j)
+        d[i] = np.maximum(d[i], d[j])
+        d[:, i] = d[i]
+        d[i, i] = np.inf
+        alive[j] = False
+        label[label == j] = i
+    return label
+
+
 def test_clusters_span_labels(spark, data):
     """Pairs and complete linkage of all rows, whatever their labels, as the dense method has them."""
     df = spark.read.parquet(f"{data}/embeddings.parquet")
@@ -226,9 +283,10 @@ def test_clusters_span_labels(spark, data):
     i, j = np.nonzero(np.triu(u @ u.T >= 0.35, 1))
     got = vectors.all_close_pairs(df, "vec_id", "embedding", 0.35, rows=150).collect()
     assert {(r["a"], r["b"]) for r in got} == {(ids[a], ids[b]) for a, b in zip(i, j)} and len(got) == len(i)
-    label = vectors.complete_linkage(1 - u @ u.T, 0.7)
-    found = {r["vec_id"]: r["grupo"] for r in vectors.linkage_clusters(df, "vec_id", "embedding", 0.7).collect()}
+    label = dense_linkage(1 - u @ u.T, 0.7)
+    pairs = lambda x: vectors.all_close_pairs(x, "vec_id", "embedding", 0.3 - 1e-9).withColumn("d", 1 - F.col("coseno"))
+    found = {r["vec_id"]: r["grupo"] for r in vectors.linkage_clusters(df, "vec_id", pairs(df)).collect()}
     assert found == {k: ids[x] for k, x in zip(ids, label)}
     kinds = {r["vec_id"]: r["label"] for r in rows}
     assert any(kinds[k] != kinds[g] for k, g in found.items())
-    assert vectors.linkage_clusters(df.limit(0), "vec_id", "embedding", 0.7).count() == 0
+    assert vectors.linkage_clusters(df.limit(0), "vec_id", pairs(df.limit(0))).count() == 0
