@@ -39,7 +39,7 @@ NAMES = {
 }
 _NAMES = {name: code for code, names in NAMES.items() for name in names.split()}
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 40  # characters of a word that are scored at once; longer words in parts of this length
+LONGEST = 40  # letters up to which words are scored many at once and enter the fit; longer ones are scored one by one
 UNKNOWN = 1e-7
 CELLS = 60_000  # words of the texts that are labelled together, with padding
 CHANGE, CHANGE_AT_SIGN = 11.0, 6.5
@@ -151,24 +151,53 @@ def word_scores(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language."""
     if not words:
         return np.zeros((0, p.shape[1]))
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for k in range(0, len(w), LONGEST):
-            parts.append(w[k : k + LONGEST])
-            owner.append(i)
     out = np.zeros((len(words), p.shape[1]))
-    sizes = np.array([len(x) for x in parts])
-    order = np.argsort(sizes, kind="stable")
+    sizes = np.array([len(x) for x in words])
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        out[i] = long_word_score(pieces, p, words[i])
+    short = np.flatnonzero(sizes <= LONGEST)
+    order = short[np.argsort(sizes[short], kind="stable")]
     for block in np.array_split(order, max(1, len(order) // 20_000)):
         if not len(block):
             continue
-        lengths, width, found = pieces.matches([parts[i] for i in block])
+        lengths, width, found = pieces.matches([words[i] for i in block])
         alpha = forward(found, len(block), width, p)
-        scores = np.log(alpha[lengths, np.arange(len(block))])
-        np.add.at(out, np.array(owner)[block], scores)
+        out[block] = np.log(alpha[lengths, np.arange(len(block))])
     return out
 
 
+def long_word_score(pieces: Pieces, p: np.ndarray, word: str) -> np.ndarray:
+    """Log probability of a word of any length in each language: the same sums as `forward`, position by position
+    and scaled on the way, since the probability of a long word is smaller than any number."""
+    codes = np.array([ord(c) for c in " " + word], dtype=np.uint64)
+    size = len(codes)
+    h = np.zeros(size, dtype=np.uint64)
+    at: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+    with np.errstate(over="ignore"):
+        for n in range(1, min(16, size) + 1):
+            h = h[: size - n + 1]
+            h = (h + codes[n - 1 :] + np.uint64(1)) * _MULT
+            h ^= h >> np.uint64(29)
+            if n in pieces.tables:
+                keys, ids = pieces.tables[n]
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                for start in np.flatnonzero(keys[k] == h).tolist():
+                    at[start + n].append((n, int(ids[k[start]])))
+    alpha = np.zeros((size + 1, p.shape[1]))
+    alpha[0] = 1.0
+    scale = np.zeros(p.shape[1])
+    for end in range(1, size + 1):
+        a = alpha[end]
+        a += UNKNOWN**0.5 if end == 1 else alpha[end - 1] * UNKNOWN
+        for n, i in at[end]:
+            a += alpha[end - n] * p[i]
+        small = a < 1e-100
+        if small.any():
+            alpha[max(0, end - 15) : end + 1, small] *= 1e100
+            scale[small] -= np.log(1e100)
+    return np.log(alpha[size]) + scale
+
+
 def fit(pieces: Pieces, counts: dict[str, np.ndarray], rounds: int = 3, mixed: float = 0.05) -> np.ndarray:
     """Piece probabilities (pieces x languages) by expectation maximisation.
 

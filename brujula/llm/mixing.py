@@ -72,17 +72,18 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42) -> tuple[DataFrame,
     sizes: doc_id, source, tokens, k (number of documents with the same text).
     """
     sizes = sizes.filter((F.col("tokens") > 0) & F.col("source").isNotNull())
-    goal = targets(sizes, goals)
+    goal = cut(targets(sizes, goals), "goal")
     lam = inclusion(sizes, goal)
-    own = goal.filter("alcanzable > 0").join(lam, ["mezcla_id", "source"], "left").select("mezcla_id", "source", "enteras", "resto", "lam")
+    own = cut(goal.filter("alcanzable > 0").join(lam, ["mezcla_id", "source"], "left").select("mezcla_id", "source", "enteras", "resto", "lam"), "own")
     docs = sizes.join(own, "source")
     p = F.least(F.lit(1.0), F.coalesce(F.col("lam"), F.lit(0.0)) / F.col("k"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mezcla_id", "doc_id"), 11) + F.lit(0.5)) / F.lit(float(2**53))
     log_rank = F.log(u / (1 - u)) - F.when(p >= 1, F.lit(EDGE * 2)).when(p <= 0, F.lit(-EDGE * 2)).otherwise(F.log(p / (1 - p)))
     docs = docs.withColumn("rango", log_rank).withColumn("clase", F.floor(F.greatest(F.least(F.col("rango"), F.lit(EDGE)), F.lit(-EDGE)) * CLASSES).cast("int"))
+    docs = cut(docs.select("mezcla_id", "source", "doc_id", "tokens", "enteras", "resto", "rango", "clase"), "ranked")
     sums = docs.filter("resto > 0").groupBy("mezcla_id", "source", "clase").agg(F.sum("tokens").alias("t"))
     w = Window.partitionBy("mezcla_id", "source").orderBy("clase")
-    sums = sums.select("mezcla_id", "source", "clase", (F.sum("t").over(w) - F.col("t")).alias("antes"), F.sum("t").over(w).alias("hasta"))
+    sums = cut(sums.select("mezcla_id", "source", "clase", (F.sum("t").over(w) - F.col("t")).alias("antes"), F.sum("t").over(w).alias("hasta")), "sums")
     docs = docs.join(sums, ["mezcla_id", "source", "clase"], "left")
     inside = docs.filter((F.col("antes") < F.col("resto")) & (F.col("hasta") > F.col("resto")))
     order = Window.partitionBy("mezcla_id", "source").orderBy("rango", "doc_id")

@@ -1,13 +1,16 @@
 """Cutting oversized texts at natural boundaries (problem 9).
 
-A text is parsed into a tree: sections under headings, paragraphs, lines or list items,
-sentences, words. Nodes within the limit stay whole; only oversized nodes are entered. The
-parts of an entered node are packed bottom-up: neighbours are merged while they fit. What
-has no boundary at all (one endless word) is cut between tokens at a character's edge.
+A text is parsed into a tree: sections by the level of their heading (marks, tags or numbered
+parts of a law), blocks of markup, paragraphs, list items by their indentation, lines,
+sentences, clauses, words. The tree is kept as the strength of the boundary before each word:
+a node's children lie between the strongest boundaries inside it. Nodes within the limit stay
+whole and neighbouring whole siblings are merged bottom-up while they fit; only oversized nodes
+are entered, and what comes out of them is never merged with what lies beside them. What has
+no boundary at all (one endless word) is cut between tokens at a character's edge.
 
 A piece is its own part of the text preceded by the `overlap` tokens that come before it
 in the document's encoding (a few more where that would cut a character). Its token count
-is that of the piece's own text, encoded anew.
+is that of the piece's own text, encoded anew; a piece over the limit is an error.
 
 Defined cases: null, empty and short texts give no row; repeated rows are split each; an
 empty table gives an empty table; further columns are not read.
@@ -24,8 +27,17 @@ from pyspark.sql import DataFrame
 from brujula.llm.bpe import Encoder
 from brujula.session import spread
 
-SECTION, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD = 6, 5, 4, 3, 2, 1
-_HEADING = re.compile(r"#{1,6}\s|<h[1-6]\b|(?:cap[ií]tulo|art[ií]culo|secci[oó]n|t[ií]tulo|chapter|article|section|kapitel|artikel|abschnitt|capitolo|articolo|chapitre)\s+[\dIVXLC]+", re.IGNORECASE)
+WORD, CLAUSE, SENTENCE, LINE = 1, 2, 3, 4
+ITEM, DEEPEST = 8, 3  # a list item of depth 0, and the depth from which items are alike
+PARAGRAPH, BLOCK = 9, 10
+SECTION, LEVELS = 11, 6  # a heading of the sixth level; each level above it is one stronger
+_HEADING = re.compile(r"(#{1,6})\s|<h([1-6])\b", re.IGNORECASE)
+#: Words that number the parts of a law or book, by level (fixed values).
+PARTS = {1: "t[ií]tulo|title|titel|titolo|titre", 2: "cap[ií]tulo|chapter|kapitel|capitolo|chapitre", 3: "secci[oó]n|se[cç][cç]?[aã]o|section|abschnitt|sezione", 4: "art[ií]culo|art[ií]go|article|artikel|articolo"}
+_PART = re.compile("|".join(f"(?P<l{k}>{words})" for k, words in PARTS.items()) + "", re.IGNORECASE)
+_NUMBER = re.compile(r"\s+(?:\d|[IVXLC]+\b)")
+_ITEM = re.compile(r"(?:[-*•·–]|\d{1,3}[.)]|[a-zA-Z]\))\s")
+_BLOCK = re.compile(r"<(?:(section|article|div|table|ul|ol|blockquote|pre)|(p)|(li|tr|dt|dd))\b", re.IGNORECASE)
 _END = re.compile(r"[.!?…][\"'»”’)\]]*$")
 _START = re.compile(r"\s*[\"'«“‘(¿¡—–-]*\s*[\dA-ZÀ-ÖØ-Þ]")
 _SHORT = re.compile(r"(?:\b[A-ZÀ-Ö]|\b(?:[Ss]ra?|[Dd]ra?|[Ii]ng|[Ll]ic|[Aa]rq|[Pp]rof|[Nn]úm|[Nn]o|[Aa]rt|[Vv]ol|[Mm]r|[Mm]rs|[Ee]tc|[Pp]ág|[aAp]|B/))\.$")
@@ -34,7 +46,22 @@ _SHORT = re.compile(r"(?:\b[A-ZÀ-Ö]|\b(?:[Ss]ra?|[Dd]ra?|[Ii]ng|[Ll]ic|[Aa]rq|
 _BREAKS = frozenset("\n\r")
 _STOPS = frozenset(".!?…\"'»”’)]")
 _CLAUSES = frozenset(";:—|")
-_MARKS = _BREAKS | _STOPS | _CLAUSES
+_MARKS = _BREAKS | _STOPS | _CLAUSES | {">"}
+
+
+def _of_start(start: str, breaks: int, indent: int) -> int:
+    """Strength of a boundary after white space with line breaks, by what begins there."""
+    if m := _HEADING.match(start):
+        return SECTION + LEVELS - (len(m[1]) if m[1] else int(m[2]))
+    if (m := _PART.match(start)) and _NUMBER.match(start, m.end()):
+        return SECTION + LEVELS - int(m.lastgroup[1])
+    if m := _BLOCK.match(start):
+        return BLOCK if m[1] else PARAGRAPH if m[2] else ITEM
+    if breaks > 1:
+        return PARAGRAPH
+    if _ITEM.match(start):
+        return ITEM - min(indent // 2, DEEPEST)
+    return LINE
 
 
 def strengths(words: list[str]) -> np.ndarray:
@@ -60,10 +87,17 @@ def strengths(words: list[str]) -> np.ndarray:
                 i += 1
             breaks = run.count("\n") + run.count("\r") - run.count("\r\n")
             if i < n and breaks:
-                head = _HEADING.match("".join(words[i : i + 6]).lstrip())
-                out[i] = SECTION if head else PARAGRAPH if breaks > 1 else LINE
+                start = "".join(words[i : i + 8])
+                bare = start.lstrip()
+                tail = re.split(r"[\r\n]", run)[-1]
+                out[i] = _of_start(bare, breaks, len(tail.expandtabs(4)) + len(start) - len(bare))
         elif words[i].isspace() and not _BREAKS.isdisjoint(words[i]):
             continue  # the boundary is after the break
+        elif w[-1] == ">":
+            if m := _BLOCK.match("".join(words[i : i + 4]).lstrip()):
+                out[i] = BLOCK if m[1] else PARAGRAPH if m[2] else ITEM
+            elif m := _HEADING.match("".join(words[i : i + 4]).lstrip()):
+                out[i] = SECTION + LEVELS - (len(m[1]) if m[1] else int(m[2]))
         elif _END.search(w):
             if _START.match("".join(words[i : i + 2])) and not _SHORT.search("".join(words[max(0, i - 3) : i])):
                 out[i] = SENTENCE
@@ -73,7 +107,8 @@ def strengths(words: list[str]) -> np.ndarray:
 
 
 def pack(tokens: np.ndarray, strength: np.ndarray, cap: int) -> list[tuple[int, int]]:
-    """Word ranges that cover the text in order, each of at most cap tokens where words allow it."""
+    """Word ranges that cover the text in order, each of at most cap tokens where words allow it: whole nodes of
+    the tree, merged siblings, or the parts of an entered node."""
     total = np.append(0, np.cumsum(tokens))
 
     def node(a: int, b: int) -> list[tuple[int, int]]:
@@ -83,12 +118,16 @@ def pack(tokens: np.ndarray, strength: np.ndarray, cap: int) -> list[tuple[int,
         cuts = np.flatnonzero(inner == inner.max()) + a + 1
         edges = [a, *cuts.tolist(), b]
         parts: list[tuple[int, int]] = []
+        open_ = False  # whether the last part is made of whole siblings
         for x, y in zip(edges, edges[1:]):
-            for p, q in [(x, y)] if total[y] - total[x] <= cap else node(x, y):
-                if parts and total[q] - total[parts[-1][0]] <= cap:
-                    parts[-1] = (parts[-1][0], q)
-                else:
-                    parts.append((p, q))
+            if total[y] - total[x] > cap and y - x > 1:
+                parts += node(x, y)
+                open_ = False
+            elif open_ and total[y] - total[parts[-1][0]] <= cap:
+                parts[-1] = (parts[-1][0], y)
+            else:
+                parts.append((x, y))
+                open_ = True
         return parts
 
     return node(0, len(tokens)) if len(tokens) else []
@@ -111,7 +150,8 @@ def split_text(text: str, encoder: Encoder, limit: int, overlap: int, words: lis
     chars = np.append(0, np.cumsum(begins[:-1]))  # characters before each byte
     word_token = np.append(0, np.cumsum(tokens))
     word_char = np.append(0, np.cumsum([len(w) for w in words]))
-    names = {SECTION: "seccion", PARAGRAPH: "parrafo", LINE: "linea", SENTENCE: "oracion", CLAUSE: "frase", WORD: "palabra", 0: "inicio"}
+    names = {0: "inicio", WORD: "palabra", CLAUSE: "frase", SENTENCE: "oracion", LINE: "linea", PARAGRAPH: "parrafo", BLOCK: "bloque"}
+    names |= {s: "elemento" for s in range(ITEM - DEEPEST, ITEM + 1)} | {s: "seccion" for s in range(SECTION, SECTION + LEVELS)}
 
     def back(t: int) -> int:
         while t > 0 and not begins[starts[t]]:
@@ -155,6 +195,8 @@ def split_text(text: str, encoder: Encoder, limit: int, overlap: int, words: lis
         counts = [count(s, e) for s, e, _, _ in pieces]
         if max(counts) <= limit:
             break
+    else:
+        raise RuntimeError(f"no cut of a text of {len(text)} characters gives pieces of at most {limit} tokens")
     return [(s, e, int(n), o, kind) for (s, e, o, kind), n in zip(pieces, counts)]
 
 

@@ -114,3 +114,16 @@ def test_found_columns(spark, data):
     p = out.toPandas()
     assert not p.duplicated().any() and set(p.idioma) <= set(L.LANGUAGES)
     assert (p.groupby("fila").segmento.apply(sorted).map(lambda s: s == list(range(1, len(s) + 1)))).all()
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    """A word beyond LONGEST has the same sum as if all words were scored at once; endless ones have a finite score."""
+    rng = np.random.default_rng(2)
+    pieces = L.Pieces([" a", "ab", "a", "b", "c", "bc", "abc", "ca"])
+    p = rng.random((len(pieces.pieces), 3)) / 3
+    words = ["".join(rng.choice(list("abcx"), n)) for n in (3, 20, 41, 60, 90)]
+    one_by_one = [L.long_word_score(pieces, p, w) for w in words]
+    monkeypatch.setattr(L, "LONGEST", 200)
+    assert np.allclose(L.word_scores(pieces, p, words), one_by_one)
+    endless = L.long_word_score(pieces, p, "abc" * 3000)
+    assert np.isfinite(endless).all() and (endless < -1000).all()

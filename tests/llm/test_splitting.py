@@ -63,6 +63,93 @@ def test_pack_merges_siblings_and_enters_only_large_nodes():
     assert splitting.pack(np.array([], dtype=int), np.array([], dtype=int), 8) == []
 
 
+def test_an_entered_node_keeps_apart_from_its_siblings():
+    """(0, 2) fits; (2, 5) is too large and is entered; its first part isn't glued to what lies before it."""
+    tokens = np.array([2, 2, 6, 6, 6, 2, 2])
+    strength = np.array([0, 1, 9, 3, 3, 9, 1])
+    assert splitting.pack(tokens, strength, 12) == [(0, 2), (2, 4), (4, 5), (5, 7)]
+    # siblings after an entered node are merged among themselves again
+    assert splitting.pack(np.array([20, 20, 2, 2, 2]), np.array([0, 3, 9, 9, 9]), 20) == [(0, 1), (1, 2), (2, 5)]
+
+
+def brute_pack(tokens, strength, cap):
+    """The tree built node by node, then packed."""
+
+    def tree(a, b):
+        inner = [int(x) for x in strength[a + 1 : b]]
+        if not inner:
+            return (a, b, [])
+        cuts = [a, *(i + a + 1 for i, x in enumerate(inner) if x == max(inner)), b]
+        return (a, b, [tree(x, y) for x, y in zip(cuts, cuts[1:])])
+
+    size = lambda n: int(sum(tokens[n[0] : n[1]]))
+
+    def pieces(n):
+        if size(n) <= cap or not n[2]:
+            return [n[:2]]
+        out, run = [], []
+        for c in n[2]:
+            if size(c) > cap and c[2]:
+                out, run = out + ([(run[0][0], run[-1][1])] if run else []) + pieces(c), []
+            elif run and int(sum(tokens[run[0][0] : c[1]])) <= cap:
+                run.append(c)
+            else:
+                out, run = out + ([(run[0][0], run[-1][1])] if run else []), [c]
+        return out + ([(run[0][0], run[-1][1])] if run else [])
+
+    return pieces(tree(0, len(tokens)))
+
+
+def test_packing_matches_the_tree():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        tokens, strength = rng.integers(1, 9, n), rng.integers(1, 7, n)
+        strength[0] = 0
+        assert splitting.pack(tokens, strength, 14) == brute_pack(tokens, strength, 14)
+
+
+def levels(text, encoder):
+    (words,) = encoder.words([text])[2]
+    s = splitting.strengths(words)
+    return {"".join(words[i : i + 6]).strip().split("\n")[0].split(" fin")[0]: int(s[i]) for i in range(len(words)) if s[i] >= splitting.LINE}
+
+
+def test_levels_of_structure(encoder):
+    s = splitting
+    got = levels("Inicio.\n# Uno fin\n## Dos fin\n### Tres fin\nTexto suelto fin.\n\nOtro fin.\n- a uno fin\n  - b dos fin\n    - c tres fin\n1. d cuatro fin\n", encoder)
+    pick = lambda start: next(v for k, v in got.items() if k.startswith(start))
+    assert [pick("# Uno"), pick("## Dos"), pick("### Tres")] == [s.SECTION + 5, s.SECTION + 4, s.SECTION + 3]
+    assert pick("Texto") == s.LINE and pick("Otro") == s.PARAGRAPH
+    assert [pick("- a"), pick("- b"), pick("- c"), pick("1.")] == [s.ITEM, s.ITEM - 1, s.ITEM - 2, s.ITEM]
+    law = levels("Ley.\nTÍTULO I fin\nCAPÍTULO 2 fin\nSección 3 fin\nArtículo 4 fin\nArtículos varios fin\n", encoder)
+    assert sorted(law.values(), reverse=True) == [s.SECTION + 5, s.SECTION + 4, s.SECTION + 3, s.SECTION + 2, s.LINE]
+    page = levels("x\n<h1>Uno fin</h1>\n<h2>Dos fin</h2>\n<div>tres fin</div>\n<p>cuatro fin</p>\n<li>cinco fin</li>\n</ul> fin\n", encoder)
+    assert sorted(page.values(), reverse=True) == [s.SECTION + 5, s.SECTION + 4, s.BLOCK, s.PARAGRAPH, s.ITEM, s.LINE]
+
+
+def test_nested_sections_stay_whole(encoder):
+    """Every piece of nested sections begins at a heading, and no piece mixes the end of a chapter with the next one."""
+    sub = lambda i, j: f"## Parte {i}.{j}\n\n" + SENTENCE * 12 + "\n\n"
+    doc = "".join(f"# Capítulo {i}\n\n" + "".join(sub(i, j) for j in range(5)) for i in range(4))
+    pieces = check(doc, encoder, overlap=0)
+    for a, b, _, _, kind in pieces:
+        assert kind in ("inicio", "seccion") and doc[a:b].lstrip().startswith("#")
+        assert doc[a:b].count("\n# ") == 0  # a chapter is larger than the limit, so none shares a piece with another
+
+
+def test_a_piece_over_the_limit_is_an_error(encoder, monkeypatch):
+    monkeypatch.setattr(splitting, "pack", lambda tokens, strength, cap: [(0, len(tokens))])
+    text = "palabra " * 400
+
+    class Wrong(Encoder):
+        def counts(self, texts):
+            return [10_000] * len(texts)
+
+    with pytest.raises(RuntimeError):
+        splitting.split_text(text, Wrong(PATH), 64, 8)
+
+
 def test_frame(spark, data, encoder):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     long = {r["doc_id"] for r in docs.collect() if encoder.counts([r["text"]])[0] > 1024}
