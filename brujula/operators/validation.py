@@ -21,8 +21,12 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 
 
-def issues(df: DataFrame, key: str, required: list[str], dates: list[str], url: str, ident: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
-    """key, campo, problema of every problem of every row; a repeated id is reported on all rows but its first."""
+def issues(df: DataFrame, key: str, required: list[str], dates: list[str], url: str, ident: str, allowed: dict[str, tuple[str, ...]], seen: tuple[str, str, tuple[str, ...], str] | None = None) -> DataFrame:
+    """key, campo, problema of every problem of every row; a repeated id is reported on all rows but its first.
+
+    seen: (date field, origin field, origins that have no such date of their own, origin that has): rows of the
+    former may only carry the earliest date that the latter gives for their id.
+    """
     found = [F.when(blank_to_null(F.col(c)).isNull(), F.struct(F.lit(c).alias("campo"), F.lit("vacío").alias("problema"))) for c in required]
     found += [F.when(F.col(c).isNotNull() & iso_timestamp(F.col(c)).isNull(), F.struct(F.lit(c).alias("campo"), F.lit("fecha inválida").alias("problema"))) for c in dates]
     found.append(F.when(F.col(url).isNotNull() & ~F.col(url).rlike(URL_PATTERN), F.struct(F.lit(url).alias("campo"), F.lit("URL rota").alias("problema"))))
@@ -32,7 +36,14 @@ def issues(df: DataFrame, key: str, required: list[str], dates: list[str], url:
     good = df.filter(F.col(ident).rlike(ID_PATTERN)).select(key, ident)
     first = good.groupBy(ident).agg(F.min(key).alias("_first"))
     again = good.join(first, ident).filter(F.col(key) != F.col("_first")).select(key, F.lit(ident).alias("campo"), F.lit("duplicado").alias("problema"))
-    return single.unionByName(again)
+    out = single.unionByName(again)
+    if seen:
+        field, origin, without, source = seen
+        dated = df.select(key, ident, origin, iso_timestamp(F.col(field)).alias("_t")).filter("_t IS NOT NULL")
+        known = dated.filter((F.col(origin) == source) & F.col(ident).isNotNull()).groupBy(ident).agg(F.min("_t").alias("_seen"))
+        own = dated.filter(F.col(origin).isin(*without)).join(known, ident, "left").filter(F.col("_seen").isNull() | (F.col("_seen") != F.col("_t")))
+        out = out.unionByName(own.select(key, F.lit(field).alias("campo"), F.concat_ws(" en ", F.lit(field), origin).alias("problema")))
+    return out
 
 
 def split(df: DataFrame, problems: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

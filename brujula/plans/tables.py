@@ -62,7 +62,8 @@ def source_union(spark, d):
 
 def _issues(spark, d):
     return validation.issues(
-        _news(spark, d), "fila", ["id_noticia", "titulo", "url", "medio", "dominio"], list(DATES), "url", "id_noticia", {"origen": ORIGINS, "alcance_texto": SCOPES}
+        _news(spark, d), "fila", ["id_noticia", "titulo", "url", "medio", "dominio"], list(DATES), "url", "id_noticia", {"origen": ORIGINS, "alcance_texto": SCOPES},
+        ("fecha_deteccion", "origen", ORIGINS[:2], "gdelt"),
     )
 
 
@@ -307,7 +308,9 @@ _ISSUES = f"""
     UNION ALL SELECT fila, 'id_noticia', 'ID inválido' FROM noticias WHERE NOT regexp_matches(id_noticia, '^N-[0-9a-f]{{10}}$')
     UNION ALL SELECT fila, 'origen', 'fuera de lista' FROM noticias WHERE origen NOT IN ('tvn_rss','tvn_web','gdelt')
     UNION ALL SELECT fila, 'alcance_texto', 'fuera de lista' FROM noticias WHERE alcance_texto NOT IN ('titular/metadatos','descripcion_rss','descripcion_web')
-    UNION ALL SELECT fila, 'id_noticia', 'duplicado' FROM (SELECT fila, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS r FROM noticias WHERE regexp_matches(id_noticia, '^N-[0-9a-f]{{10}}$')) WHERE r > 1"""
+    UNION ALL SELECT fila, 'id_noticia', 'duplicado' FROM (SELECT fila, row_number() OVER (PARTITION BY id_noticia ORDER BY fila) AS r FROM noticias WHERE regexp_matches(id_noticia, '^N-[0-9a-f]{{10}}$')) WHERE r > 1
+    UNION ALL SELECT a.fila, 'fecha_deteccion', 'fecha_deteccion en ' || a.origen FROM (SELECT fila, id_noticia, origen, {_iso("fecha_deteccion")} AS t FROM noticias WHERE origen IN ('tvn_rss','tvn_web')) a
+    LEFT JOIN (SELECT id_noticia, min({_iso("fecha_deteccion")}) AS t FROM noticias WHERE origen = 'gdelt' AND id_noticia IS NOT NULL GROUP BY 1) g USING (id_noticia) WHERE a.t IS NOT NULL AND a.t IS DISTINCT FROM g.t"""
 _MAJ = "SELECT {k}, v FROM (SELECT {k}, {v} AS v, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, {v}) AS r FROM noticias WHERE {v} IS NOT NULL GROUP BY {k}, {v}) WHERE r = 1"
 _TITLE = "SELECT cluster_id, titulo, fila FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE idioma WHEN 'es' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, carga DESC, fila) AS r FROM noticias WHERE titulo IS NOT NULL) WHERE r = 1"
 _LATEST = f"SELECT id_caso, linea, estado_revision, revisor FROM (SELECT *, row_number() OVER (PARTITION BY id_caso ORDER BY linea DESC) AS r FROM revisiones WHERE estado_revision IN ({_STATES}) AND id_caso <> '') WHERE r = 1"
