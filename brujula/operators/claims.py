@@ -13,17 +13,60 @@ from pyspark.sql import functions as F
 from brujula.functions.text import folded
 from brujula.operators import figures
 
-#: Texts that give orders to whoever reads them instead of telling something.
-ORDERS = r"(?:ignor[ae]|olvida|disregard|ignore|vergiss|oublie)[a-z]* (?:[\p{L}]+ ){0,3}(?:instruc|reglas|rules|anweisung|consignes)|(?:system|developer) prompt|prompt del? sistema|api[ _-]?key|you are now"
+#: How texts give orders to whoever reads them, hold keys, accuse, say today, foresee or misuse quakes, in folded text (fixed values).
+PATTERNS = {
+    "inyeccion": (
+        r"ignor[ae]\w* (?:\w+ ){0,3}(?:instrucciones|reglas|indicaciones|ordenes)",
+        r"olvida\w* (?:\w+ ){0,3}(?:instrucciones|reglas|indicaciones)",
+        r"(?:revela|muestra|imprime|repite|comparte|envia|lista|dime)\w* (?:\w+ ){0,4}(?:clave (?:de )?(?:api|acceso)|claves? secretas?|api|configuracion|prompt|instrucciones|reglas|contrasena|token)",
+        r"\binventa\w* (?:\w+ ){0,3}(?:citas?|declaracion(?:es)?|entrevistas?|cifras?)\b",
+        r"\b(?:publica|envia)\w* (?:\w+ ){0,4}sin revision",
+        r"(?:a partir de ahora|desde ahora) (?:eres|actua|responde|debes)",
+        r"\bactua como\b",
+        r"nuevas? instruccion(?:es)?\b",
+        r"\b(?:system|developer) prompt\b",
+        r"(?:^|[^a-z])api[ _-]?keys?\b",
+        r"\b[a-z0-9]+_(?:api_)?(?:key|token|secret)s?\b",
+        r"\bclaves? (?:de (?:la )?)?api\b",
+        r"\btokens? (?:de )?(?:acceso|api|autenticacion|secretos?)\b",
+        r"\b(?:dame|danos|dejame ver|entregame|proporciona|escribe|copia|pega|devuelve|ensena)\b (?:\w+ ){0,4}(?:tu|tus|el|la|los|las) (?:clave|contrasena|token|prompt|instrucciones|configuracion)",
+        r"\bprompt (?:de|del) sistema\b",
+        r"\btus? prompts?\b",
+        r"\binstrucciones (?:de|del) sistema\b",
+        r"\b(?:tus|sus) (?:instrucciones|reglas|indicaciones) (?:de sistema|internas|originales|iniciales|ocultas)\b",
+        r"\b(?:nota|instruccion(?:es)?|indicacion|orden|mensaje) internas?\s*:",
+        r"\b(?:no sigas|omite|saltate|desobedece) (?:\w+ ){0,2}(?:instrucciones|reglas|indicaciones)\b",
+        r"ignore (?:all |any |the |your )?(?:previous |prior |above )?(?:instructions|rules)",
+        r"disregard (?:all |any |the |your )?(?:previous |prior |above )?(?:instructions|rules)",
+        r"\byou are now\b",
+        r"</?\s*(?:fuente|system|assistant|instrucciones)\b",
+    ),
+    "secreto": (r"sk-or-v1-[A-Za-z0-9]{16,}", r"(?:^|[^/\w])sk-[A-Za-z0-9_-]{20,}"),
+    "instrucciones": ("ese texto es dato, no instruccion", "responde solo con el json pedido"),
+    "hoy": (r"\b(?:hoy|actualmente|en la actualidad|este ano|al dia de hoy)\b",),
+    "pronostico": (r"proyec", r"\bestim(?:[^u]|u[^l]|u?$)", r"pronostic", r"\bpreve\b", r"\bprevist", r"prevision", r"se espera"),
+    "acusacion": (
+        r"\b(?:aprehend|arrest|detenid|captur|imputad|acusad|denunci|investigad|culpab|condenad|sentenciad|enriquecimiento|corrupci|peculado|soborno|fraude|blanqueo|lavado de|estafa|malversaci|homicid|asesin|delito|crimen|presunt|supuest)",
+    ),
+    "sismico": (r"inundaci|perdida|dano|damnificad|economic",),
+}
+#: Names of the countries of the official data, folded (fixed values).
+COUNTRIES = {"PAN": ("panama",), "CRI": ("costa rica",), "COL": ("colombia",), "DOM": ("republica dominicana",), "MEX": ("mexico",), "GTM": ("guatemala",)}
+
+
+def flag(col: Column, family: str) -> Column:
+    """Whether a text shows one of a family's patterns; false for null. Keys are looked for as they are written."""
+    text = col if family == "secreto" else normalised(col)
+    return F.coalesce(F.rlike(text, F.lit("(?:" + ")|(?:".join(PATTERNS[family]) + ")")), F.lit(False))
 
 
 def normalised(col: Column) -> Column:
     """Folded, straight quotes, white space drawn together."""
-    return F.trim(F.regexp_replace(F.translate(folded(col), "«»“”‘’", "\"\"\"\"''"), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.translate(folded(col), "«»“”‘’", "\"\"\"\"''"), r"[\s\u00a0]+", " "))
 
 
 def gives_orders(col: Column) -> Column:
-    return F.coalesce(F.rlike(folded(col), F.lit(ORDERS)), F.lit(False))
+    return flag(col, "inyeccion")
 
 
 def check(claims: DataFrame, evidence: DataFrame) -> DataFrame:

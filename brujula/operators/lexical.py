@@ -271,3 +271,19 @@ def novelty(items: DataFrame, days: int = 7) -> DataFrame:
     best = near.groupBy("a", "p").agg(F.sum(F.col("x") * F.col("y")).alias("s")).groupBy("a").agg(F.max("s").alias("s"))
     fresh = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("s", F.lit(0.0))))
     return items.join(best, items["id"] == best["a"], "left").select("id", F.round(fresh, 4).alias("novedad"))
+
+
+def nearest_in_window(items: DataFrame, asked: DataFrame, seconds: int) -> DataFrame:
+    """id, vecino, parecido: of each asked id (column id) the other item with the greatest cosine of TF-IDF vectors among those
+    at most `seconds` away; ties to the smaller id; items that share no word with any have none.
+
+    items: id, t (seconds, may be null), texto. Only the asked items' words are posted, by time bucket.
+    """
+    counts = term_counts(items, "id", plain_terms(F.col("texto")))
+    v = unit_vectors(counts, "id", idf(counts, "id")).join(items.filter("t IS NOT NULL").select("id", "t"), "id").withColumn("b", F.floor(F.col("t") / seconds))
+    own = v.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("t").alias("ta"), "w", "x", F.explode(F.array("b", F.col("b") - 1, F.col("b") + 1)).alias("b"))
+    other = v.select(F.col("id").alias("o"), F.col("t").alias("to"), "w", F.col("x").alias("y"), "b")
+    near = own.join(other, ["w", "b"]).filter((F.col("a") != F.col("o")) & (F.abs(F.col("ta") - F.col("to")) <= seconds))
+    s = near.groupBy("a", "o").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("s")).filter("s > 0")
+    best = s.groupBy("a").agg(F.max(F.struct("s", (-F.col("o")).alias("m"))).alias("x"))
+    return best.select(F.col("a").alias("id"), (-F.col("x.m")).alias("vecino"), F.col("x.s").alias("parecido"))

@@ -39,6 +39,11 @@ def pair_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.select("*", ratio(F.col("ambos"), F.col("propuestos")).alias("precision"), ratio(F.col("ambos"), F.col("verdaderos")).alias("recall"))
 
 
+def cost_usd(read: Column, written: Column, price_in: float, price_out: float) -> Column:
+    """Price of a call, prices being of a million tokens; null where a size is unknown."""
+    return read / 1e6 * price_in + written / 1e6 * price_out
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, nearest-rank 95th percentile and median (mean of the middle pair)."""
     return df.groupBy(*keys).agg(

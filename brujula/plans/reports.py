@@ -65,8 +65,8 @@ def search_official(spark, d):
 
 
 def cache_keys(spark, d):
-    """Digest under which an answer on a row would be kept: of its texts in fixed order."""
-    return _news(spark, d).select("fila", F.sha2(F.concat_ws("|", F.coalesce("titulo", F.lit("")), F.coalesce("descripcion", F.lit("")), F.coalesce("url", F.lit(""))), 256).alias("clave"))
+    """Digest under which an answer on a row would be kept: of the JSON of its texts in fixed order."""
+    return _news(spark, d).select("fila", F.sha2(F.to_json(F.struct("titulo", "descripcion", "url"), {"ignoreNullFields": "false"}), 256).alias("clave"))
 
 
 def local_dates(spark, d):
@@ -76,8 +76,9 @@ def local_dates(spark, d):
 
 
 def order_flags(spark, d):
-    """Documents whose text gives orders to its reader."""
-    return table(spark, d, "documents").select("doc_id", claims.gives_orders(F.col("text")).alias("ordena"))
+    """Which families of patterns each document's text shows: orders to its reader, keys, accusations, today, forecasts."""
+    families = [f for f in claims.PATTERNS if f != "instrucciones"]
+    return table(spark, d, "documents").select("doc_id", *[claims.flag(F.col("text"), f).alias(f) for f in families])
 
 
 def without_vector(spark, d):
@@ -101,9 +102,9 @@ def reviewers(spark, d):
 
 
 def claim_checks(spark, d):
-    """Labels as statements that cite their row's title: which stand, and what is wrong with the others."""
-    e = table(spark, d, "etiquetas").filter("titulo IS NOT NULL").groupBy("titulo").agg(F.min("id_noticia").alias("id"))
-    c = e.select(F.col("titulo").alias("claim"), F.col("titulo").alias("texto"), "id", F.lit("titulo").alias("campo"), F.col("titulo").alias("pasaje"))
+    """Labels as statements (title and description together) that cite their row's title: which stand, and what is wrong with the others."""
+    e = table(spark, d, "etiquetas").filter("titulo IS NOT NULL").groupBy("titulo").agg(F.min("id_noticia").alias("id"), F.min("descripcion").alias("d"))
+    c = e.select(F.col("titulo").alias("claim"), F.concat_ws(" ", "titulo", "d").alias("texto"), "id", F.lit("titulo").alias("campo"), F.col("titulo").alias("pasaje"))
     news = _news(spark, d).filter("id_noticia IS NOT NULL").groupBy("id_noticia").agg(F.min_by("titulo", "fila").alias("t"))
     return claims.check(c, news.select(F.col("id_noticia").alias("id"), F.map_filter(F.create_map(F.lit("titulo"), "t"), lambda k, v: v.isNotNull()).alias("campos")))
 
@@ -112,14 +113,14 @@ QUERIES = {f.__name__: f for f in (catalog, official_passages, search_official,
 
 _CASE = lambda c, names: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {c} END"
 _DAY = f"strftime({_iso('fecha_publicacion')}, '%Y-%m-%d')"
-_ORDERS = claims.ORDERS.replace("'", "''")
+_NORMAL = rf"trim(regexp_replace(translate(strip_accents(lower(text)), '«»“”‘’', '{'"' * 4 + "''" * 2}'), '[\s\x{{00A0}}]+', ' ', 'g'))"
 
 SQL = {
     "catalog": f"SELECT b.*, t.idiomas FROM (SELECT origen, count(*) AS filas, concat_ws(' a ', min({_DAY}), max({_DAY})) AS periodo FROM noticias GROUP BY 1) b LEFT JOIN (SELECT origen, string_agg(idioma, ', ' ORDER BY p) AS idiomas FROM (SELECT origen, idioma, row_number() OVER (PARTITION BY origen ORDER BY count(*) DESC, idioma) AS p FROM noticias WHERE idioma IS NOT NULL GROUP BY 1, 2) WHERE p <= 4 GROUP BY 1) t USING (origen)",
     "official_passages": f"SELECT 'WB-' || pais_iso3 || '-' || indicador_id || '-' || anio AS pasaje, concat_ws(' ', {_CASE('indicador_id', INDICATOR_NAMES)}, {_CASE('pais_iso3', COUNTRY_NAMES)}, CAST(anio AS VARCHAR), unidad) AS texto, anio AS reciente FROM indicadores WHERE valor IS NOT NULL UNION ALL SELECT id, concat_ws(' ', 'sismo terremoto temblor magnitud', CASE WHEN magnitude IS NOT NULL THEN printf('%.1f', magnitude) END, place, left(time, 10)), coalesce(CAST(floor(epoch(try_cast(replace(replace(time, 'T', ' '), 'Z', '') AS TIMESTAMP))) AS BIGINT), 0) FROM sismos",
-    "cache_keys": "SELECT fila, sha256(coalesce(titulo, '') || '|' || coalesce(descripcion, '') || '|' || coalesce(url, '')) AS clave FROM noticias",
+    "cache_keys": "SELECT fila, sha256(CAST(json_object('titulo', titulo, 'descripcion', descripcion, 'url', url) AS VARCHAR)) AS clave FROM noticias",
     "local_dates": f"SELECT fila, strftime(t - INTERVAL 5 HOUR, '%d/%m/%Y %H:%M') AS hora, {_CASE('origen', ORIGIN_NAMES)} AS origen FROM (SELECT fila, origen, {_iso('fecha_publicacion')} AS t FROM noticias) WHERE t IS NOT NULL",
-    "order_flags": f"SELECT doc_id, coalesce(regexp_matches(strip_accents(lower(text)), '{_ORDERS}'), false) AS ordena FROM documents",
+    "order_flags": "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches({'text' if f == 'secreto' else _NORMAL}, '(?:{')|(?:'.join(ps)})'), false) AS {f}" for f, ps in claims.PATTERNS.items() if f != "instrucciones") + " FROM documents",
     "without_vector": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "review_tally": "WITH o AS (SELECT id_caso, bool_or(estado_revision = 'aprobado como borrador') AS a, bool_or(estado_revision = 'descartado') AS b FROM revisiones WHERE id_caso <> '' GROUP BY 1) SELECT count(*) FILTER (a) AS aceptados, count(*) FILTER (NOT a AND b) AS descartados, count(*) FILTER (NOT a AND NOT b) AS abiertos, round(count(*) FILTER (a) / nullif(count(*) FILTER (a OR b), 0), 6) AS parte FROM o",
     "reviewers": "SELECT revisor, estado_revision, count(*) AS casos FROM (SELECT *, row_number() OVER (PARTITION BY id_caso ORDER BY linea DESC) AS r FROM revisiones WHERE estado_revision IN ('nuevo', 'en revisión', 'requiere evidencia', 'aprobado como borrador', 'descartado') AND id_caso <> '') WHERE r = 1 GROUP BY 1, 2",

@@ -193,3 +193,49 @@ def query_url(base: str, countries: list[str], first: int, last: int) -> str:
 
 
 EMPTY_NEWS = ", ".join(f"{c} {t}" for c, t in NEWS.items())
+
+
+def stored_articles(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """News rows of stored article files (one JSON object each): without those marked to skip, the first extraction of
+    an id, published in [start, end)."""
+    schema = ", ".join(f"{c} STRING" for c in NEWS if c not in ("tema_confianza", "sintetico")) + ", skip BOOLEAN"
+    rows = finalize(spark.read.schema(schema).option("multiLine", True).json(path).filter("NOT coalesce(skip, false) AND id_noticia IS NOT NULL"))
+    first = rows.groupBy("id_noticia").agg(F.min_by(F.struct(*rows.columns), F.struct(F.col("fecha_extraccion").isNull(), "fecha_extraccion", "url")).alias("r")).select("r.*")
+    kept = first.filter((F.col("fecha_publicacion") >= F.lit(start).cast("timestamp")) & (F.col("fecha_publicacion") < F.lit(end).cast("timestamp")))
+    return kept.withColumn("cluster_id", provisional_cluster(F.col("id_noticia"))).select(*NEWS)
+
+
+def rss_snapshots(captures: DataFrame) -> DataFrame:
+    """Rows of several captures of a feed, each id once: the earliest capture (then the smaller url)."""
+    r = F.min_by(F.struct(*captures.columns), F.struct(F.col("fecha_extraccion").isNull(), "fecha_extraccion", "url"))
+    return captures.filter("id_noticia IS NOT NULL").groupBy("id_noticia").agg(r.alias("r")).select("r.*")
+
+
+def cached_answers(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """clave, respuesta of the wanted keys (column clave) that a folder of <clave>.json files holds; unreadable files count as missing."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("clave"), F.col("value").alias("respuesta"))
+    return files.filter(F.try_parse_json("respuesta").isNotNull()).join(keys.select("clave").distinct(), "clave", "left_semi")
+
+
+def rules(spark: SparkSession, path: str, expected: dict[str, set[str]]) -> dict:
+    """Rules of a YAML file (small, read on the driver); groups or keys other than the expected ones are an error."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading rules needs a YAML library") from e
+    found = yaml.safe_load("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    if not isinstance(found, dict):
+        raise ValueError("rules have to be groups of keys")
+    for group, names in expected.items():
+        have = set(found.get(group) or {})
+        if have != names:
+            raise ValueError(f"{group}: missing {sorted(names - have)}, unknown {sorted(have - names)}")
+    return found
+
+
+def test_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """id, fecha, estado, pasaron, de of a CSV matrix of tests (columns ID, Observado, Evidencia); what it doesn't state is null."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    part = lambda i: F.nullif(F.regexp_extract(F.coalesce("Observado", F.lit("")), r"^\s*(Pasa|Falla)\s*\((\d+)/(\d+)\)", i), F.lit(""))
+    day = F.nullif(F.regexp_extract(F.coalesce("Evidencia", F.lit("")), r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    return rows.select(F.col("ID").alias("id"), day.alias("fecha"), F.lower(part(1)).alias("estado"), part(2).cast("int").alias("pasaron"), part(3).cast("int").alias("de"))

@@ -32,12 +32,26 @@ def append_log(df: DataFrame, path: str, states: tuple[str, ...]) -> DataFrame:
     return df.filter(~ok)
 
 
-def write_geojson(df: DataFrame, path: str) -> None:
-    """One feature per line (newline-delimited GeoJSON), ordered by time and id."""
+def write_table(df: DataFrame, path: str, order: list[str]) -> None:
+    """Parquet, rows in order inside each file, replaced as a whole."""
+    df.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def feature_collection(df: DataFrame) -> DataFrame:
+    """One GeoJSON text (column value) of all features by time and id; for tables that fit one document."""
+    entries = F.array_sort(F.collect_list(F.struct(F.coalesce("time", F.lit("")).alias("_t"), "id", _feature(df).alias("f"))))
+    return df.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform(entries, lambda e: e.f).alias("features"))).alias("value"))
+
+
+def _feature(df: DataFrame):
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude", "depth").alias("coordinates"))
     rest = F.struct(*[c for c in df.columns if c not in ("longitude", "latitude", "depth")])
-    feature = F.struct(F.lit("Feature").alias("type"), F.col("id"), point.alias("geometry"), rest.alias("properties"))
-    df.orderBy(F.coalesce("time", F.lit("")), "id").select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+    return F.struct(F.lit("Feature").alias("type"), F.col("id"), point.alias("geometry"), rest.alias("properties"))
+
+
+def write_geojson(df: DataFrame, path: str) -> None:
+    """One feature per line (newline-delimited GeoJSON), ordered by time and id."""
+    df.orderBy(F.coalesce("time", F.lit("")), "id").select(F.to_json(_feature(df)).alias("value")).write.mode("overwrite").text(path)
 
 
 def outlets_json(rollup: DataFrame) -> DataFrame:
@@ -65,3 +79,25 @@ def quality_report(totals: DataFrame, issues: DataFrame, nulls: DataFrame) -> st
     lines += [f"| {r['campo']} | {r['problema']} | {r['filas']} |" for r in issues.orderBy("campo", "problema").collect()]
     lines += ["\n| columna | nulos |\n| --- | --- |"] + [f"| {r['columna']} | {r['nulos']} |" for r in nulls.orderBy("columna").collect()]
     return "\n".join(lines) + "\n"
+
+
+def quality_counts(totals: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: leidas, validas, rechazadas, and the issues as a map from field and problem to rows."""
+    per = issues.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(": ", "campo", "problema"), "filas")))).alias("problemas"))  # a row per kind of problem
+    return totals.crossJoin(per).select("leidas", "validas", "rechazadas", "problemas")  # one row each
+
+
+def coverage_note(df: DataFrame, when: str, start: str, end: str, days: int = 31) -> DataFrame:
+    """One row: parcial, whether the dates end more than `days` short of either end of the period (false without dates)."""
+    a, b = F.min(when), F.max(when)
+    gap = F.expr(f"interval {days} day")
+    return df.agg(F.coalesce((a - F.lit(start).cast("timestamp") > gap) | (F.lit(end).cast("timestamp") - b > gap), F.lit(False)).alias("parcial"))
+
+
+def benchmark_report(ratios: DataFrame, failures: DataFrame) -> str:
+    """Markdown of measured ratios (medida, numerador, denominador) and their failures (medida, caso); small aggregates, rendered on the driver."""
+    lines = ["# Mediciones", "", "| medida | valor |", "| --- | --- |"]
+    lines += [f"| {r['medida']} | {'sin casos' if not r['denominador'] else f'{r['numerador']}/{r['denominador']}'} |" for r in ratios.orderBy("medida").collect()]
+    for r in failures.groupBy("medida").agg(F.array_sort(F.collect_list("caso")).alias("c")).orderBy("medida").collect():
+        lines += ["", f"## {r['medida']}", "", *[f"- {c}" for c in r["c"]]]
+    return "\n".join(lines) + "\n"

@@ -118,3 +118,49 @@ def test_csv_sink_and_union(spark, tmp_path):
     assert contract.finalize(df.select("k")).columns == list(contract.NEWS)
     report = sinks.quality_report(spark.sql("SELECT 3 AS leidas, 2 AS validas, 1 AS rechazadas"), spark.sql("SELECT 'url' AS campo, 'URL rota' AS problema, 1 AS filas"), spark.sql("SELECT 'url' AS columna, 0 AS nulos"))
     assert "| url | URL rota | 1 |" in report
+
+
+def test_stored_and_cached_files(spark, tmp_path):
+    import json
+
+    d = tmp_path / "articles"
+    d.mkdir()
+    base = {"titulo": "Uno", "url": "https://a.b/1", "fecha_publicacion": "2026-01-05T00:00:00Z"}
+    files = [
+        {**base, "id_noticia": "N-0000000001", "fecha_extraccion": "2026-02-02T00:00:00Z", "titulo": "Tarde"}, {**base, "id_noticia": "N-0000000001", "fecha_extraccion": "2026-02-01T00:00:00Z"},
+        {**base, "id_noticia": "N-0000000002", "skip": True}, {**base, "id_noticia": "N-0000000003", "fecha_publicacion": "2027-01-05T00:00:00Z"}, {**base, "id_noticia": "N-0000000004", "fecha_publicacion": None},
+    ]
+    for i, x in enumerate(files):
+        (d / f"{i}.json").write_text(json.dumps(x))
+    out = readers.stored_articles(spark, str(d), "2026-01-01", "2026-12-31").collect()
+    assert [(r["id_noticia"], r["titulo"], r["cluster_id"]) for r in out] == [("N-0000000001", "Uno", "K-0000000001")]
+    c = tmp_path / "cache"
+    c.mkdir()
+    for k, v in {"a": '{"x": 1}', "b": "roto{", "c": "[]"}.items():
+        (c / f"{k}.json").write_text(v)
+    keys = spark.createDataFrame([("a",), ("b",), ("z",), ("a",)], "clave string")
+    assert [tuple(r) for r in readers.cached_answers(spark, str(c), keys).collect()] == [("a", '{"x": 1}')]
+    m = tmp_path / "m.csv"
+    m.write_text('ID,Observado,Evidencia\nT1,"Pasa (3/3), bien",corrida 2026-10-05\nT2,Falla (1/2),\nT3,,x\n')
+    assert [tuple(r) for r in readers.test_matrix(spark, str(m)).orderBy("id").collect()] == [("T1", "2026-10-05", "pasa", 3, 3), ("T2", None, "falla", 1, 2), ("T3", None, None, None, None)]
+
+
+def test_snapshots_and_reports(spark, tmp_path):
+    from brujula.sources import sinks
+
+    rows = spark.createDataFrame([("N-1", "b", "2026-01-02 00:00:00"), ("N-1", "a", "2026-01-01 00:00:00"), (None, "x", "2026-01-01 00:00:00"), ("N-2", "c", None)], "id_noticia string, url string, fecha_extraccion string").withColumn("fecha_extraccion", F.to_timestamp("fecha_extraccion"))
+    assert {(r["id_noticia"], r["url"]) for r in readers.rss_snapshots(rows).collect()} == {("N-1", "a"), ("N-2", "c")}
+    quakes = spark.createDataFrame([("b", "2026-01-02", 1.0, 2.0, 3.0), ("a", "2026-01-01", 1.0, 2.0, 3.0)], "id string, time string, longitude double, latitude double, depth double")
+    import json
+
+    doc = json.loads(sinks.feature_collection(quakes).first()[0])
+    assert doc["type"] == "FeatureCollection" and [f["id"] for f in doc["features"]] == ["a", "b"] and doc["features"][0]["geometry"]["coordinates"] == [1.0, 2.0, 3.0]
+    sinks.write_table(quakes, str(tmp_path / "q"), ["id"])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 2
+    ratios = spark.createDataFrame([("b", 1, 2), ("a", 0, 0)], "medida string, numerador int, denominador int")
+    text = sinks.benchmark_report(ratios, spark.createDataFrame([("b", "caso 1")], "medida string, caso string"))
+    assert "| a | sin casos |" in text and "| b | 1/2 |" in text and "- caso 1" in text
+    dates = rows.select("fecha_extraccion")
+    assert [sinks.coverage_note(dates, "fecha_extraccion", *p).first()[0] for p in (("2026-01-01", "2026-01-20"), ("2025-01-01", "2026-01-20"), ("2026-01-01", "2026-06-01"))] == [False, True, True]
+    q = sinks.quality_counts(spark.createDataFrame([(5, 3, 2)], "leidas int, validas int, rechazadas int"), spark.createDataFrame([("url", "rota", 2)], "campo string, problema string, filas int")).first()
+    assert q["problemas"] == {"url: rota": 2}
