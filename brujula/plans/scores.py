@@ -139,4 +139,5 @@ SQL = {
     "stream_first": "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2",
     "sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS nueva FROM events), s AS (SELECT user_id, sum(nueva) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sesiones, max(n) AS mayor FROM c GROUP BY 1",
     "event_pairs": f"WITH {_UNIT}, d AS (SELECT doc_id, fecha_captura, list_distinct(list_filter({stems_sql('text')}, lambda w: NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({_CLUSTER_STOP}))) AS ws FROM documents WHERE text IS NOT NULL), r AS (SELECT * FROM d JOIN u ON u.vec_id = d.doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, {_DOT.format(a='a.u', b='b.u')} AS c FROM r a JOIN r b ON a.doc_id < b.doc_id AND abs(epoch_us(a.fecha_captura) - epoch_us(b.fecha_captura)) <= 259200000000 AND len(list_intersect(a.ws, b.ws)) >= 2) SELECT a, b, round(c, 4) AS coseno FROM p WHERE c >= 0.2",
+    "vector_class": f"WITH {_UNIT}, m AS (SELECT CAST(label AS VARCHAR) AS clase, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2), c AS (SELECT clase, list(x ORDER BY i) AS v FROM m GROUP BY 1), n AS (SELECT clase, list_transform(v, lambda y: y / sqrt({_DOT.format(a='v', b='v')})) AS v FROM c), s AS (SELECT u.vec_id, n.clase, {_DOT.format(a='u.u', b='n.v')} AS s FROM u CROSS JOIN n), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, clase DESC) AS r FROM s) SELECT vec_id, CASE WHEN s >= 0.1 THEN clase ELSE 'otro' END AS clase, round(s, 4) AS parecido FROM b WHERE r = 1",
 }

@@ -145,10 +145,10 @@ def period_filter(spark, d):
 
 
 def month_windows(spark, d):
-    """[start, end) of every month between the first and the last order."""
+    """[start, end) of every month of the orders' period, the first and the last one clipped to it."""
     span = table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
-    m = span.select(F.explode(rollups.months_between(F.col("a"), F.col("b"))).alias("inicio"))
-    return m.select(F.date_format("inicio", "yyyy-MM").alias("mes"), F.date_format("inicio", "yyyy-MM-dd").alias("inicio"), F.date_format(F.add_months("inicio", 1), "yyyy-MM-dd").alias("fin"))
+    m = span.select("a", F.date_add("b", 1).alias("b"), F.explode(rollups.months_between(F.col("a"), F.col("b"))).alias("m"))
+    return m.select(F.date_format("m", "yyyy-MM").alias("mes"), F.date_format(F.greatest("a", "m"), "yyyy-MM-dd").alias("inicio"), F.date_format(F.least("b", F.add_months("m", 1)), "yyyy-MM-dd").alias("fin"))
 
 
 def _month():
@@ -217,10 +217,11 @@ def context_kinds(spark, d):
 
 
 def missing_evidence(spark, d):
-    """Links whose evidence isn't in the official tables."""
+    """Every context link, whether its evidence is in the official tables."""
     wb = table(spark, d, "indicadores").filter("valor IS NOT NULL").select(F.concat_ws("-", F.lit("WB"), "pais_iso3", "indicador_id", F.col("anio").cast("string")).alias("id_evidencia"))
     official = wb.unionByName(table(spark, d, "sismos").select(F.col("id").alias("id_evidencia")))
-    return table(spark, d, "contexto").select("cluster_id", "id_evidencia").join(official.distinct(), "id_evidencia", "left_anti")
+    links = table(spark, d, "contexto").select("cluster_id", "id_evidencia", "tipo")
+    return links.join(official.distinct().withColumn("presente", F.lit(True)), "id_evidencia", "left").select("cluster_id", "id_evidencia", "tipo", F.coalesce("presente", F.lit(False)).alias("presente"))
 
 
 def _reviews(spark, d):
@@ -337,7 +338,7 @@ SQL = {
     "cluster_key": "SELECT cluster_id, CASE WHEN count(*) = 1 THEN 'K-' || substring(min(id_noticia), 3) ELSE 'K-' || left(sha1(string_agg(id_noticia, '|' ORDER BY id_noticia)), 10) END AS clave FROM (SELECT DISTINCT cluster_id, id_noticia FROM noticias WHERE id_noticia IS NOT NULL) GROUP BY 1",
     "latest_title": _TITLE,
     "period_filter": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1",
-    "month_windows": "SELECT strftime(m, '%Y-%m') AS mes, strftime(m, '%Y-%m-%d') AS inicio, strftime(m + INTERVAL 1 MONTH, '%Y-%m-%d') AS fin FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)",
+    "month_windows": "SELECT strftime(m, '%Y-%m') AS mes, strftime(greatest(a, m), '%Y-%m-%d') AS inicio, strftime(least(b + INTERVAL 1 DAY, m + INTERVAL 1 MONTH), '%Y-%m-%d') AS fin FROM (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b, unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)",
     "todo_requests": f"WITH n AS (SELECT DISTINCT {_MONTH} AS mes, tema, origen FROM noticias WHERE tema IS NOT NULL) SELECT * FROM (SELECT DISTINCT mes FROM n WHERE mes IS NOT NULL) CROSS JOIN (SELECT DISTINCT tema FROM n WHERE mes IS NOT NULL) CROSS JOIN (SELECT DISTINCT origen FROM n WHERE mes IS NOT NULL) EXCEPT SELECT mes, tema, origen FROM n",
     "month_quota": f"SELECT mes, fila, puesto FROM (SELECT mes, fila, row_number() OVER (PARTITION BY mes ORDER BY h, fila) AS puesto FROM (SELECT *, row_number() OVER (PARTITION BY mes ORDER BY h, fila) AS r FROM (SELECT fila, {_MONTH} AS mes, sha1(url) AS h, procedencia_id FROM noticias WHERE url IS NOT NULL) WHERE mes IS NOT NULL) WHERE r <= 200 AND procedencia_id IS NOT NULL) WHERE puesto <= 100",
     "grid_complete": "WITH i AS (SELECT * FROM indicadores WHERE valor IS NOT NULL) SELECT p.pais_iso3, q.indicador_id, y.anio, i.valor FROM (SELECT DISTINCT pais_iso3 FROM i) p CROSS JOIN (SELECT DISTINCT indicador_id FROM i) q CROSS JOIN (SELECT DISTINCT anio FROM i) y LEFT JOIN i ON i.pais_iso3 = p.pais_iso3 AND i.indicador_id = q.indicador_id AND i.anio = y.anio",
@@ -346,7 +347,7 @@ SQL = {
     "quake_news": f"SELECT n.fila, s.id FROM (SELECT fila, {_iso('fecha_publicacion')} AS t FROM noticias WHERE tema = 'eventos naturales') n JOIN (SELECT id, try_cast(replace(replace(time, 'T', ' '), 'Z', '') AS TIMESTAMP) AS q FROM sismos) s ON n.t BETWEEN s.q - INTERVAL 72 HOUR AND s.q + INTERVAL 72 HOUR",
     "quakes_sorted": "SELECT id, time, round(magnitude, 2) AS magnitude, row_number() OVER (ORDER BY coalesce(time, ''), id) AS puesto FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC) AS r FROM sismos WHERE updated IS NOT NULL) WHERE r = 1",
     "context_kinds": _KINDS,
-    "missing_evidence": "SELECT cluster_id, id_evidencia FROM contexto WHERE id_evidencia NOT IN (SELECT 'WB-' || pais_iso3 || '-' || indicador_id || '-' || anio FROM indicadores WHERE valor IS NOT NULL UNION SELECT id FROM sismos)",
+    "missing_evidence": "SELECT cluster_id, id_evidencia, tipo, id_evidencia IN (SELECT 'WB-' || pais_iso3 || '-' || indicador_id || '-' || anio FROM indicadores WHERE valor IS NOT NULL UNION SELECT id FROM sismos) AS presente FROM contexto",
     "latest_review": _LATEST,
     "review_history": f"SELECT id_caso, count(*) AS n, string_agg(estado_revision, ' > ' ORDER BY fecha_revision DESC, linea DESC) AS historia FROM revisiones WHERE estado_revision IN ({_STATES}) AND id_caso <> '' GROUP BY 1",
     "review_rejects": f"SELECT estado_revision, count(*) AS n FROM revisiones WHERE NOT coalesce(estado_revision IN ({_STATES}), false) OR coalesce(id_caso, '') = '' GROUP BY 1",
