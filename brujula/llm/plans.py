@@ -158,4 +158,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p4_found, p4_groups, p5_found, p5_members, p5_clusters, p6_found, p6_consensus, p7_ids, p8_mezcla, p8_partes, p9_found, p9_pieces)}
-SQL: dict[str, str] = {}
+
+#: Sets of words per row and field; a pair is looked up by the first words of both in the order of rarity, then counted.
+_WORDS = r"list_distinct(regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{N}}]+'))"
+SQL = {
+    "p4_found": f"""
+        WITH s AS MATERIALIZED (SELECT fila, 0 AS campo, {_WORDS.format(c="titulo")} AS ws FROM noticias WHERE titulo IS NOT NULL UNION ALL SELECT fila, 1, {_WORDS.format(c="descripcion")} FROM noticias WHERE descripcion IS NOT NULL),
+        r AS MATERIALIZED (SELECT fila, campo, ws, len(ws) AS n FROM s WHERE len(ws) >= CASE campo WHEN 0 THEN 1 ELSE 8 END),
+        w AS (SELECT fila, campo, n, unnest(ws) AS w FROM r), d AS (SELECT campo, w, count(*) AS df FROM w GROUP BY 1, 2),
+        p AS MATERIALIZED (SELECT fila, campo, n, w FROM (SELECT w.*, row_number() OVER (PARTITION BY fila, w.campo ORDER BY df, w.w) AS k FROM w JOIN d USING (campo, w)) WHERE k <= n - ceil(0.75 * n) + 1),
+        c AS (SELECT DISTINCT a.campo, a.fila AS a, b.fila AS b FROM p a JOIN p b ON a.campo = b.campo AND a.w = b.w AND a.fila < b.fila AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)),
+        v AS (SELECT c.a, c.b, len(list_intersect(x.ws, y.ws)) AS i, x.n AS m, y.n AS n FROM c JOIN r x ON x.fila = c.a AND x.campo = c.campo JOIN r y ON y.fila = c.b AND y.campo = c.campo)
+        SELECT DISTINCT a AS fila_a, b AS fila_b FROM v WHERE i >= 0.75 * (m + n - i)""",
+}
