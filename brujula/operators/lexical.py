@@ -91,13 +91,16 @@ def _with_heads(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
     """key, t (terms by rarity), h (the terms before which less than 1 - threshold^2 of the squared norm lies)."""
     rarity = vectors.groupBy("w").agg(F.count("*").alias("df"))
     rows = vectors.join(rarity, "w").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "w", "x"))).alias("t"))
+    return cut(rows.withColumn("h", _head(threshold)), "heads")
+
+
+def _head(threshold: float) -> Column:
     total = F.aggregate(F.col("t"), F.lit(0.0), lambda acc, e: acc + e.x * e.x)
-    head = F.aggregate(
+    return F.aggregate(
         F.col("t"),
         F.struct(F.lit(0.0).alias("s"), F.array().cast("array<string>").alias("h")),
         lambda acc, e: F.struct((acc.s + e.x * e.x).alias("s"), F.when(F.sqrt(F.greatest(total - acc.s, F.lit(0.0))) >= threshold - 1e-9, F.concat(acc.h, F.array(e.w))).otherwise(acc.h).alias("h")),
     )["h"]
-    return cut(rows.withColumn("h", head), "heads")
 
 
 def _dots(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -113,12 +116,21 @@ def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return own.select(key, "c"), classes
 
 
-def class_vectors(classes: DataFrame) -> DataFrame:
-    """c, w, x: unit TF-IDF vectors of the classes, frequencies counted over all members."""
-    counts = classes.select("c", "n", F.explode(F.split("texto", " ")).alias("w")).groupBy("c", "n", "w").agg(F.count("*").alias("tf"))
+def _class_heads(classes: DataFrame, threshold: float) -> DataFrame:
+    """c, t, h like `_with_heads`, of unit TF-IDF vectors of the classes, frequencies counted over all their members.
+
+    A class's terms are counted inside its row, so the terms are joined with their weights once and drawn together once.
+    """
+    terms = F.split("texto", " ")
+    counted = F.transform(F.array_distinct(terms), lambda w: F.struct(w.alias("w"), F.size(F.filter(terms, lambda x: x == w)).alias("tf")))
+    long = classes.select("c", "n", F.explode(counted).alias("e")).select("c", "n", "e.*")
     total = classes.agg(F.sum("n").alias("all"))
-    weights = counts.groupBy("w").agg(F.sum("n").alias("df")).crossJoin(total).select("w", (F.log((1 + F.col("all")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    return unit_vectors(counts.select("c", "w", "tf"), "c", weights)
+    known = long.groupBy("w").agg(F.sum("n").alias("rows"), F.count("*").alias("df")).crossJoin(total)  # one row
+    known = known.select("w", "df", (F.log((1 + F.col("all")) / (1 + F.col("rows"))) + 1).alias("idf"))
+    raw = long.join(known, "w").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "w", (F.col("tf") * F.col("idf")).alias("v")))).alias("t"))
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda acc, e: acc + e.v * e.v))
+    unit = raw.withColumn("norm", norm).select("c", F.transform("t", lambda e: F.struct(e.df.alias("df"), e.w.alias("w"), (e.v / F.col("norm")).alias("x"))).alias("t"))
+    return cut(unit.withColumn("h", _head(threshold)), "heads")
 
 
 def near_copies(df: DataFrame, key: str, text: str, when: str, threshold: float, hours: int, apart: str | None = None) -> DataFrame:
@@ -132,7 +144,7 @@ def near_copies(df: DataFrame, key: str, text: str, when: str, threshold: float,
     span = hours * 3600 * 1_000_000
     dated = df.filter(F.col(when).isNotNull()).select(key, F.unix_micros(when).alias("t"), *([F.col(apart).alias("o")] if apart else []))
     rows = cut(members.join(dated, key).withColumn("g", F.floor(F.col("t") / span).cast("long")), "rows")
-    heads = _with_heads(class_vectors(classes), "c", threshold)
+    heads = _class_heads(classes, threshold)
     places = rows.select("c", "g").distinct()
     posted = heads.select("c", F.explode("h").alias("w")).join(places, "c")
     one = posted.select(F.col("c").alias("a"), "w", F.explode(F.array("g", F.col("g") + 1, F.col("g") - 1)).alias("g"))
@@ -168,8 +180,7 @@ class Index:
     def meeting(self, keys: DataFrame) -> DataFrame:
         """consulta, pasaje, reciente, ps, cs of the passages that hold one of a query's keys (consulta, w)."""
         posted = self.passages.select("pasaje", F.explode("ps").alias("w")).join(keys.select("w").distinct(), "w", "left_semi")
-        pairs = posted.join(keys, "w").select("consulta", "pasaje").distinct()
-        return pairs.join(self.passages, "pasaje")
+        return posted.join(keys, "w").select("consulta", "pasaje").distinct().join(self.passages, "pasaje")
 
     def counts(self, terms: DataFrame) -> DataFrame:
         """w, n: passages that hold each of the given stems (one column w)."""
