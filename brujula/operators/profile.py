@@ -125,28 +125,32 @@ def dominant_masks(counts: DataFrame, min_share: float) -> DataFrame:
 
 
 def violations(df: DataFrame, specs: dict[str, Form], key: str, min_share: float = 0.01) -> DataFrame:
-    """key, columna, valor, mascara of the violations of each column (see the module).
+    """key, columna, mascara of the violations of each column (see the module).
 
-    A column has at most 1/min_share dominant masks, so their list is bounded and enters the plan as literals.
+    One pass works out each cell's mask and, where the mask proves nothing, the form's test; masks and verdicts are
+    kept as a table. A column has at most 1/min_share dominant masks, so their list is bounded and enters the plan as literals.
     """
-    dominant = [(r["columna"], r["mascara"]) for r in dominant_masks(cut(mask_counts(df, specs), "masks"), min_share).collect()]
-    found = []
-    for name, spec in specs.items():
-        own = [m for c, m in dominant if c == name]
-        value = F.col(name).cast("string")
-        rows = df.filter(F.col(name).isNotNull()).select(key, F.lit(name).alias("columna"), value.alias("valor"), spec.mask(value).alias("mascara"))
-        if spec.test:
-            proven = F.lit(False)
-            if own:
-                proven = F.col("mascara").isin(*own) & F.col("mascara").rlike(spec.proof)
-            rows = rows.filter(~proven).filter(~spec.right(F.col("valor")))
-        elif own:
-            rows = rows.filter(~F.col("mascara").isin(*own))
-        found.append(rows)
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    names = list(specs)
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(names)])
+    rows = spread(rows, "k").withColumns({f"m{i}": specs[c].mask(F.col(f"v{i}")) for i, c in enumerate(names)})
+
+    def cell(i: int, c: str) -> Column:
+        spec, m = specs[c], F.col(f"m{i}")
+        right = F.when(m.rlike(spec.proof), True).otherwise(spec.right(F.col(f"v{i}"))) if spec.test else F.lit(None).cast("boolean")
+        return F.struct(F.lit(c).alias("columna"), m.alias("mascara"), right.alias("correcta"))
+
+    told = rows.select("k", F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("c")).select("k", "c.*").filter(F.col("mascara").isNotNull())
+    told = cut(told, "masks")
+    dominant = dominant_masks(told.groupBy("columna", "mascara").agg(F.count("*").alias("n")), min_share).collect()
+    bad = F.lit(False)
+    for c, spec in specs.items():
+        own = [r["mascara"] for r in dominant if r["columna"] == c]
+        known = F.col("mascara").isin(*own) if own else F.lit(False)
+        if spec.test:  # a dominant mask that proves its values is good; all others go by their cells' test
+            bad = bad | ((F.col("columna") == c) & ~(known & F.col("mascara").rlike(spec.proof)) & ~F.col("correcta"))
+        else:
+            bad = bad | ((F.col("columna") == c) & ~known)
+    return told.filter(bad).select(F.col("k").alias(key), "columna", "mascara")
 
 
 def load_figures(df: DataFrame, columns: list[str], load: str) -> DataFrame:
