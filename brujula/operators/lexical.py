@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brujula.functions.text import folded
-from brujula.session import cut
+from brujula.operators import postings
+from brujula.session import cut, ship
+
+#: Passages of a slice of the search, which has to fit a task.
+SLICE = 200_000
 
 #: Words that carry no content, folded (fixed values).
 STOP = (
@@ -182,10 +186,22 @@ class Index:
         posted = self.passages.select("pasaje", F.explode("ps").alias("w")).join(keys.select("w").distinct(), "w", "left_semi")
         return posted.join(keys, "w").select("consulta", "pasaje").distinct().join(self.passages, "pasaje")
 
-    def counts(self, terms: DataFrame) -> DataFrame:
-        """w, n: passages that hold each of the given stems (one column w)."""
-        held = self.passages.select(F.explode("ps").alias("w")).join(terms.select("w").distinct(), "w", "left_semi")
-        return terms.select("w").distinct().join(held.groupBy("w").agg(F.count("*").alias("n")), "w", "left").fillna(0, ["n"])
+    def asked(self, queries: DataFrame, k: int, least: float, coverage: float, boost: float) -> DataFrame:
+        """consulta, pasaje, reciente, s: the k best passages in every slice for queries (consulta, ws stems, xs weights)."""
+        spark = queries.sparkSession
+        ship(spark)
+        n = self.passages.count()
+        slices = max(1, -(-n // SLICE), min(spark.sparkContext.defaultParallelism, n // 5000))
+        kind = {c: f.dataType for f in [*self.passages.schema, *queries.schema] for c in [f.name]}
+        none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("parte")
+        packed = self.weights.groupBy(F.pmod(F.xxhash64("w"), F.lit(256))).agg(F.collect_list(F.struct("w", "idf")).alias("e"))
+        one = packed.select(everywhere, F.lit(0).alias("rol"), none("consulta"), none("pasaje"), none("reciente"), F.col("e.w").alias("ws"), none("cs"), F.col("e.idf").alias("xs"))
+        two = self.passages.filter(F.size("ps") > 0).select(F.pmod(F.xxhash64("pasaje"), F.lit(slices)).cast("int").alias("parte"), F.lit(1).alias("rol"), none("consulta"), "pasaje", "reciente", F.col("ps").alias("ws"), "cs", none("xs"))
+        three = queries.select(everywhere, F.lit(2).alias("rol"), "consulta", none("pasaje"), none("reciente"), "ws", none("cs"), "xs")
+        rows = one.unionByName(two).unionByName(three).repartitionById(slices, F.col("parte")).sortWithinPartitions("rol")
+        out = ", ".join(f"`{c}` {kind[c].simpleString()}" for c in ("consulta", "pasaje", "reciente")) + ", s double"
+        return rows.mapInArrow(lambda batches: postings.search_slice(batches, k, least, coverage, boost), out)
 
     def scored(self, pairs: DataFrame, queries: DataFrame, boost: float) -> DataFrame:
         """pairs with s: cosine of sublinear TF-IDF vectors, plus a boost where the passage holds a year that the query names."""
@@ -214,18 +230,15 @@ def ranked_search(queries: DataFrame, passages: DataFrame | Index, k: int = 10,
 
     queries: consulta, texto; passages: pasaje, texto, reciente. A passage must reach `least`
     and hold `coverage` of the query's distinct stems, numbers included. Ties go to the more
-    recent, then smaller key. A passage with that share of n stems holds one of the rarest
-    n - ceil(coverage n) + 1 of them, so only these are looked up, and only what they find is scored.
+    recent, then smaller key. Every slice of the passages is asked all queries over its own lists of
+    postings and gives its k best, so what is drawn together grows with the results only.
     """
     index = passages if isinstance(passages, Index) else Index(passages)
-    asked = cut(queries.select("consulta", "texto", F.array_distinct(stems(F.col("texto"))).alias("qs")), "asked")
-    long = asked.select("consulta", F.size("qs").alias("n"), F.explode("qs").alias("w"))
-    rarity = Window.partitionBy("consulta").orderBy("df", "w")
-    ranked = long.join(index.counts(long).withColumnRenamed("n", "df"), "w").withColumn("r", F.row_number().over(rarity))
-    keys = cut(ranked.filter(F.col("r") <= F.col("n") - F.ceil(coverage * F.col("n") - 1e-9) + 1).select("consulta", "w"), "keys")
-    met = index.meeting(keys).join(asked.select("consulta", "qs"), "consulta")
-    covering = met.filter(F.size(F.array_intersect("qs", "ps")) >= coverage * F.size("qs")).drop("qs")
-    return _best(index.scored(covering, asked, boost).filter(F.col("s") >= least), k)
+    asked = queries.select("consulta", "texto", F.array_distinct(stems(F.col("texto"))).alias("qs"))
+    own = unit_vectors(term_counts(queries, "consulta", content_stems(F.col("texto"))), "consulta", index.weights, sublinear=True)
+    stem = F.struct("w", F.coalesce("x", F.lit(0.0)).alias("x"))
+    long = asked.select("consulta", F.explode("qs").alias("w")).join(own, ["consulta", "w"], "left").groupBy("consulta").agg(F.sort_array(F.collect_list(stem)).alias("e"))
+    return _best(index.asked(cut(long.select("consulta", F.col("e.w").alias("ws"), F.col("e.x").alias("xs")), "asked"), k, least, coverage, boost), k)
 
 
 def retried_search(queries: DataFrame, passages: DataFrame | Index, names: DataFrame, k: int = 10, least: float = 0.10, coverage: float = 0.5) -> DataFrame:
