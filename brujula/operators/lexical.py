@@ -13,7 +13,7 @@ from brujula.functions.text import folded
 from brujula.operators import postings
 from brujula.session import cut, ship
 
-#: Passages of a slice of the search, which has to fit a task.
+#: Passages of a slice of the search and items of a part of the novelty, which have to fit a task.
 SLICE = 200_000
 
 #: Words that carry no content, folded (fixed values).
@@ -284,17 +284,33 @@ def evidence_in_order(hits: DataFrame, evidence: str) -> DataFrame:
 def novelty(items: DataFrame, days: int = 7) -> DataFrame:
     """id, novedad = 1 - greatest cosine with items first seen before and within `days`; 1 without any.
 
-    items: id, t (seconds, may be null), texto. The band join goes by buckets of `days` and terms.
+    items: id, t (seconds, may be null), texto. Items meet by buckets of `days`; a bucket and those before it
+    are dealt to parts of bounded size, in which cosines are added up in lists of postings, so no table of pairs is made.
     """
     span = days * 86400
-    counts = term_counts(items, "id", plain_terms(F.col("texto")))
-    v = unit_vectors(counts, "id", idf(counts, "id")).join(items.filter("t IS NOT NULL").select("id", "t"), "id").withColumn("b", F.floor(F.col("t") / span))
-    now = v.select(F.col("id").alias("a"), F.col("t").alias("ta"), "w", "x", F.explode(F.array("b", F.col("b") - 1)).alias("b"))
-    past = v.select(F.col("id").alias("p"), F.col("t").alias("tp"), "w", F.col("x").alias("y"), "b")
-    near = now.join(past, ["w", "b"]).filter((F.col("ta") - F.col("tp") > 0) & (F.col("ta") - F.col("tp") <= span))
-    best = near.groupBy("a", "p").agg(F.sum(F.col("x") * F.col("y")).alias("s")).groupBy("a").agg(F.max("s").alias("s"))
+    own = cut(items.select("id", "t", plain_terms(F.col("texto")).alias("ts")), "own")
+    n = own.filter(F.size("ts") > 0).agg(F.count("*").alias("n"))
+    df = own.select(F.explode(F.array_distinct("ts")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    weights = cut(df.crossJoin(n).select("w", F.monotonically_increasing_id().alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("e")), "weights")  # one row
+    long = own.filter("id IS NOT NULL AND t IS NOT NULL").select("id", "t", F.explode("ts").alias("w")).join(weights, "w")
+    dated = cut(long.groupBy("id", "t").agg(F.collect_list(F.struct("k", "e")).alias("l")).select("id", "t", F.floor(F.col("t") / span).cast("long").alias("b"), F.col("l.k").alias("ws"), F.col("l.e").alias("es")), "dated")
+    sizes = dated.groupBy("b").agg(F.count("*").alias("n"))
+    both = sizes.select("b", "n", F.lit(0).alias("m")).unionByName(sizes.select(F.col("b") + 1, F.lit(0), "n").toDF("b", "n", "m")).groupBy("b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = both.filter("n > 0").select("b", F.ceil(F.col("n") / SLICE).cast("int").alias("na"), F.ceil((F.col("n") + F.col("m")) / SLICE).cast("int").alias("np"))
+    one = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    now = dated.join(parts, "b").select("*", one("na").alias("i"), each("np").alias("j"), F.lit(False).alias("past"))
+    past = dated.withColumn("b", F.explode(F.array("b", F.col("b") + 1))).join(parts, "b").select("*", one("np").alias("j"), each("na").alias("i"), F.lit(True).alias("past"))
+    cols = ["b", "i", "j", "id", "t", "past", "ws", "es"]
+    ship(items.sparkSession)
+
+    def run(rows):
+        return postings.greatest_before(rows.select(["id", "t", "past", "ws", "es"]), span)
+
+    near = now.select(cols).unionByName(past.select(cols)).groupBy("b", "i", "j").applyInArrow(run, f"id {items.schema['id'].dataType.simpleString()}, s double")
+    best = near.groupBy("id").agg(F.max("s").alias("s"))
     fresh = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("s", F.lit(0.0))))
-    return items.join(best, items["id"] == best["a"], "left").select("id", F.round(fresh, 4).alias("novedad"))
+    return own.select("id").join(best, "id", "left").select("id", F.round(fresh, 4).alias("novedad"))
 
 
 def nearest_in_window(items: DataFrame, asked: DataFrame, seconds: int) -> DataFrame:

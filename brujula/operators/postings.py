@@ -131,3 +131,67 @@ def search_slice(batches, k: int, least: float, coverage: float, boost: float):
             held[1].clear()
             held[1].append(None)  # passages were there
         yield from ready.search(b.slice(at[2], at[3] - at[2]), k, least, coverage, boost).to_batches()
+
+
+def greatest_before(rows: pa.Table, span: int) -> pa.Table:
+    """id, s: the greatest cosine of each row of now with the rows of the past that are earlier by `span` at most; none without any.
+
+    rows: id, t, past, ws (a number for each word of the text), es (that word's weight). A row that holds none of the words
+    whose lists were read has at most the norm of the other words as its cosine, so reading ends once that is reached.
+    """
+    rows = rows.combine_chunks()
+    t, past = rows.column("t").to_numpy(), rows.column("past").to_numpy(zero_copy_only=False)
+    order, early = np.lexsort((t, ~past)), int(past.sum())
+    place = np.empty(len(t), dtype=np.int64)
+    place[order] = np.arange(len(t))
+    flat, begins = _flat(rows.column("ws").chunk(0))
+    words, first, codes = np.unique(flat.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    weight = rows.column("es").chunk(0).flatten().to_numpy(zero_copy_only=False)[first]
+    keys, tf = np.unique(np.repeat(place, np.diff(begins)) * len(words) + codes, return_counts=True)
+    owner, codes = keys // len(words), keys % len(words)
+    v = tf * weight[codes]
+    x = v / np.sqrt(np.bincount(owner, v * v, minlength=len(t)))[owner]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(t)))]).astype(np.int64)
+    edge = begins[early]
+    sort = np.argsort(codes[:edge], kind="stable")
+    posted, y, where = owner[:edge][sort], x[:edge][sort], codes[:edge][sort] * early + owner[:edge][sort]
+    when, now = t[order][:early], t[order][early:]
+    low, high = np.searchsorted(when, now - span, "left"), np.searchsorted(when, now, "left")
+    own = owner[edge:] - early
+    left, right = np.searchsorted(where, codes[edge:] * early + low[own], "left"), np.searchsorted(where, codes[edge:] * early + high[own], "left")
+    asked = np.zeros(len(words))
+    found = np.zeros(len(now))
+    codes = codes.astype(np.int32)
+
+    def read(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+        who = np.unique(np.concatenate([posted[a[j] : b[j]] for j in lists]))
+        entries, start = _entries(begins, who)
+        return float(np.add.reduceat(asked[codes[entries]] * x[entries], start).max())
+
+    for i in range(len(now)):
+        mine = slice(begins[early + i], begins[early + i + 1])
+        a, b = left[mine.start - edge : mine.stop - edge], right[mine.start - edge : mine.stop - edge]
+        size = b - a
+        lists = np.argsort(size, kind="stable")
+        lists = lists[np.searchsorted(size[lists], 1) :]
+        if not len(lists):
+            continue
+        mx = x[mine]
+        rest = np.sqrt(np.cumsum((mx[lists] ** 2)[::-1])[::-1])  # of the lists from each one on
+        sums = np.cumsum(size[lists])
+        asked[codes[mine]] = mx
+        done = max(1, int(np.searchsorted(sums, 64, "right")))
+        best = read(lists[:done], a, b)
+        until = done + int(np.searchsorted(-rest[done:], -best, "left"))
+        if until > done:
+            if 50 * (sums[until - 1] - sums[done - 1]) < sums[-1] + high[i] - low[i]:
+                best = max(best, read(lists[done:until], a, b))
+            else:
+                total = np.zeros(high[i] - low[i])
+                for j in lists:
+                    total[posted[a[j] : b[j]] - low[i]] += mx[j] * y[a[j] : b[j]]
+                best = max(best, float(total.max()))
+        asked[codes[mine]] = 0.0
+        found[i] = best
+    ids = rows.column("id").take(pa.array(order[early:]))
+    return pa.table({"id": ids, "s": pa.array(found)}).filter(pa.array(found > 0))

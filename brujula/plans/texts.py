@@ -143,7 +143,7 @@ def novelty(spark, d):
     """Novelty of each provisional cluster against those first published in the seven days before."""
     t = F.unix_seconds(F.min(validation.iso_timestamp(F.col("fecha_publicacion"))))
     items = _news(spark, d).groupBy(F.col("cluster_id").alias("id")).agg(t.alias("t"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fila", "titulo"))), lambda x: F.coalesce(x.titulo, F.lit(""))), " ").alias("texto"))
-    return lexical.novelty(cut(items, "items")).withColumnRenamed("id", "cluster_id")
+    return lexical.novelty(items).withColumnRenamed("id", "cluster_id")
 
 
 def _passages(spark, d):

@@ -62,3 +62,29 @@ def test_search_is_exact_and_makes_no_table_of_candidates(spark, monkeypatch, sl
     got = lexical.ranked_search(spark.createDataFrame(queries, "consulta string, texto string"), spark.createDataFrame(passages, "pasaje string, texto string, reciente long"))
     assert {(x["consulta"], x["pasaje"], x["puesto"], x["puntaje"]) for x in got.collect()} == brute_search(queries, passages)
     assert max(n for _, n in rows) <= len(passages) + len(queries), rows
+
+
+@pytest.mark.parametrize("slice_rows", [30, 200_000])
+def test_novelty_is_exact_in_parts(spark, monkeypatch, slice_rows):
+    """Texts of one template with some names, so that common words decide for many; shuffled rows stay in proportion to the items."""
+    r = random.Random(7)
+    names = ["zu" + a + b for a in "bcdfghlm" for b in "aeiou"]
+    text = lambda: " ".join(["el", "consorcio", "de", "la", r.choice(["obra", "via"]), *["de"] * r.randint(0, 2), *r.sample(["rio", "mar", "luz", "paz", "sol"], 2), *r.sample(names, r.randint(0, 3))])
+    day = 86400
+    items = [(f"k{i:03d}", None if r.random() < 0.1 else r.randint(-20 * day, 20 * day), text()) for i in range(300)]
+    items += [("a", 100 * day, "solo aqui"), ("b", 107 * day, "solo aqui"), ("c", 114 * day + 1, "solo aqui"), ("d", 114 * day + 1, "x"), ("e", 5, ""), (None, 5, text())]
+    monkeypatch.setattr(lexical, "SLICE", slice_rows, raising=False)
+    df = spark.createDataFrame(items, "id string, t long, texto string")
+    bags = {i: Counter(w for w in s.split() if len(w) > 1) for i, _, s in items}
+    n = Counter(w for b in bags.values() for w in b)
+    idf = {w: math.log((1 + sum(map(bool, bags.values()))) / (1 + m)) + 1 for w, m in n.items()}
+    vectors = {i: unit(b, idf, False) if b else {} for i, b in bags.items()}
+    first = {i: t for i, t, _ in items}
+    seen = lambda i: [j for j, t in first.items() if i and j and None not in (t, first[i]) and 0 < first[i] - t <= 7 * day]
+    want = {i: round(max(0.0, 1 - max([0.0, *(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in seen(i))])), 4) for i in first}
+    got = {x["id"]: x["novedad"] for x in lexical.novelty(df).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1.01e-4) for i in want)
+    assert sum(got[i] != want[i] for i in want) <= 2  # halves of the last place
+    assert got["b"] == 0.0 and got["c"] == 1.0
+    plan = lexical.novelty(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [w" not in plan and "SortMergeJoin [w" not in plan, plan
