@@ -160,15 +160,18 @@ def greatest_before(rows: pa.Table, span: int) -> pa.Table:
     own = owner[edge:] - early
     left, right = np.searchsorted(where, codes[edge:] * early + low[own], "left"), np.searchsorted(where, codes[edge:] * early + high[own], "left")
     asked = np.zeros(len(words))
-    found = np.zeros(len(now))
     codes = codes.astype(np.int32)
+    same: dict[bytes, int] = {}  # the same words as often: one number
+    kind = np.array([same.setdefault(codes[m].tobytes() + tf[m].tobytes(), len(same)) for m in map(slice, begins[:-1], begins[1:])], dtype=np.int64)
+    copies = np.sort(kind[:early] * early + np.arange(early))
+    found = (np.searchsorted(copies, kind[early:] * early + high) > np.searchsorted(copies, kind[early:] * early + low)).astype(np.float64)
 
     def read(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
         who = np.unique(np.concatenate([posted[a[j] : b[j]] for j in lists]))
         entries, start = _entries(begins, who)
         return float(np.add.reduceat(asked[codes[entries]] * x[entries], start).max())
 
-    for i in range(len(now)):
+    for i in np.flatnonzero(found == 0).tolist():  # a copy's cosine is 1
         mine = slice(begins[early + i], begins[early + i + 1])
         a, b = left[mine.start - edge : mine.stop - edge], right[mine.start - edge : mine.stop - edge]
         size = b - a
@@ -177,20 +180,22 @@ def greatest_before(rows: pa.Table, span: int) -> pa.Table:
         if not len(lists):
             continue
         mx = x[mine]
-        rest = np.sqrt(np.cumsum((mx[lists] ** 2)[::-1])[::-1])  # of the lists from each one on
         sums = np.cumsum(size[lists])
+        whole = sums[-1] + high[i] - low[i]  # what adding up all lists takes; to read one text takes as much as some 50 postings
         asked[codes[mine]] = mx
         done = max(1, int(np.searchsorted(sums, 64, "right")))
-        best = read(lists[:done], a, b)
-        until = done + int(np.searchsorted(-rest[done:], -best, "left"))
-        if until > done:
-            if 50 * (sums[until - 1] - sums[done - 1]) < sums[-1] + high[i] - low[i]:
-                best = max(best, read(lists[done:until], a, b))
-            else:
-                total = np.zeros(high[i] - low[i])
-                for j in lists:
-                    total[posted[a[j] : b[j]] - low[i]] += mx[j] * y[a[j] : b[j]]
-                best = max(best, float(total.max()))
+        best, until = 0.0, len(lists)
+        if cheap := 50 * sums[done - 1] < whole:
+            rest = np.sqrt(np.cumsum((mx[lists] ** 2)[::-1])[::-1])  # of the lists from each one on
+            best = read(lists[:done], a, b)
+            until = done + int(np.searchsorted(-rest[done:], -best, "left"))
+        if cheap and until > done and 50 * (sums[until - 1] - sums[done - 1]) < whole:
+            best = max(best, read(lists[done:until], a, b))
+        elif until > done or not cheap:
+            total = np.zeros(high[i] - low[i])
+            for j in lists:
+                total[posted[a[j] : b[j]] - low[i]] += mx[j] * y[a[j] : b[j]]
+            best = float(total.max())
         asked[codes[mine]] = 0.0
         found[i] = best
     ids = rows.column("id").take(pa.array(order[early:]))
