@@ -190,8 +190,8 @@ class Index:
         """consulta, pasaje, reciente, s: the k best passages in every slice for queries (consulta, ws stems, xs weights)."""
         spark = queries.sparkSession
         ship(spark)
-        n = self.passages.count()
-        slices = max(1, -(-n // SLICE), min(spark.sparkContext.defaultParallelism, n // 5000))
+        n, cores = self.passages.count(), spark.sparkContext.defaultParallelism
+        slices = -(-n // (SLICE * cores)) * cores if n > 5000 * cores else max(1, n // 5000, -(-n // SLICE))  # whole rounds of tasks
         kind = {c: f.dataType for f in [*self.passages.schema, *queries.schema] for c in [f.name]}
         none = lambda c: F.lit(None).cast(kind[c]).alias(c)
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("parte")

@@ -64,6 +64,25 @@ def test_search_is_exact_and_makes_no_table_of_candidates(spark, monkeypatch, sl
     assert max(n for _, n in rows) <= len(passages) + len(queries), rows
 
 
+def templated(spark, data, path):
+    """The tables of the search with all titles of news and labels made of one template and a name."""
+    for name, key in (("noticias", "fila"), ("etiquetas", "id_noticia"), ("indicadores", None), ("sismos", None)):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        if key:
+            df = df.withColumn("titulo", F.concat(F.lit("consorcio revisa obras rio zu"), F.translate(F.pmod(F.xxhash64(key), F.lit(997)).cast("string"), "0123456789", "abcdefghij")))
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("query", ["search_recall"])
+def test_searches_cut_no_table_larger_than_the_passages(spark, monkeypatch, data, tmp_path, query):
+    from brujula.plans import evaluation, texts
+
+    rows = watched(monkeypatch)
+    (texts.QUERIES | evaluation.QUERIES)[query](spark, templated(spark, data, tmp_path / "t")).collect()
+    assert max(n for _, n in rows) == dict(rows)["passages"], rows
+
+
 @pytest.mark.parametrize("slice_rows", [30, 200_000])
 def test_novelty_is_exact_in_parts(spark, monkeypatch, slice_rows):
     """Texts of one template with some names, so that common words decide for many; shuffled rows stay in proportion to the items."""
