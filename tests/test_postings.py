@@ -74,7 +74,7 @@ def templated(spark, data, path):
     return str(path)
 
 
-@pytest.mark.parametrize("query", ["search_recall"])
+@pytest.mark.parametrize("query", ["search_evidence", "search_recall"])
 def test_searches_cut_no_table_larger_than_the_passages(spark, monkeypatch, data, tmp_path, query):
     from brujula.plans import evaluation, texts
 
