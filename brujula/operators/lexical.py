@@ -37,7 +37,7 @@ CLUSTER_STOP = (
 
 def stems(col: Column) -> Column:
     """Content words: folded, without stop words and single signs, cut to five letters; numbers whole."""
-    joined = F.regexp_replace(col, r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_])\s*&\s*([\p{L}\p{N}_])(?![\p{L}\p{N}_])", "$1$2")
+    joined = F.when(F.contains(col, F.lit("&")), F.regexp_replace(col, r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_])\s*&\s*([\p{L}\p{N}_])(?![\p{L}\p{N}_])", "$1$2")).otherwise(col)  # most texts have none and aren't searched
     raw = F.regexp_extract_all(folded(joined), F.lit(r"([\p{L}\p{N}]+)"), 1)
     kept = F.filter(raw, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP))
     return F.transform(kept, lambda w: F.when(F.substring(w, 1, 1).rlike("[0-9]"), w).otherwise(F.substring(w, 1, 5)))

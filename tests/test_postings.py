@@ -83,6 +83,12 @@ def test_searches_cut_no_table_larger_than_the_passages(spark, monkeypatch, data
     assert max(n for _, n in rows) == dict(rows)["passages"], rows
 
 
+def test_stems_search_joined_letters_only_where_there_is_an_ampersand(spark):
+    df = spark.createDataFrame([("Plan R & D, A&B",), ("Rock & rol",), ("signo 2024",), ("",), (None,)], "texto string").select(lexical.stems(F.col("texto")).alias("s"))
+    assert [r["s"] for r in df.collect()] == [["plan", "rd", "ab"], ["rock", "rol"], ["signo", "2024"], [], None]
+    assert "CASE WHEN contains(" in df._jdf.queryExecution().optimizedPlan().toString().replace("Contains(", "contains(")
+
+
 @pytest.mark.parametrize("slice_rows", [30, 200_000])
 def test_novelty_is_exact_in_parts(spark, monkeypatch, slice_rows):
     """Texts of one template with some names, so that common words decide for many; shuffled rows stay in proportion to the items."""
